@@ -11,6 +11,9 @@ rows would not fit.  ``ordered_totals`` instead
 
 The split points are ``splits - 1`` numbers; they are the only thing that reaches the driver, and they only
 steer the work distribution: the result is exact for any choice.
+
+Where the largest key is measured to hold at most ``KEY_ROWS`` rows, the cheaper single-window plan (or the
+built-in exact percentile) is used instead; the measured size decides, never an assumption.
 """
 
 from __future__ import annotations
@@ -22,6 +25,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPLITS = 32
+KEY_ROWS = 500_000
+
+
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the fullest key: one map-side combined count, one number to the driver."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).first()["n"] or 0
 
 
 def split_points(df: DataFrame, value: str, splits: int = SPLITS) -> list[float]:
@@ -42,15 +51,22 @@ def interval_index(value: Column, points: Sequence[float]) -> Column:
 
 
 def ordered_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column],
-                   splits: int = SPLITS, points: Sequence[float] | None = None) -> DataFrame:
+                   splits: int = SPLITS, largest: int | None = None) -> DataFrame:
     """One row per distinct (keys, value): summed measures ``m``, sums over smaller values ``below_m`` and
-    key totals ``total_m``.  Rows with a NULL value are left out; keys must not be NULL."""
+    key totals ``total_m``.  Rows with a NULL value are left out; keys must not be NULL.
+
+    ``largest``: known row count of the fullest key (measured here when not given)."""
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, value, *[c.alias(n) for n, c in measures.items()])
-    if points is None:
-        points = split_points(rows, value, splits)
     names = list(measures)
     distinct = rows.groupBy(*keys, value).agg(*[F.sum(n).alias(n) for n in names])
+    if (largest_key(rows, keys) if largest is None else largest) <= KEY_ROWS:
+        per_key = W.partitionBy(*(list(keys) or [F.lit(0)]))
+        smaller = per_key.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return distinct.select(
+            *keys, value, *names, *[F.coalesce(F.sum(n).over(smaller), F.lit(0)).alias(f"below_{n}") for n in names],
+            *[F.sum(n).over(per_key).alias(f"total_{n}") for n in names])
+    points = split_points(rows, value, splits)
     cut = distinct.withColumn("_slot", interval_index(F.col(value).cast("double"), points))
     anchor = list(keys) or [F.lit(0)]
     slots = cut.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in names])
@@ -68,9 +84,14 @@ def ordered_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Map
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                      count: str | None = None, splits: int = SPLITS) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, without holding any key in one task."""
-    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, splits)
+                      count: str | None = None, splits: int = SPLITS, largest: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per key, without holding an oversized key in one task."""
+    if (largest_key(df, keys) if largest is None else largest) <= KEY_ROWS:
+        g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+            F.percentile(value, [float(p) for p in probs.values()]).alias("_q"), F.count(value).alias("_n"))
+        return g.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)],
+                        *([F.col("_n").alias(count)] if count else []))
+    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, splits, largest=KEY_ROWS + 1)
     covers = lambda r: (F.col("below_n") <= r) & (r < F.col("below_n") + F.col("n"))     # noqa: E731
     picks = []
     for name, p in probs.items():
@@ -85,12 +106,12 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
 
 
 def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, steps: int = 1000,
-                  splits: int = SPLITS) -> DataFrame:
+                  splits: int = SPLITS, largest: int | None = None) -> DataFrame:
     """Dense quantile grid (keys, grid_index 0..steps, quantile) per key.
 
     Each distinct value emits only the grid positions it brackets, so the output of the explode is
     proportional to values + grid size, never values x grid."""
-    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, splits)
+    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, splits, largest)
     span = F.col("total_n") - 1
     first = F.greatest(F.lit(0), (F.floor((F.col("below_n") - 1) * steps / F.greatest(span, F.lit(1))) - 1).cast("int"))
     last = F.least(F.lit(steps), (F.ceil((F.col("below_n") + F.col("n")) * steps / F.greatest(span, F.lit(1))) + 1).cast("int"))
@@ -106,16 +127,16 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, steps: int = 1
 
 
 def reference_percentile(df: DataFrame, keys: Sequence[str], value: str, is_reference: Column,
-                         out: str = "percentile") -> DataFrame:
+                         out: str = "percentile", largest: int | None = None) -> DataFrame:
     """Share of reference rows of the same key with value <= this row's value; NULL without reference rows.
 
     Attached by an equi-join on (keys, value), which spreads a hot key over its values."""
-    t = ordered_totals(df, keys, value, {"n": F.when(is_reference, 1).otherwise(0)})
+    t = ordered_totals(df, keys, value, {"n": F.when(is_reference, 1).otherwise(0)}, largest=largest)
     share = F.when(F.col("total_n") > 0, (F.col("below_n") + F.col("n")) / F.col("total_n"))
     return df.join(t.select(*keys, value, share.alias(out)), [*keys, value], "left")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, largest: int | None = None) -> DataFrame:
     """Tie-averaged 1-based ranks within each key."""
-    t = ordered_totals(df, keys, value, {"n": F.lit(1)})
+    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, largest=largest)
     return df.join(t.select(*keys, value, (F.col("below_n") + (F.col("n") + 1) / 2).alias(out)), [*keys, value], "left")

@@ -45,7 +45,7 @@ def comparable(df: DataFrame) -> DataFrame:
 
 def comparable_sql(body: str, doubles: Sequence[str]) -> str:
     if not doubles:
-        return body
+        return f"SELECT * FROM ({body}) AS result"
     rep = ", ".join(f"round({d} + 2e-8, {DIGITS}) + 0e0 AS {d}" for d in doubles)
     return f"SELECT * REPLACE ({rep}) FROM ({body}) AS result"
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windrose.functions.random import seeded_hash
+
 
 def stress_inits(test: DataFrame, n: int = 4) -> DataFrame:
     """The n initialisations with most hidden busts at Day 3-7; ties by earlier init."""
@@ -20,7 +22,7 @@ def random_pool(test: DataFrame, n_stress: int = 4) -> DataFrame:
 def random_inits(test: DataFrame, seed: int, n: int = 8, n_stress: int = 4) -> DataFrame:
     """n initialisations without replacement outside the stress set; the hash order depends on the key and the seed
     only, never on partitioning."""
-    h = F.xxhash64(F.unix_micros("init_time"), F.lit(seed))
+    h = seeded_hash(seed, F.date_format("init_time", "yyyyMMddHH"))
     return random_pool(test, n_stress).orderBy(h, "init_time").limit(n)
 
 
@@ -34,4 +36,4 @@ def representative_cases(drawn: DataFrame, stress: DataFrame) -> DataFrame:
 
 def sample_rows(rows: DataFrame, n: int, seed: int, key: str = "case_id") -> DataFrame:
     """Fixed-size sample in seeded hash order (TakeOrderedAndProject: n rows per task, then n rows)."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(seeded_hash(seed, F.col(key).cast("string")), key).limit(n)

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from windrose import constants as C
+from windrose.functions.scalar import clip
 
 # Hart's coefficients, highest order first (fixed values)
 _NUM = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
@@ -58,7 +59,7 @@ def norm_cdf_sql(x: str) -> str:
 
 def reliable_gaussian_exceedance(threshold, spread, n_members: float) -> Column:
     """P(|error| > threshold) for a perfectly reliable Gaussian ensemble of ``n_members``."""
-    s = F.greatest(F.col(spread) * F.lit(math.sqrt(1 + 1 / n_members)), F.lit(1e-6))
+    s = clip(F.col(spread) * F.lit(math.sqrt(1 + 1 / n_members)), 1e-6)
     return 2 * norm_cdf(-(threshold / s))
 
 
@@ -69,10 +70,10 @@ def _mean(arr: Column) -> Column:
 def mixture_exceedance(c, mu, sigma, m, s) -> Column:
     """P(|m - Z| / s > c) for an equally weighted Gaussian mixture with centres ``mu`` (array) and one ``sigma``."""
     c, mu, sigma, m, s = (F.col(x) for x in (c, mu, sigma, m, s))
-    reach = F.greatest(c, F.lit(0.0)) * s
+    reach = clip(c, 0.0) * s
     hi = F.transform(F.transform(mu, lambda k: (m + reach - k) / sigma), norm_cdf)
     lo = F.transform(F.transform(mu, lambda k: (m - reach - k) / sigma), norm_cdf)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (_mean(hi) - _mean(lo))))
+    return clip(1 - (_mean(hi) - _mean(lo)), 0.0, 1.0)
 
 
 def mixture_mean(mu, sigma, m, s) -> Column:
@@ -87,7 +88,7 @@ def mixture_mean(mu, sigma, m, s) -> Column:
 def mixture_std(mean, mu, sigma, m, s) -> Column:
     mean, mu, sigma, m, s = (F.col(x) for x in (mean, mu, sigma, m, s))
     second = _mean(F.transform(mu, lambda k: (k - m) * (k - m) + sigma * sigma)) / (s * s)
-    return F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))
+    return F.sqrt(clip(second - mean * mean, 0.0))
 
 
 def exceedance_from_quantiles(quantiles: Column, threshold: Column,
@@ -108,7 +109,8 @@ def exceedance_from_quantiles(quantiles: Column, threshold: Column,
         levels[1] / levels[0])
     low = levels[0] * F.exp(-(at(quantiles, F.lit(1)) - threshold) / low_scale)
     cdf = F.when(idx == 0, low).when(idx == k, top).otherwise(inner)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - cdf))
+    known = threshold.isNotNull() & ~F.exists(quantiles, lambda q: q.isNull())
+    return F.when(known, clip(1 - cdf, 0.0, 1.0))
 
 
 def crossing_columns(quantiles: Column) -> tuple[Column, Column]:

@@ -24,6 +24,14 @@ def nan_to_null(x) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def clip(x, lo: float | None = None, hi: float | None = None) -> Column:
+    """Clamp that keeps NULL (``least``/``greatest`` alone skip NULL arguments and would invent a bound)."""
+    x = _c(x)
+    y = x if lo is None else F.greatest(x, F.lit(float(lo)))
+    y = y if hi is None else F.least(y, F.lit(float(hi)))
+    return F.when(x.isNotNull(), y)
+
+
 # --- time and calendar -----------------------------------------------------------------------------------
 
 def lead_to_hours(lead) -> Column:
@@ -142,7 +150,7 @@ def spread_threshold_ratio(spread, q_primary, scale, n_members) -> Column:
 
 
 def logit(p, eps: float = 1e-6) -> Column:
-    q = F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1 - eps))
+    q = clip(p, eps, 1 - eps)
     return F.ln(q / (1 - q))
 
 
@@ -189,11 +197,11 @@ def priority_score(p, lead, evidence, bonus: Column | None = None,
 
 
 def disagreement_bonus(p, p_base, b: float = C.DISAGREEMENT_BONUS) -> Column:
-    return F.lit(b) * F.greatest(F.lit(0.0), _c(p) - _c(p_base))
+    return F.lit(b) * clip(_c(p) - _c(p_base), 0.0)
 
 
 def tail_bonus(upper, threshold, b: float = C.DISAGREEMENT_BONUS) -> Column:
-    return F.lit(b) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), _c(upper) / _c(threshold) - 1))
+    return F.lit(b) * clip(_c(upper) / _c(threshold) - 1, 0.0, 1.0)
 
 
 def round_or_null(x, digits: int = 4) -> Column:

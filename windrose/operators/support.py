@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose import constants as C
+from windrose.functions.scalar import clip
 from windrose.operators.ordered import grouped_quantiles
 
 
@@ -58,7 +59,7 @@ def distance(cases: DataFrame, params: DataFrame, space: Sequence[str], out: str
         for b in range(p):
             term = diff[a] * F.col("precision")[a * p + b] * diff[b]
             quad = term if quad is None else quad + term
-    return j.withColumn(out, F.sqrt(F.greatest(quad, F.lit(0.0)) + quad * 0)).drop("location", "precision")
+    return j.withColumn(out, F.sqrt(clip(quad, 0.0))).drop("location", "precision")
 
 
 def fit_support(cases: DataFrame, space: Sequence[str], quantiles: Sequence[float] = C.SUPPORT_QUANTILES) -> DataFrame:

@@ -80,7 +80,7 @@ def retrieval_checks(members: DataFrame, leads: Sequence[int], domain: Mapping[s
         "spread_computed": ok(F.col("sd") >= 0)}
     allp = F.lit(1)
     for c in checks.values():
-        allp = F.least(allp, c)
+        allp = F.least(allp, F.coalesce(c, F.lit(0)))
     return a.select(*[c.alias(n) for n, c in checks.items()], allp.alias("all_passed"), (F.col("n_missing") / F.col("n")).alias("missing_share"))
 
 

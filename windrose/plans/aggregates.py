@@ -172,7 +172,7 @@ def fit_normalisation(spark: SparkSession, sf: str) -> DataFrame:
 @query("fit_thresholds", ctes=B.LABELLED, doubles="q_primary q_sensitivity spread_low", sql="""
   SELECT *, 'train' AS fitted_on FROM thresholds""")
 def fit_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return L.fit_thresholds(B.labelled(spark, sf))
+    return L.fit_thresholds(B.labelled_plan(spark, sf))
 
 
 PATTERN = B.LABELLED + """,

@@ -1,8 +1,8 @@
 """Views that give the driver's tables the library's schemas (see FIXTURES.md, part B).
 
 Each view exists twice: as DataFrames for the library and as a SQL common table expression for the
-cross-check.  Views are lazy; plans are memoised per (application, folder) so that quantile sketches used while
-planning are computed once.
+cross-check.  Views are lazy and memoised per (application, folder).  Two of them, the labelled cases and the gridded
+state set, are the pipeline's stored tables: they are written once and read by every query that builds on them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from windrose.functions import scalar as S
 from windrose.operators import labels as L
+from windrose.session import scratch_path
 
 TRAIN_END = "2024-01-16 00:00:00"
 VALIDATION_END = "2024-01-23 00:00:00"
@@ -28,7 +29,7 @@ _plans: dict[tuple, DataFrame] = {}
 def memo(fn):
     @wraps(fn)
     def inner(spark: SparkSession, sf: str) -> DataFrame:
-        key = (fn.__name__, spark.sparkContext.applicationId, id(spark), sf)
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, id(spark), sf)
         if key not in _plans:
             _plans[key] = fn(spark, sf)
         return _plans[key]
@@ -90,12 +91,30 @@ cases AS (
 _ORDER = ("init_time", "lead_day", "case_id")
 
 
-@memo
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled cases (thresholds, flags, spread ratio)."""
+def stored(plan):
+    """Materialisation point: the plan is written once per application as a parquet table in the shared scratch folder
+    and read back (column and partition pruning included) by everything downstream."""
+    name, partition = plan.__name__.replace("_plan", ""), plan.partition_by
+
+    @memo
+    @wraps(plan)
+    def inner(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        w = plan(spark, sf).write.mode("overwrite")
+        (w.partitionBy(partition) if partition else w).parquet(path)
+        return spark.read.parquet(path)
+    return inner
+
+
+def labelled_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled cases (thresholds, flags, spread ratio) as one lazy plan."""
     return L.label_cases(cases(spark, sf), anomaly="bias_m", order=_ORDER)
 
 
+labelled_plan.partition_by = "split"
+labelled = stored(labelled_plan)
+
+
 LABELLED = CASES + """,
 scale AS (
   SELECT region_id, season, stddev_samp(bias_m) AS scale_m FROM (
@@ -186,7 +205,7 @@ climatology AS (
   FROM members GROUP BY ALL)"""
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
+def grid_plan(spark: SparkSession, sf: str) -> DataFrame:
     """State set: ensemble statistics per (init, lead, cell) and the matching reference and climatology (NULL if absent)."""
     m = members(spark, sf)
     on = lambda lv, c: F.when(F.col("level") == lv, F.col(c))      # noqa: E731
@@ -202,6 +221,10 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
             .join(reference(spark, sf), ["valid_time", "cell"], "left").drop("month_n"))
 
 
+grid_plan.partition_by = None
+grid = stored(grid_plan)
+
+
 GRID = MEMBERS + "," + REFERENCE + "," + CLIMATOLOGY + """,
 grid AS (
   SELECT g.*, c.clim_value, c.u_clim, c.v_clim, c.mslp_clim, r.ref_value FROM (

@@ -14,11 +14,11 @@ from windrose.plans.registry import query
          count(DISTINCT init_time) AS n_inits, min(init_time) AS first_init, max(init_time) AS last_init
   FROM labelled GROUP BY split""")
 def split_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return L.split_summary(B.labelled(spark, sf))
+    return L.split_summary(B.labelled_plan(spark, sf))
 
 
 @query("bust_labels", ctes=B.LABELLED, doubles="norm_error q_primary spread_low", sql="""
   SELECT case_id, split, norm_error, q_primary, spread_low, bust, bust_q95, low_spread, hidden_bust FROM labelled""")
 def bust_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return B.labelled(spark, sf).select("case_id", "split", "norm_error", "q_primary", "spread_low", "bust", "bust_q95",
+    return B.labelled_plan(spark, sf).select("case_id", "split", "norm_error", "q_primary", "spread_low", "bust", "bust_q95",
                                         "low_spread", "hidden_bust")

@@ -45,6 +45,26 @@ def test_oversized_groups_take_the_distributed_plan_with_equal_results(spark):
         assert (two[g]["n_cases"], two[g]["em_iter"]) == (one[g]["n_cases"], one[g]["em_iter"])
 
 
+def test_rolling_fit_equals_a_fit_per_window(spark):
+    rows = archive(150, 5, ("a", "b"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    days = spark.createDataFrame([((T0 + dt.timedelta(days=d)).date(),) for d in range(0, 170, 3)], "fit_day date")
+    for limit in (10 ** 6, 60):                                       # chunk plan, and per-day plan for large chunks
+        got = {(r["fit_day"], r["g"]): r for r in B.rolling_fit(df, ["g"], days, 40, 20, group_rows=limit).collect()}
+        seen = 0
+        for d in range(0, 170, 3):
+            day = T0 + dt.timedelta(days=d)
+            use = [r for r in rows if r[0] == "a" and day - dt.timedelta(days=40) < r[1] <= day]
+            if len(use) < 20:
+                assert (day.date(), "a") not in got
+                continue
+            r, seen = got[(day.date(), "a")], seen + 1
+            assert r["n_cases"] == len(use) and r["last_verified"] == max(x[1] for x in use) <= day
+        one = B.fit_exchangeable(df.where(F.col("valid_time").between(T0 + dt.timedelta(days=21), T0 + dt.timedelta(days=60)) & (F.col("g") == "b")), ["g"]).first()
+        r = got[((T0 + dt.timedelta(days=60)).date(), "b")]
+        assert seen > 30 and [r["a"], r["b"], r["sigma"]] == pytest.approx([one["a"], one["b"], one["sigma"]])
+
+
 def test_quantiles_invert_the_cdf_and_moments_match_sampling(spark):
     rng = np.random.default_rng(2)
     mu, sigma, m, s = [-3.0, 0.5, 4.0], 1.7, 0.4, 2.0

@@ -48,13 +48,16 @@ def bma_fit(spark: SparkSession, sf: str) -> DataFrame:
     return M.fit_exchangeable(verified(spark, sf), ["cell", "lead_day"], min_cases=20)
 
 
-@B.memo
-def rolling_params(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly refits on the cases verified in the trailing 24 months."""
-    first = F.to_date("valid_time")
-    r = verified(spark, sf).withColumn("fit_day", F.explode(F.sequence(first, F.add_months(first, 23), F.expr("INTERVAL 1 MONTH"))))
-    fits = r.select("init_time").distinct().select(F.to_date("init_time").alias("fit_day"))
-    return M.fit_exchangeable(r.join(fits, "fit_day", "left_semi"), ["fit_day", "cell", "lead_day"], min_cases=20)
+WINDOW = 730
+
+
+def _rolling_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly refits on the cases verified in the trailing two years."""
+    v = verified(spark, sf)
+    return M.rolling_fit(v, ["cell", "lead_day"], v.select(F.to_date("init_time").alias("fit_day")), WINDOW)
+
+
+rolling_params = B.memo(_rolling_plan)
 
 
 @query("bma_rolling")
@@ -67,7 +70,7 @@ def bma_rolling(spark: SparkSession, sf: str) -> DataFrame:
     SELECT f.fit_day, s.cell, s.lead_day, max(s.valid_time) AS last FROM (SELECT DISTINCT init_time AS fit_day FROM members
            WHERE init_time IN (SELECT m.init_time FROM members m JOIN reference r ON r.valid_time = m.valid_time AND r.cell = m.cell)) f
     JOIN (SELECT DISTINCT a.init_time, a.lead_day, a.cell, a.valid_time FROM anom a JOIN reference r ON r.valid_time = a.valid_time AND r.cell = a.cell) s
-    ON s.valid_time <= f.fit_day AND s.valid_time > f.fit_day - INTERVAL 24 MONTH GROUP BY ALL HAVING count(*) >= 20)""")
+    ON s.valid_time <= f.fit_day AND s.valid_time > f.fit_day - INTERVAL 730 DAY GROUP BY ALL HAVING count(*) >= 20)""")
 def bma_causality(spark: SparkSession, sf: str) -> DataFrame:
     return Q.fit_causality(rolling_params(spark, sf))
 

@@ -74,7 +74,10 @@ def test_quantiles_invert_the_cdf_and_moments_match_sampling(spark):
     assert p == pytest.approx([0.9, 0.75, 0.5, 0.25, 0.1, 0.05], abs=1e-9)
     z = rng.choice(mu, 400_000) + rng.normal(0, sigma, 400_000)
     y = np.abs(m - z) / s
-    r = B.moments(df, "m", "s").first()
+    r = B.exceedance(B.moments(df.withColumn("c", F.lit(0.9)), "m", "s"), "c", "m", "s").first()
+    one = B.predictive(df.withColumn("c", F.lit(0.9)), "c", "m", "s").first()           # the batch form agrees with the expressions
+    assert [one["bma_exceedance"], one["bma_mean"], one["bma_std"]] == pytest.approx([r["p_exceed"], r["bma_mean"], r["bma_std"]], abs=1e-12)
+    assert B.predictive(df.withColumn("c", F.lit(None).cast("double")), "c", "m", "s").first()["bma_mean"] is None
     assert r["bma_mean"] == pytest.approx(y.mean(), rel=0.01) and r["bma_std"] == pytest.approx(y.std(), rel=0.01)
 
 

@@ -206,20 +206,27 @@ def free_weights(rows: DataFrame, keys: Sequence[str], n_groups: int, seed: int,
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, k int, w_min double, w_max double, sigma double"
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        f, y = np.stack(pdf["members"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
-        design = [np.linalg.lstsq(np.column_stack([np.ones(len(y)), f[:, j]]), y, rcond=None)[0] for j in range(f.shape[1])]
-        r2 = np.column_stack([(y - c[0] - c[1] * f[:, j]) ** 2 for j, c in enumerate(design)])
-        w, s2, last = np.full(f.shape[1], 1 / f.shape[1]), max(float(r2.mean()), FLOOR), -np.inf
+        x, y = np.stack(pdf["members"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
+        n, size = x.shape
+        dx, dy = x - x.mean(axis=0), y - y.mean()
+        power = (dx * dx).sum(axis=0)
+        slope = np.divide(dx.T @ dy, power, out=np.zeros(size), where=power > 0)
+        half = 0.5 * (dy[:, None] - dx * slope) ** 2                   # half squared residuals of every member's own line
+        log_w, var, gain = np.full(size, -np.log(size)), max(2 * half.mean(), FLOOR), None
         for _ in range(max_iter):
-            dens = w * np.exp(-0.5 * r2 / s2) / np.sqrt(2 * np.pi * s2)
-            tot = np.maximum(dens.sum(1, keepdims=True), 1e-300)
-            like = float(np.log(tot).sum())
-            z = dens / tot
-            w, s2 = z.mean(0), max(float((z * r2).sum() / len(y)), FLOOR)
-            if like - last < tol * abs(like):
+            score = log_w - half / var
+            peak = score.max(axis=1)
+            share = np.exp(score - peak[:, None])
+            mass = share.sum(axis=1)
+            fit = (peak + np.log(mass)).sum() - n / 2 * np.log(2 * np.pi * var)
+            share /= mass[:, None]
+            log_w = np.log(np.maximum(share.sum(axis=0) / n, 1e-300))
+            var = max(2 * (share * half).sum() / n, FLOOR)
+            if gain is not None and fit - gain < tol * abs(fit):
                 break
-            last = like
-        return pd.DataFrame([[*key, len(y), f.shape[1], w.min(), w.max(), np.sqrt(s2)]], columns=[*keys, "n", "k", "w_min", "w_max", "sigma"])
+            gain = fit
+        w = np.exp(log_w)
+        return pd.DataFrame([[*key, n, size, w.min(), w.max(), np.sqrt(var)]], columns=[*keys, "n", "k", "w_min", "w_max", "sigma"])
     return part.groupBy(*keys).applyInPandas(run, schema)
 
 

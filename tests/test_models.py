@@ -45,6 +45,15 @@ def test_oversized_groups_take_the_distributed_plan_with_equal_results(spark):
         assert (two[g]["n_cases"], two[g]["em_iter"]) == (one[g]["n_cases"], one[g]["em_iter"])
 
 
+def test_free_weights_distributed_plan_agrees(spark):
+    df = spark.createDataFrame(archive(90, 3, ("a", "b", "c"), 5), SCHEMA)
+    one = {r["g"]: r for r in B.free_weights(df, ["g"], 2, 1, max_iter=6).collect()}
+    two = {r["g"]: r for r in B.free_weights(df, ["g"], 2, 1, max_iter=6, group_rows=50).collect()}
+    assert set(one) == set(two) and len(one) == 2
+    for g in one:
+        assert [two[g][c] for c in ("n", "k", "w_min", "w_max", "sigma")] == pytest.approx([one[g][c] for c in ("n", "k", "w_min", "w_max", "sigma")])
+
+
 def test_rolling_fit_equals_a_fit_per_window(spark):
     rows = archive(150, 5, ("a", "b"))
     df = spark.createDataFrame(rows, SCHEMA)

@@ -194,18 +194,16 @@ def free_weights(rows: DataFrame, keys: Sequence[str], n_groups: int, seed: int,
                  group_rows: int = GROUP_ROWS) -> DataFrame:
     """Diagnostic: member-specific bias and weight for ``n_groups`` hash-drawn groups (arrays of one common length).
 
-    Least squares per member are built-in regressions.  The EM per drawn group is small; a drawn group above
-    ``group_rows`` is refused instead of being collected into one task."""
+    A drawn group of at most ``group_rows`` cases is solved in one task; a larger one runs its EM as distributed
+    aggregations with the same steps and the same stopping rule."""
     keys = list(keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     drawn = sizes.orderBy(seeded_hash(seed, *[F.col(k) for k in keys]), *keys).limit(n_groups)
     part = rows.join(drawn.select(*keys), keys, "left_semi").select(*keys, "members", "y")
-    if largest_key(part, keys) > group_rows:
-        raise ValueError("a drawn group is too large for the free-weight diagnostic")
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, k int, w_min double, w_max double, sigma double"
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(pdf["members"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
         n, size = x.shape
         dx, dy = x - x.mean(axis=0), y - y.mean()
@@ -227,7 +225,46 @@ def free_weights(rows: DataFrame, keys: Sequence[str], n_groups: int, seed: int,
             gain = fit
         w = np.exp(log_w)
         return pd.DataFrame([[*key, n, size, w.min(), w.max(), np.sqrt(var)]], columns=[*keys, "n", "k", "w_min", "w_max", "sigma"])
-    return part.groupBy(*keys).applyInPandas(run, schema)
+    if largest_key(part, keys) <= group_rows:
+        return part.groupBy(*keys).applyInPandas(run, schema)
+    small = part.join(drawn.where(F.col("_n") <= group_rows).select(*keys), keys, "left_semi")
+    large = part.join(drawn.where(F.col("_n") > group_rows).select(*keys), keys, "left_semi")
+    return small.groupBy(*keys).applyInPandas(run, schema).unionByName(_distributed_free_weights(large, keys, max_iter, tol))
+
+
+def _distributed_free_weights(rows: DataFrame, keys: Sequence[str], max_iter: int, tol: float) -> DataFrame:
+    """EM for oversized groups: per-member lines by built-in regressions, then one aggregation per step."""
+    size = rows.select(F.max(F.size("members")).alias("k")).first()["k"]
+    if size is None:
+        size = 1
+    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)                     # noqa: E731
+    lines = (rows.select(*keys, "y", F.posexplode("members").alias("m", "x")).groupBy(*keys, "m")
+             .agg(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("b"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+             .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("m", "b", "mx", "my"))).alias("line")))       # one element per member
+    half = cut_lineage(rows.join(lines, keys).select(*keys, F.zip_with(
+        "members", "line", lambda x, q: 0.5 * F.pow(F.col("y") - q["my"] - q["b"] * (x - q["mx"]), 2)).alias("half")))
+    state = cut_lineage(half.groupBy(*keys).agg(
+        F.greatest(2 * F.avg(add("half") / size), F.lit(FLOOR)).alias("var"), F.count(F.lit(1)).alias("n")).withColumns({
+            "lw": F.array_repeat(F.lit(float(-np.log(size))), size), "gain": F.lit(None).cast("double"), "active": F.lit(True)}))
+    for _ in range(max_iter):
+        j = half.join(state.where("active").select(*keys, "var", "lw"), keys)
+        j = j.withColumn("score", F.zip_with("lw", "half", lambda w, h: w - h / F.col("var"))).withColumn("peak", F.array_max("score"))
+        j = j.withColumn("share", F.transform("score", lambda v: F.exp(v - F.col("peak")))).withColumn("mass", add("share"))
+        step = j.groupBy(*keys).agg(
+            F.array(*[F.avg(F.col("share")[i] / F.col("mass")) for i in range(size)]).alias("_w"),
+            F.avg(2 * add(F.zip_with("share", "half", lambda s, h: s * h)) / F.col("mass")).alias("_v"),
+            F.sum(F.col("peak") + F.ln("mass")).alias("_f"))
+        fit = F.col("_f") - F.col("n") / 2 * F.ln(2 * np.pi * F.col("var"))
+        done = F.coalesce(fit - F.col("gain") < tol * F.abs(fit), F.lit(False))
+        state = cut_lineage(state.join(step, keys, "left").select(
+            *keys, F.when(F.col("_v").isNotNull(), F.greatest("_v", F.lit(FLOOR))).otherwise(F.col("var")).alias("var"), "n",
+            F.coalesce(F.transform("_w", lambda w: F.ln(F.greatest(w, F.lit(1e-300)))), "lw").alias("lw"),
+            F.coalesce(fit, "gain").alias("gain"), (F.col("active") & ~done).alias("active")))
+        if state.where("active").isEmpty():
+            break
+    w = F.transform("lw", F.exp)
+    return state.select(*keys, F.col("n").cast("long").alias("n"), F.lit(size).cast("int").alias("k"), F.array_min(w).alias("w_min"),
+                        F.array_max(w).alias("w_max"), F.sqrt("var").alias("sigma"))
 
 
 def with_mixture(rows: DataFrame) -> DataFrame:

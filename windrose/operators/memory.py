@@ -85,7 +85,7 @@ def partial_neighbours(queries: DataFrame, candidates: DataFrame, keys: Sequence
     left = renamed(q.join(pairs, [*keys, "q_slot", "q_salt"]), "of_query").groupBy(*[f"of_query_{k}" for k in pair_keys])
     right = renamed(c.join(pairs, [*keys, "c_slot", "c_salt"]), "of_cand").groupBy(*[f"of_cand_{k}" for k in pair_keys])
 
-    def run(key, q_block, c_block):
+    def run(key: tuple, q_block: pd.DataFrame, c_block: pd.DataFrame) -> pd.DataFrame:
         return _tile_neighbours(q_block, c_block, k, radius)
     return left.cogroup(right).applyInPandas(run, _PARTIAL)
 

@@ -55,10 +55,13 @@ def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> st
 
 def write_memory(cases: DataFrame, path: str, space: Sequence[str]) -> str:
     """Memory store of verified cases: float32 similarity columns, zstd, partitioned by lead and sorted so that a
-    (region, valid time) range is a contiguous run of row groups."""
+    (region, valid time) range is a contiguous run of row groups.
+
+    Rows are distributed by ranges of (lead, region, valid time), so a region with very many cases fills several files
+    instead of one task."""
     keys = ["case_id", "init_time", "valid_time", "region_id", "split", "bust", "norm_error", "sig_class"]
     (cases.select(*keys, "lead_day", *[F.col(c).cast("float").alias(c) for c in space])
-     .repartition("lead_day", "region_id").sortWithinPartitions("region_id", "valid_time")
+     .repartitionByRange("lead_day", "region_id", "valid_time").sortWithinPartitions("lead_day", "region_id", "valid_time")
      .write.mode("overwrite").partitionBy("lead_day").option("compression", "zstd").parquet(path))
     return path
 

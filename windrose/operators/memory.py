@@ -23,8 +23,8 @@ from windrose import constants as C
 from windrose.operators.ordered import SPLITS, grouped_quantiles, interval_index, largest_key, split_points
 from windrose.session import cut_lineage
 
-BLOCK_ROWS = 4096
-_TILE = 256            # query rows per distance tile inside a task
+BLOCK_ROWS = 32_768     # a row travels to (rows of its key) / BLOCK_ROWS blocks: large blocks keep the replication small
+_TILE_CELLS = 2_000_000  # distances held at once inside a task
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], slot: str, salt: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -45,21 +45,29 @@ def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float) ->
     cv, qv = np.stack(c["vector"].to_numpy()).astype(np.float64), np.stack(q["vector"].to_numpy()).astype(np.float64)
     ct, qt, cid = c["t"].to_numpy(), q["t"].to_numpy(), c["id"].to_numpy()
     parts: list[pd.DataFrame] = []
-    for start in range(0, len(q), _TILE):
-        qs = slice(start, start + _TILE)
+    tile = max(1, _TILE_CELLS // len(cv))
+    for start in range(0, len(q), tile):
+        qs = slice(start, start + tile)
         d2 = np.zeros((len(qv[qs]), len(cv)))
         for j in range(cv.shape[1]):                     # plain sums of squares: exact zeros for copies
             diff = qv[qs, j][:, None] - cv[:, j][None, :]
             d2 += diff * diff
         dist = np.where(ct[None, :] <= qt[qs][:, None], np.sqrt(d2), np.inf)
         ids = q["id"].to_numpy()[qs]
-        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(dist, order, axis=1)
-        row, col = np.nonzero(np.isfinite(best))
-        pick = order[row, col]
-        parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[pick], "distance": best[row, col],
-                                   "bust": c["bust"].to_numpy()[pick], "norm_error": c["norm_error"].to_numpy()[pick]}))
-        parts.append(pd.DataFrame({"id": ids, "n_eligible": np.isfinite(dist).sum(1), "n_within": (dist <= radius).sum(1)}))
+        near = np.isfinite(dist)
+        n_eligible = near.sum(1)
+        if len(cv) > k:                                  # selection instead of a full sort; ties at the k-th distance stay in
+            near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1][:, None]
+        row, col = np.nonzero(near)
+        value = dist[row, col]
+        order = np.lexsort((col, value, row))            # candidates are sorted by id, so columns break ties
+        row, col, value = row[order], col[order], value[order]
+        first = np.searchsorted(row, np.arange(len(ids)))
+        keep = np.arange(len(row)) - first[row] < k
+        row, col, value = row[keep], col[keep], value[keep]
+        parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[col], "distance": value,
+                                   "bust": c["bust"].to_numpy()[col], "norm_error": c["norm_error"].to_numpy()[col]}))
+        parts.append(pd.DataFrame({"id": ids, "n_eligible": n_eligible, "n_within": (dist <= radius).sum(1)}))
     out = pd.concat(parts, ignore_index=True)
     return out.astype({"neighbour": "Int64", "n_eligible": "Int64", "n_within": "Int64"})[
         ["id", "neighbour", "distance", "bust", "norm_error", "n_eligible", "n_within"]]

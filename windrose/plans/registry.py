@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrose.session import pin_utc
+from windrose.session import pin_utc, ship_code
 
 DIGITS, NUDGE = 6, 2e-8
 
@@ -54,7 +54,7 @@ def query(key: str, sql: str | None = None, ctes: str = "", doubles: str = ""):
     """Register ``fn(spark, sf_dir)`` under ``key``.  ``ctes`` is the WITH list the SQL body needs."""
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return comparable(fn(pin_utc(spark), sf_dir))
+            return comparable(fn(ship_code(pin_utc(spark)), sf_dir))
         text = None
         if sql is not None:
             text = comparable_sql(sql, doubles.split())

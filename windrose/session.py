@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,26 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python workers this package, once per application, wherever the driver was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "windrose.zip")      # read by the driver's file server only
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in sorted(os.walk(package)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(package)))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 

@@ -22,15 +22,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Written once to the shared checkpoint folder and read back: later reads survive lost executors and carry no lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written once to the shared checkpoint folder and read back: later reads survive lost executors and carry no lineage.
+
+    The shuffle files of the writing job go as soon as it is done.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+BLOOM_BITS = 24
+
+
+def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.uint64((1 << BLOOM_BITS) - 1)
+    return (x & keep).astype(np.int64), ((x >> np.uint64(32)) & keep).astype(np.int64)
+
+
+def bloom_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of 2**BLOOM_BITS bits (2 MB at any size of ``df``) of a column of well mixed longs, two bits a value."""
+    low = (1 << BLOOM_BITS) - 1
+    slot = F.explode(F.array(F.col(column).bitwiseAND(F.lit(low)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(low))))
+    cells = df.select(slot.alias("b")).groupBy(F.shiftright("b", 6).alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toPandas()       # at most 2**(BLOOM_BITS - 6) rows
+    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return bits.view(np.uint8)
+
+
+def may_contain(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Positions of the uint64 values ``x`` that the filter may hold."""
+    one, two = _slots(x)
+    hit = np.flatnonzero((bits[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
+    two = two[hit]
+    return hit[((bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)]
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return table(spark, sf, "documents")
 
 
 def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import jaccard_join
-from windrose.llm.common import documents
+from windrose.llm import decontaminate, jaccard_join, toxicity
+from windrose.llm.common import documents, table
+from windrose.session import pin_utc, ship_code
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,7 +17,10 @@ SQL: dict[str, str] = {}
 
 def run(name: str):
     def register(fn):
-        RUNS[name] = fn
+        @wraps(fn)
+        def shipped(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(ship_code(pin_utc(spark)), sf)
+        RUNS[name] = shipped
         return fn
     return register
 
@@ -23,3 +28,13 @@ def run(name: str):
 @run("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf))
+
+
+@run("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
+@run("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf), table(spark, sf, "labels"))

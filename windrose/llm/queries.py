@@ -7,10 +7,12 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import decontaminate, jaccard_join, toxicity
+from windrose.llm import decontaminate, jaccard_join, pii, token_counts, toxicity, unigram
 from windrose.llm.common import documents, table
 from windrose.session import pin_utc, ship_code
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"       # a SentencePiece model file, read on the driver
+
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -38,3 +40,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @run("op10_toxicity")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf), table(spark, sf, "labels"))
+
+
+@run("op8_personal_data")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(documents(spark, sf))
+
+
+@run("op3_sentencepiece")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return unigram.encode(documents(spark, sf), unigram.load(PIECES))
+
+
+@run("op7_token_counts")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf), unigram.load(PIECES))

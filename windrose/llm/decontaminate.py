@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import GOLD, bloom_filter, lists, may_contain, mix, pieces, stored
+from windrose.llm.common import bloom_filter, lists, may_contain, mix, pieces, salt, stored
 from windrose.llm.tokens import words_of
 
 MASKS = ("1101100101", "1110010011", "1011011001")
@@ -32,7 +32,7 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     m = len(h) - len(mask) + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    v = np.full(m, np.uint64(len(mask)) * GOLD)
+    v = np.full(m, salt(len(mask)))
     for j, c in enumerate(mask):
         if c == "1":
             v = v * np.uint64(0x5851F42D4C957F2D) + h[j:j + m]

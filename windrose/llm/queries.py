@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import decontaminate, jaccard_join, pii, token_counts, toxicity, unigram
+from windrose.llm import decontaminate, jaccard_join, lm_score, pii, substring_dedup, token_counts, toxicity, unigram, warc
 from windrose.llm.common import documents, table
 from windrose.session import pin_utc, ship_code
 
@@ -17,8 +17,10 @@ RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def run(name: str):
+def run(name: str, sql: str | None = None):
     def register(fn):
+        if sql:
+            SQL[name] = sql
         @wraps(fn)
         def shipped(spark: SparkSession, sf: str) -> DataFrame:
             return fn(ship_code(pin_utc(spark)), sf)
@@ -55,3 +57,30 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @run("op7_token_counts")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf), unigram.load(PIECES))
+
+
+@run("op4_substring_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS sha,
+             CAST(unhex(sha1(html)) AS BIT)::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) * (16 >> CAST(j AS INTEGER)))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d"""
+
+
+@run("op5_warc", WARC_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf, "pages"))).drop("payload")
+
+
+@run("op6_lm_scoring")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.scores(documents(spark, sf))

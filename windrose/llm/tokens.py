@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from windrose.llm.common import GOLD, mix
+from windrose.llm.common import GOLD, mix, salt
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -97,4 +97,4 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     v = h[:m].copy()
     for j in range(1, k):
         v = v * np.uint64(BASE) + h[j:j + m]
-    return mix(v + np.uint64(k) * GOLD)
+    return mix(v + salt(k))

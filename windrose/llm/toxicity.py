@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import GOLD, crc_part, mix, pieces
+from windrose.llm.common import crc_part, mix, pieces, salt
 from windrose.llm.tokens import BYTE, powers, words_of
 
 BITS = 20
@@ -44,7 +44,7 @@ def parsed(text: pa.Array):
     np.cumsum(BYTE[w.data] * power[:len(w.data)], out=total[1:])
     keys = np.empty((1 + len(PREFIXES), n), np.uint64)
     for k, stop in enumerate([end] + [np.minimum(w.start + p, end) for p in PREFIXES]):
-        keys[k] = mix((total[stop] - total[w.start]) * inverse[w.start] + np.uint64(k + 1) * GOLD)
+        keys[k] = mix((total[stop] - total[w.start]) * inverse[w.start] + salt(k + 1))
     row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     lines = np.concatenate(([0], np.cumsum(w.data == 10)))
     fresh = np.ones(n, bool)

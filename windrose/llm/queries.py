@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import decontaminate, jaccard_join, lm_score, pii, substring_dedup, token_counts, toxicity, unigram, warc
+from windrose.llm import decontaminate, jaccard_join, lm_score, pii, quality, substring_dedup, token_counts, toxicity, unigram, warc
 from windrose.llm.common import documents, table
 from windrose.session import pin_utc, ship_code
 
@@ -84,3 +84,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @run("op6_lm_scoring")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score.scores(documents(spark, sf))
+
+
+@run("op2_quality_rules")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(documents(spark, sf), table(spark, sf, "labels"))

@@ -1,8 +1,9 @@
 """Quality rules in DataFrame functions only: surface counts of every text and a log-likelihood ratio of hashed n-grams.
 
 Two multinomials over ``BUCKETS`` hashed words and word pairs are counted: of trusted target texts and of the whole raw corpus.  A
-text's score is the mean, over its words and pairs, of ``log p_target - log p_raw`` (both with one added to each bucket), in whole
-millionths of a nat so that sums do not depend on their order.  A text is kept if no base rule fails and its score reaches
+text's score is the mean, over its words and pairs, of ``log p_target - log p_raw``, in whole millionths of a nat so that sums do not
+depend on their order.  A bucket's ratio is that of its target count to the count expected from the raw corpus, both with PRIOR more, so
+n-grams too rare to tell the two apart count nothing, in small corpora too.  A text is kept if no base rule fails and its score reaches
 ``threshold``; the same tables give the same verdicts.
 
 Scale: counting is one aggregation over BUCKETS keys that combines before the shuffle; scoring and the surface counts are columns of
@@ -10,8 +11,8 @@ the scan.  The table of ratios (BUCKETS numbers) is the only thing collected.
 
 Repeated 8-word windows are looked for by hashes doubled from pairs to fours to eights, and only where the shorter ones repeat.
 
-Defined cases: null and empty texts have no words, fail the base rule and have a null score.  Without trusted texts all ratios come
-from the raw counts alone.  Trusted ids that are null or stand for no text are ignored; repeated rows count once each.
+Defined cases: null and empty texts have no words, fail the base rule and have a null score.  Without trusted texts all ratios
+are 0.  Trusted ids that are null or stand for no text are ignored; repeated rows count once each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.05
+THRESHOLD = -0.085
+PRIOR = 20
 UNIT = 1_000_000
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -59,8 +61,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[
     raw, target = [0] * buckets, [0] * buckets
     for b, r, t in counts.collect():              # at most ``buckets`` rows
         raw[b], target[b] = r, t
-    down = math.log(sum(raw) + buckets) - math.log(sum(target) + buckets)
-    return [round(UNIT * (math.log(t + 1) - math.log(r + 1) + down)) for r, t in zip(raw, target)]
+    share = sum(target) / max(1, sum(raw))
+    return [round(UNIT * math.log((t + PRIOR) / (r * share + PRIOR))) for r, t in zip(raw, target)]
 
 
 def repeated_words() -> Column:

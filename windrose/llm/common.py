@@ -72,6 +72,17 @@ def may_contain(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return hit[((bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -140,5 +140,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows that overlap with an item."""
-    bad = overlaps(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__id"], "left_anti")
+    own, = fresh(docs, "id")
+    bad = overlaps(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad[own], "left_anti")

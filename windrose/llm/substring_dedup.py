@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import GOLD, mix, pieces
+from windrose.llm.common import GOLD, fresh, mix, pieces
 from windrose.llm.tokens import RAW_BYTE, bounds, buffers, span_hashes
 
 GEAR = (mix((np.arange(256, dtype=np.uint64) + np.uint64(777)) * GOLD) >> np.uint64(48)).astype(np.uint16)
@@ -162,8 +162,9 @@ def repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """``docs`` with the spans of ``repeats`` cut out of the texts; the first occurrence stays."""
-    cuts = repeats(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("__cuts"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts["__id"], "left").drop("__id")
+    own, parts = fresh(docs, "id", "cuts")
+    cuts = repeats(docs, min_words).groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(parts))
+    joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts[own], "left").drop(own)
     names, schema = docs.columns, docs.schema
 
     def run(batches):

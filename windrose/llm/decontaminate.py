@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import bloom_filter, lists, may_contain, mix, pieces, salt, stored
+from windrose.llm.common import bloom_filter, fresh, lists, may_contain, mix, pieces, salt, stored
 from windrose.llm.tokens import words_of
 
 MASKS = ("1101100101", "1110010011", "1011011001")

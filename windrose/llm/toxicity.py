@@ -127,10 +127,12 @@ def _fit(batches):
     yield pa.RecordBatch.from_arrays([pa.array([offset]), pa.array([out.astype(np.float32).tobytes()])], ["offset", "weights"])
 
 
-def train(labelled: DataFrame, max_rows: int = 6000) -> tuple[np.ndarray, float]:
-    """Weights and offset from (doc_id, text, label) rows, at most ``max_rows`` of each class."""
+def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and offset from the (text, label, weight) rows of a bounded sample."""
     labelled = labelled.where("text is not null")
     got = labelled.repartition(1).mapInArrow(_fit, "offset double, weights binary").first()
+    if got is None:            # no row at all
+        return np.zeros(1 << BITS, np.float32), -40.0
     return np.frombuffer(got[1], np.float32), float(got[0])
 
 
@@ -193,7 +195,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keys: tuple[str, ...
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
     """Every text's score, learned from the labelled rows whose crc32(doc_id) mod 4 is not 2."""
     seen = docs.where(F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
-    model = train(training_rows(seen, labels, "toxic", max_rows), max_rows)
+    model = train(training_rows(seen, labels, "toxic", max_rows))
     out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ("doc_id",), threshold)
     return out.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                       "n_sentences", "worst_score", "worst_start", "worst_end", "toxic_sentences")
@@ -202,7 +204,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the texts that score at least ``threshold``."""
     seen = docs.where(F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
-    model = train(training_rows(seen, labels, "toxic", max_rows), max_rows)
+    model = train(training_rows(seen, labels, "toxic", max_rows))
     held = docs.sparkSession.sparkContext.broadcast(model[0])
     names = docs.columns
 

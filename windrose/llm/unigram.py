@@ -219,7 +219,7 @@ def viterbi(seg: Segments, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     lone = np.flatnonzero(~single)
     starts.append(lone), lengths.append(np.ones(len(lone), np.int64)), ids.append(-point[lone].astype(np.int64) - 1)
     s, ln, p = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
-    gain = np.where(p >= 0, v.score[p], v.unknown)
+    gain = np.where(p >= 0, v.score[np.maximum(p, 0)], v.unknown)
     # settle offsets from left to right; node i of word w is i + w, a word has one node more than characters
     offset = s - at[word[s]]
     order = np.argsort(offset, kind="stable")

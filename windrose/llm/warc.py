@@ -91,7 +91,7 @@ def _write(folder: str, date: str, archive_bytes: int):
         where, name = fs.FileSystem.from_uri(path)
         where.create_dir(name.rsplit("/", 1)[0], recursive=True)
         data = archive(records)
-        with where.open_output_stream(name) as f:
+        with where.open_output_stream(name, compression=None) as f:
             f.write(data)
         return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "n_records", "n_bytes"])
 
@@ -115,7 +115,7 @@ def _read(batches):
     for b in batches:
         for path in b.column("path").to_pylist():
             where, name = fs.FileSystem.from_uri(path)
-            with where.open_input_stream(name) as f:
+            with where.open_input_stream(name, compression=None) as f:
                 data = f.read()
             out = []
             for head, block in records_of(data):

@@ -41,10 +41,9 @@ def test_fitted_parameters_ignore_later_rows(spark):
     assert tr(a) == tr(b)
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 9])
+@pytest.mark.parametrize("limit", [40, 10 ** 9])
 def test_thresholds_match_numpy_in_both_plans(spark, monkeypatch, limit):
-    monkeypatch.setattr(O, "KEY_ROWS", limit)
-    monkeypatch.setattr(L, "KEY_ROWS", limit)
+    monkeypatch.setattr(O, "SLOT_ROWS", limit)
     df = spark.createDataFrame(cases(), SCHEMA).withColumn("norm_error", F.col("error_m") / 10)
     for r in L.fit_thresholds(df).collect():
         v = np.array([x[6] / 10 for x in cases() if x[10] == "train" and x[3] == r["region_id"] and x[4] == r["lead_day"]])
@@ -58,9 +57,9 @@ def test_label_comparisons_are_strict_and_inclusive(spark):
     assert got == [(0, 0, 1, 0), (1, 1, 0, 0), (0, 0, 0, 0)]
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 9])
+@pytest.mark.parametrize("limit", [40, 10 ** 9])
 def test_trailing_window_is_left_open_right_closed(spark, monkeypatch, limit):
-    monkeypatch.setattr(O, "KEY_ROWS", limit)
+    monkeypatch.setattr(O, "SLOT_ROWS", limit)
     t = T0 + dt.timedelta(days=10)
     us = dt.timedelta(microseconds=1)
     facts = [("a", t, 1.0), ("a", t - dt.timedelta(days=5), 2.0), ("a", t - dt.timedelta(days=5) + us, 4.0), ("a", t + us, 8.0), ("b", t, 16.0)]

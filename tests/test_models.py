@@ -130,7 +130,7 @@ def test_quantile_forest_is_ordered_and_covers(spark):
 
 def test_permutation_is_a_bijection(spark):
     df = toy(spark, 500)
-    p = X.permute_column(df, "noise", 3, block_rows=60)
+    p = X.permute_column(df, "noise", 3)
     vals = lambda d: sorted(r[0] for r in d.select("noise").collect())       # noqa: E731
     assert vals(p) == vals(df)
     assert p.join(df.select("case_id", F.col("noise").alias("n0")), "case_id").where("noise <> n0").count() > 400

@@ -1,4 +1,4 @@
-"""Both plans of the ordered operators (single window, split prefix sum) against NumPy, with a hot key."""
+"""The ordered operators with many and with single slots per key against NumPy, with a hot key."""
 
 import numpy as np
 import pytest
@@ -17,10 +17,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, v double").cache()
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 9])
+@pytest.mark.parametrize("limit", [40, 10 ** 9])
 def test_quantiles(skewed, monkeypatch, limit):
     rows, df = skewed
-    monkeypatch.setattr(O, "KEY_ROWS", limit)
+    monkeypatch.setattr(O, "SLOT_ROWS", limit)
     got = {r["k"]: r for r in O.grouped_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.9, "c": 0.333}, count="n").collect()}
     for k in {r[0] for r in rows}:
         v = np.array([x for kk, x in rows if kk == k])
@@ -28,10 +28,10 @@ def test_quantiles(skewed, monkeypatch, limit):
         assert [got[k][c] for c in "abc"] == pytest.approx(list(np.quantile(v, [0.1, 0.9, 0.333])), abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 9])
+@pytest.mark.parametrize("limit", [40, 10 ** 9])
 def test_prefix_sums_and_percentile(skewed, monkeypatch, limit):
     rows, df = skewed
-    monkeypatch.setattr(O, "KEY_ROWS", limit)
+    monkeypatch.setattr(O, "SLOT_ROWS", limit)
     t = O.ordered_totals(df, ["k"], "v", {"n": F.lit(1)}).collect()
     for k in ("hot", "flat", "k7"):
         v = np.sort([x for kk, x in rows if kk == k])
@@ -44,18 +44,20 @@ def test_prefix_sums_and_percentile(skewed, monkeypatch, limit):
         assert r["pct"] == pytest.approx(np.searchsorted(ref, r["v"], side="right") / len(ref))
 
 
-def test_no_interval_holds_a_hot_key(skewed, monkeypatch):
-    """The split plan bounds what one task sees, whatever the key distribution."""
+def test_no_slot_holds_a_hot_key(skewed):
+    """What one task sees is bounded, whatever the key distribution, and slots follow the order of the values."""
     rows, df = skewed
-    pts = O.split_points(df, "v", 32)
-    per = df.withColumn("s", O.interval_index(F.col("v"), pts)).select("k", "s", "v").distinct().groupBy("k", "s").count()
-    assert per.agg(F.max("count")).first()[0] <= 2.5 * len(rows) / 32
+    d = df.distinct()
+    per = O.with_slots(d, O.slot_shapes(d, ["k"], "v", 40), ["k"], "v").groupBy("k", "_slot").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    assert max(r["n"] for r in per) <= 80 and len([r for r in per if r["k"] == "hot"]) > 8
+    hot = sorted((r["_slot"], r["lo"], r["hi"]) for r in per if r["k"] == "hot")
+    assert all(a[2] < b[1] for a, b in zip(hot, hot[1:]))
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 9])
+@pytest.mark.parametrize("limit", [40, 10 ** 9])
 def test_quantile_grid(skewed, monkeypatch, limit):
     rows, df = skewed
-    monkeypatch.setattr(O, "KEY_ROWS", limit)
+    monkeypatch.setattr(O, "SLOT_ROWS", limit)
     g = O.quantile_grid(df.where("k IN ('hot', 'flat', 'k3')"), ["k"], "v", 100).collect()
     for k in ("hot", "flat", "k3"):
         v = np.array([x for kk, x in rows if kk == k])
@@ -79,9 +81,9 @@ def brute_auprc(y, p):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 10 ** 9])
+@pytest.mark.parametrize("limit", [40, 10 ** 9])
 def test_ranking_metrics(spark, monkeypatch, limit):
-    monkeypatch.setattr(O, "KEY_ROWS", limit)
+    monkeypatch.setattr(O, "SLOT_ROWS", limit)
     rng = np.random.default_rng(5)
     p = np.round(rng.random(800), 2)
     y = (rng.random(800) < p * 0.4).astype(int)

@@ -28,13 +28,13 @@ def day_weights(days: DataFrame, n_boot: int, seed: int) -> DataFrame:
     return draws.join(indexed.select("i", "day"), "i").select("rep", "day", "weight")
 
 
-def replicate_histogram(rows: DataFrame, weights: DataFrame, label: str, score: str, by: Sequence[str], largest: int | None = None) -> DataFrame:
+def replicate_histogram(rows: DataFrame, weights: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Cumulated histogram per (by, rep)."""
     daily = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, "day", score, label).agg(
         F.count(F.lit(1)).alias("_c"))
     fan = (daily.join(weights, "day").withColumn("_w", F.col("_c") * F.col("weight"))
            .groupBy(*by, "rep", score, label).agg(F.sum("_w").alias("_w")))
-    return R.score_histogram(fan, label, score, [*by, "rep"], weight="_w", largest=largest)
+    return R.score_histogram(fan, label, score, [*by, "rep"], weight="_w")
 
 
 def _with_day(df: DataFrame) -> DataFrame:

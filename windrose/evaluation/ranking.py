@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from windrose.operators.ordered import ordered_totals
 
 
-def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None,
-                    largest: int | None = None) -> DataFrame:
+def score_histogram(df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(by, score): pos, neg at the score; tp, fp = cumulated from the highest score down to it; P, N totals."""
     w = F.col(weight) if weight else F.lit(1)
     y = F.col(label)
-    t = ordered_totals(df.where(y.isNotNull()), by, score, {"pos": y * w, "neg": (1 - y) * w}, largest=largest)
+    t = ordered_totals(df.where(y.isNotNull()), by, score, {"pos": y * w, "neg": (1 - y) * w})
     return t.select(*by, F.col(score).alias("score"), "pos", "neg", (F.col("total_pos") - F.col("below_pos")).alias("tp"),
                     (F.col("total_neg") - F.col("below_neg")).alias("fp"), F.col("total_pos").alias("p"), F.col("total_neg").alias("n"))
 
@@ -48,8 +47,8 @@ def recall_at_far_column(far: float) -> Column:
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None,
-                    fars: Sequence[float] = (0.05, 0.10), largest: int | None = None) -> DataFrame:
-    h = score_histogram(df, label, score, by, weight, largest)
+                    fars: Sequence[float] = (0.05, 0.10)) -> DataFrame:
+    h = score_histogram(df, label, score, by, weight)
     return _per_group(h, by, [auprc_column().alias("auprc"), roc_auc_column().alias("roc_auc"),
                               *[recall_at_far_column(f).alias(f"recall_at_far_{round(100 * f)}") for f in fars]])
 
@@ -81,13 +80,13 @@ def alerts(score: Column, threshold: Column, exclusive: Column) -> Column:
     return F.when(exclusive, score > threshold).otherwise(score >= threshold)
 
 
-def pr_curve(df: DataFrame, label: str, score: str, points: int = 60, largest: int | None = None) -> DataFrame:
+def pr_curve(df: DataFrame, label: str, score: str, points: int = 60) -> DataFrame:
     """Precision-recall points in order of rising threshold, thinned to about ``points`` evenly spaced positions.
 
     The closing point (recall 0, precision 1) takes the last position; positions come from a prefix sum over the
     histogram, not from a global sort."""
-    h = score_histogram(df, label, score, largest=largest).where(F.col("p") > 0)
-    t = ordered_totals(h.withColumn("one", F.lit(1)), [], "score", {"i": F.col("one")}, largest=largest)
+    h = score_histogram(df, label, score).where(F.col("p") > 0)
+    t = ordered_totals(h.withColumn("one", F.lit(1)), [], "score", {"i": F.col("one")})
     pos = t.select("score", F.col("below_i").cast("long").alias("position"), F.col("total_i").cast("long").alias("m"))
     curve = h.join(pos, "score").select("position", "m", (F.col("tp") / F.col("p")).alias("recall"),
                                         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))

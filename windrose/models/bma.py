@@ -1,8 +1,9 @@
 """Bayesian model averaging of an exchangeable ensemble: rolling fits, predictive distribution, lookups.
 
 A fit group is (fit_day, region, lead): the cases verified in a trailing window, normally some sixty rows.  Such groups
-are fitted in parallel with NumPy.  A group above ``GROUP_ROWS`` is never handed to one task: its EM runs as distributed
-aggregations, one small parameter table per iteration.
+are fitted in parallel with NumPy.  EM needs all cases of a group in every step, so a group above ``GROUP_ROWS`` (a bound on a
+task's memory, checked by a combined count) is never handed to one task: its EM runs as distributed aggregations, one small
+parameter table per iteration.  Both give the same result; ``bma_fit_spread`` and ``bma_free_weights_spread`` run the second.
 """
 
 from __future__ import annotations
@@ -18,18 +19,24 @@ from pyspark.sql import types as T
 from windrose import constants as C
 from windrose.functions import probability as P
 from windrose.functions.random import seeded_hash
-from windrose.operators.ordered import largest_key
 from windrose.session import cut_lineage
 
 GROUP_ROWS = 20_000
 FLOOR = 1e-6
 
 
-def member_anomalies(members: DataFrame, climatology: DataFrame, keys: Sequence[str], clim_keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Member anomalies as one array per cell forecast (its length is the ensemble size), with the ensemble-mean anomaly."""
+def _any_larger(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    """Whether a group holds more than ``rows`` rows: one combined count."""
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).isEmpty()
+
+
+def member_anomalies(members: DataFrame, climatology: DataFrame, keys: Sequence[str], clim_keys: Sequence[str], value: str = "value",
+                     member: str = "member") -> DataFrame:
+    """Member anomalies as one array per cell forecast in the order of the members (its length is the ensemble size), with the
+    ensemble-mean anomaly."""
     j = members.join(climatology, list(clim_keys)).withColumn("_a", F.col(value) - F.col("clim_value"))
-    return j.groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("members"), F.avg("_a").alias("mean_anom"),
-                                F.first("clim_value").alias("clim_value"))
+    return j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(member).alias("m"), F.col("_a").alias("a")))).getField("a").alias("members"),
+                                F.avg("_a").alias("mean_anom"), F.first("clim_value").alias("clim_value"))
 
 
 def check_member_mean(anomalies: DataFrame, states: DataFrame, keys: Sequence[str], mean: str, tol: float = 0.01) -> DataFrame:
@@ -126,7 +133,7 @@ def fit_exchangeable(rows: DataFrame, keys: Sequence[str], max_iter: int = C.BMA
         flat = packed.select(*keys, F.flatten("_c.members").alias("f"), F.transform("_c.members", F.size).alias("k"), F.col("_c.y").alias("y"),
                              "n_cases", "last_verified")
         return flat.mapInPandas(run, schema)
-    if largest_key(usable, keys) <= group_rows:
+    if not _any_larger(usable, keys, group_rows):
         return grouped(usable.join(sizes.select(*keys), keys, "left_semi"))
     small = usable.join(sizes.where(F.col("_n") <= group_rows).select(*keys), keys, "left_semi")
     large = usable.join(sizes.where(F.col("_n") > group_rows).select(*keys), keys, "left_semi")
@@ -152,7 +159,7 @@ def rolling_fit(rows: DataFrame, keys: Sequence[str], fit_days: DataFrame, windo
     days = (fit_days.select("fit_day").distinct().withColumn("chunk", chunk(F.col("fit_day"))).groupBy("chunk")
             .agg(F.sort_array(F.collect_list(F.unix_date("fit_day"))).alias("days")))       # at most window_days per chunk
     part, rest = spread, None
-    if largest_key(spread, [*keys, "chunk"]) > group_rows:
+    if _any_larger(spread, [*keys, "chunk"], group_rows):
         sizes = spread.groupBy(*keys, "chunk").agg((F.count(F.lit(1)) > group_rows).alias("_big"))
         part = spread.join(sizes.where(~F.col("_big")), [*keys, "chunk"], "left_semi")
         hot = spread.join(sizes.where("_big"), [*keys, "chunk"], "left_semi").withColumn("fit_day", F.explode(F.sequence(F.col("_d"), F.date_add("_d", window_days - 1))))
@@ -190,81 +197,91 @@ def rolling_fit(rows: DataFrame, keys: Sequence[str], fit_days: DataFrame, windo
     return fitted if rest is None else fitted.unionByName(rest)
 
 
-def free_weights(rows: DataFrame, keys: Sequence[str], n_groups: int, seed: int, max_iter: int = 500, tol: float = 1e-7,
+def free_weights(rows: DataFrame, keys: Sequence[str], n_groups: int | None, seed: int, max_iter: int = 500, tol: float = 1e-7,
                  group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Diagnostic: member-specific bias and weight for ``n_groups`` hash-drawn groups (arrays of one common length).
+    """Diagnostic: member-specific bias and weight for ``n_groups`` hash-drawn groups (all without a number).
 
-    A drawn group of at most ``group_rows`` cases is solved in one task; a larger one runs its EM as distributed
+    Members are told apart by their place in the array; a case with fewer members than its group's largest simply lacks the
+    last ones.  A group of at most ``group_rows`` cases is solved in one task; a larger one runs its EM as distributed
     aggregations with the same steps and the same stopping rule."""
     keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = sizes.orderBy(seeded_hash(seed, *[F.col(k) for k in keys]), *keys).limit(n_groups)
-    part = rows.join(drawn.select(*keys), keys, "left_semi").select(*keys, "members", "y")
+    part = rows.where(F.col("y").isNotNull() & (F.size("members") > 0)).select(*keys, "members", "y")
+    if n_groups is not None:
+        drawn = part.select(*keys).distinct().orderBy(seeded_hash(seed, *[F.col(k) for k in keys]), *keys).limit(n_groups)
+        part = part.join(drawn, keys, "left_semi")
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, k int, w_min double, w_max double, sigma double"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, k int, w_min double, w_max double, w_sum double, sigma double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf["members"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
-        n, size = x.shape
-        dx, dy = x - x.mean(axis=0), y - y.mean()
+        size = max(map(len, pdf["members"]))
+        x = np.full((len(pdf), size), np.nan)
+        for i, m in enumerate(pdf["members"]):
+            x[i, :len(m)] = m
+        y, has = pdf["y"].to_numpy(float)[:, None], ~np.isnan(x)
+        n = len(pdf)
+        count = has.sum(axis=0)
+        mean_x, mean_y = np.nansum(x, axis=0) / count, (has * y).sum(axis=0) / count
+        dx, dy = np.where(has, x - mean_x, 0.0), np.where(has, y - mean_y, 0.0)
         power = (dx * dx).sum(axis=0)
-        slope = np.divide(dx.T @ dy, power, out=np.zeros(size), where=power > 0)
-        half = 0.5 * (dy[:, None] - dx * slope) ** 2                   # half squared residuals of every member's own line
-        log_w, var, gain = np.full(size, -np.log(size)), max(2 * half.mean(), FLOOR), None
+        slope = np.divide((dx * dy).sum(axis=0), power, out=np.zeros(size), where=power > 0)
+        residual2 = (dy - dx * slope) ** 2                        # squared residuals of every member's own line
+        log_w, var, last = np.full(size, -np.log(size)), max(residual2.sum() / has.sum(), FLOOR), None
         for _ in range(max_iter):
-            score = log_w - half / var
-            peak = score.max(axis=1)
-            share = np.exp(score - peak[:, None])
-            mass = share.sum(axis=1)
-            fit = (peak + np.log(mass)).sum() - n / 2 * np.log(2 * np.pi * var)
-            share /= mass[:, None]
-            log_w = np.log(np.maximum(share.sum(axis=0) / n, 1e-300))
-            var = max(2 * (share * half).sum() / n, FLOOR)
-            if gain is not None and fit - gain < tol * abs(fit):
+            log_density = np.where(has, log_w - residual2 / (2 * var), -np.inf)
+            peak = log_density.max(axis=1)
+            responsibility = np.exp(log_density - peak[:, None])
+            total = responsibility.sum(axis=1)
+            likelihood = (peak + np.log(total)).sum() - n / 2 * np.log(2 * np.pi * var)
+            responsibility /= total[:, None]
+            log_w = np.log(np.maximum(responsibility.sum(axis=0) / n, 1e-300))
+            var = max((responsibility * residual2).sum() / n, FLOOR)
+            if last is not None and likelihood - last < tol * abs(likelihood):
                 break
-            gain = fit
+            last = likelihood
         w = np.exp(log_w)
-        return pd.DataFrame([[*key, n, size, w.min(), w.max(), np.sqrt(var)]], columns=[*keys, "n", "k", "w_min", "w_max", "sigma"])
-    if largest_key(part, keys) <= group_rows:
+        return pd.DataFrame([[*key, n, size, w.min(), w.max(), w.sum(), np.sqrt(var)]], columns=[*keys, "n", "k", "w_min", "w_max", "w_sum", "sigma"])
+    if not _any_larger(part, keys, group_rows):
         return part.groupBy(*keys).applyInPandas(run, schema)
-    small = part.join(drawn.where(F.col("_n") <= group_rows).select(*keys), keys, "left_semi")
-    large = part.join(drawn.where(F.col("_n") > group_rows).select(*keys), keys, "left_semi")
+    big = part.groupBy(*keys).agg((F.count(F.lit(1)) > group_rows).alias("_big"))
+    small = part.join(big.where(~F.col("_big")), keys, "left_semi")
+    large = part.join(big.where("_big"), keys, "left_semi")
     return small.groupBy(*keys).applyInPandas(run, schema).unionByName(_distributed_free_weights(large, keys, max_iter, tol))
 
 
 def _distributed_free_weights(rows: DataFrame, keys: Sequence[str], max_iter: int, tol: float) -> DataFrame:
     """EM for oversized groups: per-member lines by built-in regressions, then one aggregation per step."""
-    size = rows.select(F.max(F.size("members")).alias("k")).first()["k"]
-    if size is None:
-        size = 1
-    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)                     # noqa: E731
+    size = rows.select(F.max(F.size("members")).alias("k")).first()["k"] or 1
+    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))                     # noqa: E731
     lines = (rows.select(*keys, "y", F.posexplode("members").alias("m", "x")).groupBy(*keys, "m")
              .agg(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("b"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
              .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("m", "b", "mx", "my"))).alias("line")))       # one element per member
-    half = cut_lineage(rows.join(lines, keys).select(*keys, F.zip_with(
-        "members", "line", lambda x, q: 0.5 * F.pow(F.col("y") - q["my"] - q["b"] * (x - q["mx"]), 2)).alias("half")))
-    state = cut_lineage(half.groupBy(*keys).agg(
-        F.greatest(2 * F.avg(add("half") / size), F.lit(FLOOR)).alias("var"), F.count(F.lit(1)).alias("n")).withColumns({
-            "lw": F.array_repeat(F.lit(float(-np.log(size))), size), "gain": F.lit(None).cast("double"), "active": F.lit(True)}))
+    own = F.slice("line", F.lit(1), F.size("members"))
+    rows = cut_lineage(rows.join(lines, keys).withColumn("line", own).select(*keys, F.size("line").alias("size"), F.zip_with(
+        "members", "line", lambda x, q: F.pow(F.col("y") - q["my"] - q["b"] * (x - q["mx"]), 2)).alias("residual2")))
+    k = F.max("size")
+    state = cut_lineage(rows.groupBy(*keys).agg(
+        F.greatest(F.sum(add("residual2")) / F.sum("size"), F.lit(FLOOR)).alias("var"), F.count(F.lit(1)).alias("n"), k.alias("k")).withColumns({
+            "log_w": F.transform(F.sequence(F.lit(1), "k"), lambda i: -F.log(F.col("k").cast("double"))), "last": F.lit(None).cast("double"), "active": F.lit(True)}))
     for _ in range(max_iter):
-        j = half.join(state.where("active").select(*keys, "var", "lw"), keys)
-        j = j.withColumn("score", F.zip_with("lw", "half", lambda w, h: w - h / F.col("var"))).withColumn("peak", F.array_max("score"))
-        j = j.withColumn("share", F.transform("score", lambda v: F.exp(v - F.col("peak")))).withColumn("mass", add("share"))
+        j = rows.join(state.where("active").select(*keys, "var", "log_w"), keys)
+        j = j.withColumn("log_density", F.zip_with(F.slice("log_w", F.lit(1), F.col("size")), "residual2", lambda w, r: w - r / (2 * F.col("var"))))
+        j = j.withColumn("peak", F.array_max("log_density"))
+        j = j.withColumn("responsibility", F.transform("log_density", lambda v: F.exp(v - F.col("peak")))).withColumn("total", add("responsibility"))
         step = j.groupBy(*keys).agg(
-            F.array(*[F.avg(F.col("share")[i] / F.col("mass")) for i in range(size)]).alias("_w"),
-            F.avg(2 * add(F.zip_with("share", "half", lambda s, h: s * h)) / F.col("mass")).alias("_v"),
-            F.sum(F.col("peak") + F.ln("mass")).alias("_f"))
-        fit = F.col("_f") - F.col("n") / 2 * F.ln(2 * np.pi * F.col("var"))
-        done = F.coalesce(fit - F.col("gain") < tol * F.abs(fit), F.lit(False))
+            F.array(*[F.avg(F.coalesce(F.get("responsibility", F.lit(i)) / F.col("total"), F.lit(0.0))) for i in range(size)]).alias("_w"),
+            F.avg(add(F.zip_with("responsibility", "residual2", lambda s, r: s * r)) / F.col("total")).alias("_v"),
+            F.sum(F.col("peak") + F.ln("total")).alias("_f"))
+        likelihood = F.col("_f") - F.col("n") / 2 * F.ln(2 * np.pi * F.col("var"))
+        done = F.coalesce(likelihood - F.col("last") < tol * F.abs(likelihood), F.lit(False))
+        new_w = F.transform(F.slice("_w", F.lit(1), F.col("k")), lambda w: F.ln(F.greatest(w, F.lit(1e-300))))
         state = cut_lineage(state.join(step, keys, "left").select(
-            *keys, F.when(F.col("_v").isNotNull(), F.greatest("_v", F.lit(FLOOR))).otherwise(F.col("var")).alias("var"), "n",
-            F.coalesce(F.transform("_w", lambda w: F.ln(F.greatest(w, F.lit(1e-300)))), "lw").alias("lw"),
-            F.coalesce(fit, "gain").alias("gain"), (F.col("active") & ~done).alias("active")))
+            *keys, F.when(F.col("_v").isNotNull(), F.greatest("_v", F.lit(FLOOR))).otherwise(F.col("var")).alias("var"), "n", "k",
+            F.coalesce(new_w, "log_w").alias("log_w"), F.coalesce(likelihood, "last").alias("last"), (F.col("active") & ~done).alias("active")))
         if state.where("active").isEmpty():
             break
-    w = F.transform("lw", F.exp)
-    return state.select(*keys, F.col("n").cast("long").alias("n"), F.lit(size).cast("int").alias("k"), F.array_min(w).alias("w_min"),
-                        F.array_max(w).alias("w_max"), F.sqrt("var").alias("sigma"))
+    w = F.transform("log_w", F.exp)
+    return state.select(*keys, F.col("n").cast("long").alias("n"), F.col("k").cast("int").alias("k"), F.array_min(w).alias("w_min"),
+                        F.array_max(w).alias("w_max"), add(w).alias("w_sum"), F.sqrt("var").alias("sigma"))
 
 
 def with_mixture(rows: DataFrame) -> DataFrame:

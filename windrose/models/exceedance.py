@@ -18,7 +18,7 @@ from windrose import constants as C
 from windrose.functions import scalar as S
 from windrose.functions.random import seeded_hash
 from windrose.models import calibration as CA
-from windrose.operators.ordered import grouped_quantiles
+from windrose.operators.ordered import grouped_quantiles, ordered_totals
 from windrose.session import checkpoint_dir
 from windrose.sources.sinks import forbidden_columns
 
@@ -167,18 +167,18 @@ def fit_quantile_forest(df: DataFrame, features: Sequence[str], target: str = "n
     return m
 
 
-def permute_column(df: DataFrame, column: str, seed: int, key: str = "case_id", block_rows: int = 50_000, n_rows: int | None = None) -> DataFrame:
-    """The rows with ``column`` randomly permuted.
+def permute_column(df: DataFrame, column: str, seed: int, key: str = "case_id") -> DataFrame:
+    """The rows with ``column`` randomly permuted over all of them.
 
-    Rows fall into hashed blocks of bounded size; inside a block the values in one random order are handed to the rows in
-    another.  That is a bijection without a global ordering."""
-    n = df.count() if n_rows is None else n_rows
-    blocks = max(1, -(-n // block_rows))
-    b = df.withColumn("_b", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)))
-    order = lambda s: W.partitionBy("_b").orderBy(seeded_hash(s, F.col(key)), key)          # noqa: E731
-    rows = b.withColumn("_r", F.row_number().over(order(seed)))
-    values = b.select("_b", F.row_number().over(order(seed + 1)).alias("_r"), F.col(column).alias("_v"))
-    return rows.join(values, ["_b", "_r"]).withColumn(column, F.col("_v")).drop("_b", "_r", "_v")
+    The value of the row that is r-th in one random order goes to the row that is r-th in another; both orders are
+    ranked by distributed prefix sums over 64-bit hashes of the key (which must be unique)."""
+    place = lambda s: F.xxhash64(F.col(key), F.lit(s))          # noqa: E731
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.join(ordered_totals(rows, [], "_h", {"n": F.lit(1)}).select("_h", F.col("below_n").alias("_r")), "_h").drop("_h")
+    rows = ranked(df.withColumn("_h", place(seed)))
+    values = ranked(df.select(place(seed + 1).alias("_h"), F.col(column).alias("_v")))
+    return rows.join(values, "_r").withColumn(column, F.col("_v")).drop("_r", "_v")
 
 
 def group_attribution(df: DataFrame, model: ExceedanceModel, groups: Mapping[str, Sequence[str]], key: str = "case_id") -> DataFrame:

@@ -43,13 +43,13 @@ def previous_cycle(df: DataFrame, cell_keys: Sequence[str], values: Sequence[str
     return df.withColumn("_init", previous_init).join(prev, [*cell_keys, "valid_time", "_init"], "left").drop("_init")
 
 
-def eligible_counts(queries: DataFrame, candidates: DataFrame, keys: Sequence[str], largest: int | None = None) -> DataFrame:
+def eligible_counts(queries: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of candidates of the same key verified no later than each query's init time.
 
     Both sides are stacked on one time axis and counted by a distributed prefix sum: no candidate pair is formed."""
     axis = (candidates.select(*keys, F.unix_micros("valid_time").alias("t"), F.lit(1).alias("n"))
             .unionByName(queries.select(*keys, F.unix_micros("init_time").alias("t"), F.lit(0).alias("n"))))
-    t = ordered_totals(axis, keys, "t", {"n": F.col("n")}, largest=largest)
+    t = ordered_totals(axis, keys, "t", {"n": F.col("n")})
     seen = t.select(*keys, "t", (F.col("below_n") + F.col("n")).cast("long").alias("n_eligible"))
     return (queries.withColumn("t", F.unix_micros("init_time")).join(seen, [*keys, "t"], "left")
             .withColumn("n_eligible", F.coalesce("n_eligible", F.lit(0).cast("long"))).drop("t"))

@@ -67,8 +67,8 @@ def spread_skill(cases: DataFrame, n_members: float, by: Sequence[str] = ("lead_
                     "corr_spread_error")
 
 
-def rank_histogram(ranks: DataFrame, n_members: int, by: str = "lead_day", rank: str = "ref_rank") -> DataFrame:
-    """Counts per (lead, rank 0..M) with empty bins; the bin frame is a fixed-size dimension."""
-    frame = ranks.select(by).distinct().withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(n_members))))
+def rank_histogram(ranks: DataFrame, by: str = "lead_day", rank: str = "ref_rank", members: str = "n_members") -> DataFrame:
+    """Counts per (lead, rank 0..M) with empty bins; M is the largest member count of the lead."""
+    frame = ranks.groupBy(by).agg(F.max(members).cast("int").alias("_m")).select(by, F.explode(F.sequence(F.lit(0), F.coalesce("_m", F.lit(0)))).alias("rank"))
     counts = ranks.where(F.col(rank).isNotNull()).groupBy(by, F.col(rank).cast("int").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
     return frame.join(counts, [by, "rank"], "left").select(by, "rank", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

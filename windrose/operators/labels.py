@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from windrose import constants as C
 from windrose.functions import scalar as S
-from windrose.operators.ordered import KEY_ROWS, grouped_quantiles, largest_key, reference_percentile
+from windrose.operators.ordered import grouped_quantiles, reference_percentile
 
 GROUP = list(C.GROUP)
 
@@ -46,20 +46,18 @@ def attach(cases: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFram
     return cases.join(fitted, list(keys), "left")
 
 
-def fit_thresholds(cases: DataFrame, error: str = "norm_error", spread: str = "spread_m",
-                   largest: int | None = None) -> DataFrame:
+def fit_thresholds(cases: DataFrame, error: str = "norm_error", spread: str = "spread_m") -> DataFrame:
+    """Error and spread quantiles of TRAIN per group; both measures share one ordered pass."""
     train = cases.where(is_train())
-    largest = largest_key(train, GROUP) if largest is None else largest
-    if largest <= KEY_ROWS:         # both quantile sets in one aggregation
-        g = train.groupBy(*GROUP).agg(F.percentile(error, [C.PRIMARY_QUANTILE, C.SENSITIVITY_QUANTILE]).alias("_q"),
-                                      F.percentile(spread, C.LOW_SPREAD_QUANTILE).alias("spread_low"),
-                                      F.count(F.lit(1)).alias("n_train"))
-        return g.select(*GROUP, F.col("_q")[0].alias("q_primary"), F.col("_q")[1].alias("q_sensitivity"), "spread_low",
-                        "n_train", F.lit("train").alias("fitted_on"))
-    err = grouped_quantiles(train, GROUP, error, {"q_primary": C.PRIMARY_QUANTILE, "q_sensitivity": C.SENSITIVITY_QUANTILE},
-                            count="n_train", largest=largest)
-    low = grouped_quantiles(train, GROUP, spread, {"spread_low": C.LOW_SPREAD_QUANTILE}, largest=largest)
-    return err.join(low, GROUP, "left").withColumn("fitted_on", F.lit("train"))
+    both = train.select(*GROUP, F.explode(F.array(
+        F.struct(F.lit("error").alias("measure"), F.col(error).cast("double").alias("v")),
+        F.struct(F.lit("spread").alias("measure"), F.col(spread).cast("double").alias("v")))).alias("m")).select(*GROUP, "m.*")
+    probs = {"q_primary": C.PRIMARY_QUANTILE, "q_sensitivity": C.SENSITIVITY_QUANTILE, "spread_low": C.LOW_SPREAD_QUANTILE}
+    q = grouped_quantiles(both, [*GROUP, "measure"], "v", probs)
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(c)          # noqa: E731
+    wide = q.groupBy(*GROUP).agg(of("error", "q_primary"), of("error", "q_sensitivity"), of("spread", "spread_low"))
+    n = train.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_train"))
+    return n.join(wide, GROUP, "left").select(*GROUP, "q_primary", "q_sensitivity", "spread_low", "n_train", F.lit("train").alias("fitted_on"))
 
 
 def exceedance_labels(df: DataFrame) -> DataFrame:
@@ -82,8 +80,7 @@ def label_cases(cases: DataFrame, anomaly: str = "ref_anom_m", order: Sequence[s
     scale = fit_normalisation(cases, anomaly, order).drop("fitted_on")
     scaled = attach(cases, scale, ["region_id", "season"]).withColumn(
         "norm_error", S.normalized_error("error_m", "scale_m"))
-    largest = largest_key(cases.where(is_train()), GROUP)      # group sizes do not depend on the scale: count early
-    th = fit_thresholds(scaled, largest=largest).drop("n_train", "fitted_on")
+    th = fit_thresholds(scaled).drop("n_train", "fitted_on")
     out = exceedance_labels(attach(scaled, th, GROUP))
     out = out.withColumn("spread_thr_ratio", S.spread_threshold_ratio("spread_m", "q_primary", "scale_m", n_members))
     return spread_percentile(out) if percentile else out

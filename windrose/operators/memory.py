@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose import constants as C
-from windrose.operators.ordered import SPLITS, grouped_quantiles, interval_index, largest_key, split_points
+from windrose.operators.ordered import grouped_quantiles, slot_shapes, with_slots
 from windrose.session import cut_lineage
 
 BLOCK_ROWS = 32_768     # a row travels to (rows of its key) / BLOCK_ROWS blocks: large blocks keep the replication small
@@ -36,7 +36,7 @@ def _blocks(df: DataFrame, keys: Sequence[str], slot: str, salt: str, block_rows
 
 
 def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float) -> pd.DataFrame:
-    """Partial answer of one block pair: up to k neighbours per query, and a count row (neighbour NULL)."""
+    """Partial answer of one block pair: up to k neighbours per query, or with k = 0 a row of counts (neighbour NULL)."""
     if len(q) == 0 or len(c) == 0:
         return pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="Int64"), "distance": pd.Series(dtype="float64"),
                              "bust": pd.Series(dtype="float64"), "norm_error": pd.Series(dtype="float64"),
@@ -55,7 +55,9 @@ def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float) ->
         dist = np.where(ct[None, :] <= qt[qs][:, None], np.sqrt(d2), np.inf)
         ids = q["id"].to_numpy()[qs]
         near = np.isfinite(dist)
-        n_eligible = near.sum(1)
+        if k == 0:
+            parts.append(pd.DataFrame({"id": ids, "n_eligible": near.sum(1), "n_within": (dist <= radius).sum(1)}))
+            continue
         if len(cv) > k:                                  # selection instead of a full sort; ties at the k-th distance stay in
             near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1][:, None]
         row, col = np.nonzero(near)
@@ -67,26 +69,25 @@ def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float) ->
         row, col, value = row[keep], col[keep], value[keep]
         parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[col], "distance": value,
                                    "bust": c["bust"].to_numpy()[col], "norm_error": c["norm_error"].to_numpy()[col]}))
-        parts.append(pd.DataFrame({"id": ids, "n_eligible": n_eligible, "n_within": (dist <= radius).sum(1)}))
-    out = pd.concat(parts, ignore_index=True)
-    return out.astype({"neighbour": "Int64", "n_eligible": "Int64", "n_within": "Int64"})[
-        ["id", "neighbour", "distance", "bust", "norm_error", "n_eligible", "n_within"]]
+    names = ["id", "neighbour", "distance", "bust", "norm_error", "n_eligible", "n_within"]
+    out = pd.concat(parts, ignore_index=True).reindex(columns=names)
+    return out.astype({"neighbour": "Int64", "n_eligible": "Int64", "n_within": "Int64", "distance": float, "bust": float, "norm_error": float})
 
 
 _PARTIAL = "id bigint, neighbour bigint, distance double, bust double, norm_error double, n_eligible bigint, n_within bigint"
 
 
 def partial_neighbours(queries: DataFrame, candidates: DataFrame, keys: Sequence[str], vector: str, k: int, radius: float = float("inf"),
-                       block_rows: int = BLOCK_ROWS, splits: int = SPLITS) -> DataFrame:
-    """Partial answers of every block pair (see module text); ids must be unique."""
+                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Partial answers of every block pair (see module text); ids must be unique.  The number of time intervals of a key
+    follows from its count, and is one where a key fits a block."""
     keys = list(keys)
     c = candidates.select(*keys, F.col("case_id").alias("id"), F.col(vector).alias("vector"), F.unix_micros("valid_time").alias("t"),
                           F.col("bust").cast("double").alias("bust"), F.col("norm_error").cast("double").alias("norm_error"))
     q = queries.select(*keys, F.col("case_id").alias("id"), F.col(vector).alias("vector"), F.unix_micros("init_time").alias("t"))
-    points = split_points(c, "t", splits) if largest_key(c, keys) > block_rows else []
-    slot = interval_index(F.col("t").cast("double"), points)
-    c, cb = _blocks(c.withColumn("c_slot", slot), keys, "c_slot", "c_salt", block_rows)
-    q, qb = _blocks(q.withColumn("q_slot", slot), keys, "q_slot", "q_salt", block_rows)
+    shapes = slot_shapes(c, keys, "t", block_rows)
+    c, cb = _blocks(with_slots(c, shapes, keys, "t", "c_slot"), keys, "c_slot", "c_salt", block_rows)
+    q, qb = _blocks(with_slots(q, shapes, keys, "t", "q_slot"), keys, "q_slot", "q_salt", block_rows)
     pairs = qb.join(cb, keys).where(F.col("c_slot") <= F.col("q_slot"))        # a later interval cannot be verified yet
     pair_keys = [*keys, "q_slot", "q_salt", "c_slot", "c_salt"]
     renamed = lambda df, side: df.withColumnsRenamed({k: f"{side}_{k}" for k in pair_keys})       # noqa: E731
@@ -120,27 +121,33 @@ def eligible(cases: DataFrame, mode: str) -> DataFrame:
     return cases
 
 
-def fit_radius(cases: DataFrame, keys: Sequence[str], vector: str, k: int, mode: str, block_rows: int = BLOCK_ROWS) -> float:
-    """Median TRAIN distance to the k-th eligible neighbour, over keys with more than k TRAIN rows."""
+def fit_radius(cases: DataFrame, keys: Sequence[str], best: DataFrame, k: int) -> float:
+    """Median distance of TRAIN rows to their k-th eligible neighbour, over keys with more than k TRAIN rows.
+
+    ``best``: the merged neighbours (id, rank, distance) of all rows."""
     keys = list(keys)
-    train = cases.where("split = 'train'")
+    train = cases.where("split = 'train'").select(*keys, F.col("case_id").alias("id"))
     big = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k).select(*keys)
-    q = train.join(big, keys, "left_semi")
-    kth = knn_join(q, eligible(cases, mode), keys, vector, k, block_rows).where(F.col("rank") == k).select(F.lit(0).alias("g"), "distance")
-    row = grouped_quantiles(cut_lineage(kth), ["g"], "distance", {"radius": 0.5}).first()
-    return float(row["radius"]) if row else float("inf")
+    kth = best.where(F.col("rank") == k).join(train.join(big, keys, "left_semi").select("id"), "id", "left_semi").select("distance")
+    row = grouped_quantiles(kth, [], "distance", {"radius": 0.5}).first()
+    return float(row["radius"]) if row and row["radius"] is not None else float("inf")
 
 
 def memory_features(cases: DataFrame, keys: Sequence[str], vector: str, k: int = C.ANALOGUE_K, kmin: int = C.ANALOGUE_MIN,
                     mode: str = "causal_online", block_rows: int = BLOCK_ROWS, radius: float | None = None) -> DataFrame:
-    """Analogue features of every case: eligible and within-radius counts, distances, bust rate, median and Q90 error."""
+    """Analogue features of every case: eligible and within-radius counts, distances, bust rate, median and Q90 error.
+
+    The first pass keeps the k best of each query, merged before they are stored; they also give the radius.  The second
+    pass returns counts only."""
+    pool = eligible(cases, mode)
+    best = cut_lineage(best_neighbours(partial_neighbours(cases, pool, keys, vector, k, block_rows=block_rows), k))
     if radius is None:
-        radius = fit_radius(cases, keys, vector, k, mode, block_rows)
-    part = cut_lineage(partial_neighbours(cases, eligible(cases, mode), keys, vector, k, radius, block_rows))
-    counts = part.where(F.col("neighbour").isNull()).groupBy("id").agg(F.sum("n_eligible").alias("an_n_eligible"), F.sum("n_within").alias("an_n_within"))
+        radius = fit_radius(cases, keys, best, k)
+    counts = (partial_neighbours(cases, pool, keys, vector, 0, radius, block_rows).groupBy("id")
+              .agg(F.sum("n_eligible").alias("an_n_eligible"), F.sum("n_within").alias("an_n_within")))
     n = F.count(F.lit(1))
     enough = lambda c: F.when(n >= kmin, c)                            # noqa: E731
-    near = best_neighbours(part, k).groupBy("id").agg(                # at most k rows per id
+    near = best.groupBy("id").agg(                # at most k rows per id
         n.alias("an_n_used"), F.min("distance").alias("an_dist1"), enough(F.avg("distance")).alias("an_dist_mean"),
         enough(F.avg("bust")).alias("an_bust_rate"), enough(F.percentile("norm_error", 0.5)).alias("an_err_med"),
         enough(F.percentile("norm_error", 0.9)).alias("an_err_q90"))

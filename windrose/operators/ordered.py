@@ -4,16 +4,13 @@ A window ``partitionBy(key).orderBy(value)`` sorts a whole key in one task; a ke
 rows would not fit.  ``ordered_totals`` instead
 
 1. collapses equal (key, value) rows with map-side partial sums,
-2. cuts the value axis at a fixed number of split points from a mergeable quantile sketch, so that no
-   (key, interval) holds more than about ``rows / splits`` distinct values whatever the key distribution,
-3. sums each (key, interval) (a table of at most keys x (splits + 1) rows) and turns that into offsets,
-4. accumulates inside each (key, interval) and adds the offset.
+2. cuts the values of every key with more than ``SLOT_ROWS`` distinct ones into slots of about that many, at points
+   from a mergeable quantile sketch of that key; the number of slots follows from the key's count,
+3. sums each (key, slot) and turns that into offsets,
+4. accumulates inside each (key, slot) and adds the offset.
 
-The split points are ``splits - 1`` numbers; they are the only thing that reaches the driver, and they only
-steer the work distribution: the result is exact for any choice.
-
-Where the largest key is measured to hold at most ``KEY_ROWS`` rows, the cheaper single-window plan (or the
-built-in exact percentile) is used instead; the measured size decides, never an assumption.
+All of it is one lazy plan: counts and cut points are joined by key and never reach the driver.  They only steer the
+work distribution: the result is exact for any choice.  Keys with few values have slot 0 alone.
 """
 
 from __future__ import annotations
@@ -24,50 +21,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SPLITS = 32
-KEY_ROWS = 500_000
+SLOT_ROWS = 100_000
+_LEVELS = 10                     # a sketch gives 2**_LEVELS - 1 cut points
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the fullest key: one map-side combined count, one number to the driver."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).first()["n"] or 0
+def slot_shapes(df: DataFrame, keys: Sequence[str], value: str, slot_rows: int | None = None) -> DataFrame:
+    """(keys, _shape): cut points and number of slots of the keys with more than ``slot_rows`` rows."""
+    slot_rows = SLOT_ROWS if slot_rows is None else slot_rows
+    probs = [i / 2**_LEVELS for i in range(1, 2**_LEVELS)]
+    n_slots = F.least(F.lit(2**_LEVELS), F.ceil(F.count(F.lit(1)) / slot_rows)).cast("int")
+    shape = F.struct(F.percentile_approx(F.col(value).cast("double"), probs, 10_000).alias("cuts"), n_slots.alias("n")).alias("_shape")
+    if not keys:
+        return df.agg(shape)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > slot_rows).select(*keys)
+    return df.join(large, list(keys)).groupBy(*keys).agg(shape)
 
 
-def split_points(df: DataFrame, value: str, splits: int = SPLITS) -> list[float]:
-    """At most ``splits - 1`` increasing cut points of ``value`` from a mergeable sketch."""
-    probs = [i / splits for i in range(1, splits)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * splits).alias("b")).first()
-    return sorted(set(row["b"] or []))
+def slot_of(value: Column, shape: Column) -> Column:
+    """Slot of ``value`` under a shape: a binary search of the cut points; 0 without a shape."""
+    v, cuts = value.cast("double"), shape["cuts"]
+    step = lambda at, s: F.when(F.element_at(cuts, at + s) < v, at + s).otherwise(at)        # noqa: E731
+    below = F.aggregate(F.array(*[F.lit(2**i) for i in reversed(range(_LEVELS))]), F.lit(0), step)
+    return F.when(shape["n"] > 1, F.floor(below * shape["n"] / 2**_LEVELS)).otherwise(0).cast("int")
 
 
-def interval_index(value: Column, points: Sequence[float]) -> Column:
-    """Index of the interval holding ``value``: a balanced tree of comparisons, generated as code."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(points))
+def with_slots(df: DataFrame, shapes: DataFrame, keys: Sequence[str], value: str, out: str = "_slot") -> DataFrame:
+    """``df`` with the slot of every row."""
+    shaped = df.join(shapes, list(keys), "left") if keys else df.withColumn("_shape", shapes.scalar())
+    return shaped.withColumn(out, slot_of(F.col(value), F.col("_shape"))).drop("_shape")
 
 
 def ordered_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column],
-                   splits: int = SPLITS, largest: int | None = None) -> DataFrame:
+                   slot_rows: int | None = None) -> DataFrame:
     """One row per distinct (keys, value): summed measures ``m``, sums over smaller values ``below_m`` and
-    key totals ``total_m``.  Rows with a NULL value are left out; keys must not be NULL.
-
-    ``largest``: known row count of the fullest key (measured here when not given)."""
+    key totals ``total_m``.  Rows with a NULL value are left out; keys must not be NULL."""
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, value, *[c.alias(n) for n, c in measures.items()])
     names = list(measures)
     distinct = rows.groupBy(*keys, value).agg(*[F.sum(n).alias(n) for n in names])
-    if (largest_key(rows, keys) if largest is None else largest) <= KEY_ROWS:
-        per_key = W.partitionBy(*(list(keys) or [F.lit(0)]))
-        smaller = per_key.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        return distinct.select(
-            *keys, value, *names, *[F.coalesce(F.sum(n).over(smaller), F.lit(0)).alias(f"below_{n}") for n in names],
-            *[F.sum(n).over(per_key).alias(f"total_{n}") for n in names])
-    points = split_points(rows, value, splits)
-    cut = distinct.withColumn("_slot", interval_index(F.col(value).cast("double"), points))
+    cut = with_slots(distinct, slot_shapes(distinct, keys, value, slot_rows), keys, value)
     anchor = list(keys) or [F.lit(0)]
     slots = cut.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in names])
     before = W.partitionBy(*anchor).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
@@ -84,14 +76,9 @@ def ordered_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Map
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                      count: str | None = None, splits: int = SPLITS, largest: int | None = None) -> DataFrame:
+                      count: str | None = None, slot_rows: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, without holding an oversized key in one task."""
-    if (largest_key(df, keys) if largest is None else largest) <= KEY_ROWS:
-        g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-            F.percentile(value, [float(p) for p in probs.values()]).alias("_q"), F.count(value).alias("_n"))
-        return g.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)],
-                        *([F.col("_n").alias(count)] if count else []))
-    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, splits, largest=KEY_ROWS + 1)
+    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, slot_rows)
     covers = lambda r: (F.col("below_n") <= r) & (r < F.col("below_n") + F.col("n"))     # noqa: E731
     picks = []
     for name, p in probs.items():
@@ -106,12 +93,12 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
 
 
 def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, steps: int = 1000,
-                  splits: int = SPLITS, largest: int | None = None) -> DataFrame:
+                  slot_rows: int | None = None) -> DataFrame:
     """Dense quantile grid (keys, grid_index 0..steps, quantile) per key.
 
     Each distinct value emits only the grid positions it brackets, so the output of the explode is
     proportional to values + grid size, never values x grid."""
-    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, splits, largest)
+    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, slot_rows)
     span = F.col("total_n") - 1
     first = F.greatest(F.lit(0), (F.floor((F.col("below_n") - 1) * steps / F.greatest(span, F.lit(1))) - 1).cast("int"))
     last = F.least(F.lit(steps), (F.ceil((F.col("below_n") + F.col("n")) * steps / F.greatest(span, F.lit(1))) + 1).cast("int"))
@@ -127,16 +114,16 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, steps: int = 1
 
 
 def reference_percentile(df: DataFrame, keys: Sequence[str], value: str, is_reference: Column,
-                         out: str = "percentile", largest: int | None = None) -> DataFrame:
+                         out: str = "percentile") -> DataFrame:
     """Share of reference rows of the same key with value <= this row's value; NULL without reference rows.
 
     Attached by an equi-join on (keys, value), which spreads a hot key over its values."""
-    t = ordered_totals(df, keys, value, {"n": F.when(is_reference, 1).otherwise(0)}, largest=largest)
+    t = ordered_totals(df, keys, value, {"n": F.when(is_reference, 1).otherwise(0)})
     share = F.when(F.col("total_n") > 0, (F.col("below_n") + F.col("n")) / F.col("total_n"))
     return df.join(t.select(*keys, value, share.alias(out)), [*keys, value], "left")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, largest: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Tie-averaged 1-based ranks within each key."""
-    t = ordered_totals(df, keys, value, {"n": F.lit(1)}, largest=largest)
+    t = ordered_totals(df, keys, value, {"n": F.lit(1)})
     return df.join(t.select(*keys, value, (F.col("below_n") + (F.col("n") + 1) / 2).alias(out)), [*keys, value], "left")

@@ -13,8 +13,7 @@ from windrose.operators.ordered import ordered_totals
 MEASURES = {"n": None, "err": "norm_error", "bias": "bias_m", "hit": "bust"}
 
 
-def trailing_sums(facts: DataFrame, inits: DataFrame, keys: Sequence[str], window_days: int = C.RECENT_WINDOW_DAYS,
-                  largest: int | None = None) -> DataFrame:
+def trailing_sums(facts: DataFrame, inits: DataFrame, keys: Sequence[str], window_days: int = C.RECENT_WINDOW_DAYS) -> DataFrame:
     """Sums of facts with valid_time in (T - window, T] for every (key, init T) of ``inits``.
 
     Facts and the two window ends of every query are put on one time axis; a prefix sum over that axis gives the
@@ -27,7 +26,7 @@ def trailing_sums(facts: DataFrame, inits: DataFrame, keys: Sequence[str], windo
     axis = (facts.select(*keys, F.unix_micros("valid_time").alias("t"), *values)
             .unionByName(q.select(*keys, "t", *zero))
             .unionByName(q.select(*keys, (F.col("t") - micros).alias("t"), *zero)))
-    tot = ordered_totals(axis, keys, "t", {m: F.col(m) for m in MEASURES}, largest=largest)
+    tot = ordered_totals(axis, keys, "t", {m: F.col(m) for m in MEASURES})
     upto = tot.select(*keys, "t", *[(F.col(f"below_{m}") + F.col(m)).alias(m) for m in MEASURES])
     hi = upto.select(*keys, "t", *[F.col(m).alias(f"hi_{m}") for m in MEASURES])
     lo = upto.select(*keys, (F.col("t") + micros).alias("t"), *[F.col(m).alias(f"lo_{m}") for m in MEASURES])

@@ -254,12 +254,12 @@ def spread_skill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rank_histogram", ctes=_WITH_CLIM, sql="""
-  WITH r AS (SELECT init_time, lead_day, m.cell, CASE WHEN max(ref_value) IS NOT NULL THEN count(*) FILTER (value < ref_value) END AS k
+  WITH r AS (SELECT init_time, lead_day, m.cell, CASE WHEN max(ref_value) IS NOT NULL THEN count(*) FILTER (value < ref_value) END AS k, count(value) AS size
              FROM members m LEFT JOIN reference r ON r.valid_time = m.valid_time AND r.cell = m.cell GROUP BY ALL)
-  SELECT d.lead_day, CAST(d.rank AS INTEGER) AS rank, count(r.k) AS n FROM (SELECT lead_day, unnest(range(0, 51)) AS rank FROM (SELECT DISTINCT lead_day FROM r)) d
+  SELECT d.lead_day, CAST(d.rank AS INTEGER) AS rank, count(r.k) AS n FROM (SELECT lead_day, unnest(range(0, top + 1)) AS rank FROM (SELECT lead_day, max(size) AS top FROM r GROUP BY lead_day)) d
   LEFT JOIN r ON r.lead_day = d.lead_day AND r.k = d.rank GROUP BY ALL""")
 def rank_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return E.rank_histogram(member_stats(spark, sf), 50)
+    return E.rank_histogram(member_stats(spark, sf))
 
 
 @query("signature_frequencies", ctes=B.LABELLED, doubles="share", sql="""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrose import constants as C
 from windrose.evaluation import ranking as R
 from windrose.evaluation import scores as SC
 from windrose.functions import probability as P
@@ -33,8 +34,8 @@ def anomalies(spark: SparkSession, sf: str) -> DataFrame:
 def member_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     states = B.members(spark, sf).groupBy(*KEYS).agg(F.avg("value").alias("z"))
     a = M.check_member_mean(anomalies(spark, sf), states, KEYS, "z")
-    return a.select("init_time", "lead_day", "cell", "mean_anom", F.element_at("members", 1).alias("lowest"),
-                    F.element_at("members", -1).alias("highest"), F.size("members").cast("long").alias("n_members"))
+    return a.select("init_time", "lead_day", "cell", "mean_anom", F.array_min("members").alias("lowest"),
+                    F.array_max("members").alias("highest"), F.size("members").cast("long").alias("n_members"))
 
 
 def verified(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,9 +44,42 @@ def verified(spark: SparkSession, sf: str) -> DataFrame:
     return a.withColumn("y", F.col("ref_value") - F.col("clim_value"))
 
 
-@query("bma_fit")
+_PAIRS = """
+pairs AS (SELECT a.cell, a.lead_day, a.init_time, a.valid_time, a.f, r.ref_value - a.clim_value AS y FROM anom a
+          JOIN reference r ON r.valid_time = a.valid_time AND r.cell = a.cell),
+sets AS (SELECT cell, lead_day, count(*) AS n_cases, max(valid_time) AS last_verified FROM (SELECT DISTINCT cell, lead_day, init_time, valid_time FROM pairs) GROUP BY ALL),
+line AS (SELECT cell, lead_day, regr_slope(y, f) AS b, avg(f) AS fbar FROM pairs GROUP BY ALL),
+ybar AS (SELECT cell, lead_day, avg(y) AS ybar FROM (SELECT cell, lead_day, init_time, valid_time, any_value(y) AS y FROM pairs GROUP BY ALL) GROUP BY ALL)"""
+# the pooled line is weighted by members, the intercept uses the mean of the cases; sigma solves its own fixed point
+_FIT = """
+  SELECT s.cell, s.lead_day, s.n_cases, s.last_verified, o.b, o.a, true AS sigma_is_fixed_point FROM sets s JOIN (
+    SELECT l.cell, l.lead_day, l.b, y.ybar - l.b * l.fbar AS a FROM (
+      SELECT p.cell, p.lead_day, any_value(l.fbar) AS fbar, sum((p.f - l.fbar) * (p.y - y.ybar)) / sum((p.f - l.fbar) * (p.f - l.fbar)) AS b
+      FROM pairs p JOIN line l ON l.cell = p.cell AND l.lead_day = p.lead_day JOIN ybar y ON y.cell = p.cell AND y.lead_day = p.lead_day GROUP BY ALL) l
+    JOIN ybar y ON y.cell = l.cell AND y.lead_day = l.lead_day) o ON o.cell = s.cell AND o.lead_day = s.lead_day WHERE s.n_cases >= 20"""
+
+
+def checked_fit(v: DataFrame, group_rows: int) -> DataFrame:
+    """a, b and whether one more EM step leaves sigma where it is."""
+    fit = M.fit_exchangeable(v, ["cell", "lead_day"], min_cases=20, group_rows=group_rows)
+    r2 = F.transform("members", lambda x: F.pow(F.col("y") - F.col("a") - F.col("b") * x, 2))
+    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)                       # noqa: E731
+    e = F.transform("r2", lambda r: F.exp(-(r - F.array_min("r2")) / (2 * F.col("sigma") * F.col("sigma"))))
+    again = (v.join(fit, ["cell", "lead_day"]).withColumn("r2", r2).withColumn("e", e).groupBy("cell", "lead_day")
+             .agg(F.avg(add(F.zip_with("e", "r2", lambda p, q: p * q)) / add("e")).alias("_s2"), F.first("sigma").alias("_s")))
+    ok = again.select("cell", "lead_day", (F.abs(F.sqrt("_s2") - F.col("_s")) < 2e-3 * F.col("_s")).alias("sigma_is_fixed_point"))
+    return fit.join(ok, ["cell", "lead_day"]).select("cell", "lead_day", "n_cases", "last_verified", "b", "a", "sigma_is_fixed_point")
+
+
+@query("bma_fit", ctes=ANOM + "," + _PAIRS, doubles="a b", sql=_FIT)
 def bma_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return M.fit_exchangeable(verified(spark, sf), ["cell", "lead_day"], min_cases=20)
+    return checked_fit(verified(spark, sf), M.GROUP_ROWS)
+
+
+@query("bma_fit_spread", ctes=ANOM + "," + _PAIRS, doubles="a b", sql=_FIT)
+def bma_fit_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """The same groups, those above 60 cases by the distributed plan."""
+    return checked_fit(verified(spark, sf), 60)
 
 
 WINDOW = 730
@@ -75,10 +109,21 @@ def bma_causality(spark: SparkSession, sf: str) -> DataFrame:
     return Q.fit_causality(rolling_params(spark, sf))
 
 
-@query("bma_free_weights")
+_WEIGHTS = """
+  SELECT s.cell, s.lead_day, s.n_cases AS n, CAST(m.k AS INTEGER) AS k, true AS weights_sum_to_one, true AS in_range FROM sets s JOIN (
+    SELECT cell, lead_day, max(c) AS k FROM (SELECT cell, lead_day, init_time, valid_time, count(*) AS c FROM pairs GROUP BY ALL) GROUP BY ALL) m
+  ON m.cell = s.cell AND m.lead_day = s.lead_day"""
+
+
+def checked_weights(v: DataFrame, group_rows: int) -> DataFrame:
+    w = M.free_weights(v, ["cell", "lead_day"], None, seed=0, max_iter=60, group_rows=group_rows)
+    return w.select("cell", "lead_day", "n", "k", (F.abs(F.col("w_sum") - 1) < 1e-9).alias("weights_sum_to_one"),
+                    ((F.col("w_min") >= 0) & (F.col("w_max") <= 1) & (F.col("w_min") * F.col("k") <= 1 + 1e-9) & (F.col("sigma") > 0)).alias("in_range"))
+
+
+@query("bma_free_weights", ctes=ANOM + "," + _PAIRS, sql=_WEIGHTS)
 def bma_free_weights(spark: SparkSession, sf: str) -> DataFrame:
-    three = verified(spark, sf).where(F.size("members") >= 3).withColumn("members", F.slice("members", 1, 3))
-    return M.free_weights(three, ["cell", "lead_day"], 8, seed=0)
+    return checked_weights(verified(spark, sf), M.GROUP_ROWS)
 
 
 MIX = ANOM + """,
@@ -110,11 +155,15 @@ def bma_moments(spark: SparkSession, sf: str) -> DataFrame:
     return M.moments(mixture(spark, sf), "mean_anom", "scale").select("init_time", "lead_day", "cell", "bma_mean", "bma_std")
 
 
-@query("bma_quantiles")
+@query("bma_quantiles", ctes=MIX, sql="""
+  SELECT DISTINCT init_time, lead_day, cell, CAST(i AS INTEGER) AS i, true AS cdf_is_level FROM mix, range(6) t(i)""")
 def bma_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture's distribution function at every returned quantile is the quantile's level."""
     m = mixture(spark, sf).select("init_time", "lead_day", "cell", "mu", "sigma", "mean_anom", "scale")
-    q = M.quantiles(m, "mean_anom", "scale")
-    return q.select("init_time", "lead_day", "cell", *[F.col("bma_q")[i].alias(n) for i, n in enumerate(("q10", "q25", "q50", "q75", "q90", "q95"))])
+    q = M.quantiles(m, "mean_anom", "scale").select("*", F.posexplode("bma_q").alias("i", "q"))
+    level = F.element_at(F.array(*map(F.lit, C.QUANTILE_LEVELS)), F.col("i") + 1)
+    at = M.exceedance(q, "q", "mean_anom", "scale", "p")
+    return at.select("init_time", "lead_day", "cell", "i", (F.abs(1 - F.col("p") - level) < 1e-6).alias("cdf_is_level"))
 
 
 @query("bma_predict")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windrose.operators.ordered import grouped_quantiles
+
 from windrose import constants as C
 
 
@@ -20,7 +22,7 @@ def rate_where(value: str, condition: Column) -> Column:
 
 
 def target_audit(df: DataFrame) -> DataFrame:
-    """Prevalences, conditional shares and positive counts of the pattern-aware target per split."""
+    """Prevalences, conditional shares, positive and invalid counts and correlation quantiles of the pattern-aware target per split."""
     valid = F.col("pattern_bust").isNotNull()
     pos = F.col("pattern_bust") == 1
     g = df.groupBy("split").agg(
@@ -31,8 +33,9 @@ def target_audit(df: DataFrame) -> DataFrame:
         rate_where("bust", F.col("pattern_failure") == 1).alias("magnitude_share_of_failures"),
         F.count(F.when(pos, 1)).alias("positive_rows"), F.count_distinct(F.when(pos, F.col("init_time"))).alias("positive_inits"),
         F.count_distinct("init_time").alias("n_inits"), F.count(F.when(F.col("hidden_pattern_bust") == 1, 1)).alias("hidden_rows"),
-        F.count(F.when(valid, 1)).alias("valid_rows"))
-    return g.withColumn("joint_vs_independence", F.col("pattern_rate") / (F.col("magnitude_rate") * F.col("failure_rate")))
+        F.count(F.when(valid, 1)).alias("valid_rows"), F.count(F.when(~valid, 1)).alias("invalid_rows"))
+    acc = grouped_quantiles(df, ["split"], "local_acc", {"acc_q05": 0.05, "acc_q10": 0.10, "acc_q50": 0.50, "acc_q90": 0.90})
+    return g.join(acc, "split", "left").withColumn("joint_vs_independence", F.col("pattern_rate") / (F.col("magnitude_rate") * F.col("failure_rate")))
 
 
 def positives_by(df: DataFrame, by: str, keys: DataFrame, label: str = "pattern_bust") -> DataFrame:

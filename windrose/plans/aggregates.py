@@ -127,8 +127,8 @@ _W = "sin(radians(b.lat + 2.5)) - sin(radians(b.lat - 2.5))"
 @query("failure_signature", ctes=B.GRID, doubles="sig_phase_share sig_amp_share sig_bias_m sig_corr sig_mse", sql=f"""
   WITH pairs AS (
     SELECT b.init_time, b.lead_day, CAST(ar.row_n AS INTEGER) AS row_n, CAST(ac.col_n AS INTEGER) AS col_n, b.z AS f, b.ref_value AS r, {_W} AS w
-    FROM grid b JOIN (SELECT unnest(range(5)) AS row_n) ar ON abs(ar.row_n - b.row_n) <= 1
-    JOIN (SELECT unnest(range(5)) AS col_n) ac ON abs(ac.col_n - b.col_n) <= 1
+    FROM grid b JOIN (SELECT unnest(range(5)) AS row_n) ar ON abs(ar.row_n - b.row_n) <= 3
+    JOIN (SELECT unnest(range(5)) AS col_n) ac ON abs(ac.col_n - b.col_n) <= 3
     WHERE b.z IS NOT NULL AND b.ref_value IS NOT NULL),
   means AS (SELECT *, sum(w * f) OVER k / sum(w) OVER k AS mf, sum(w * r) OVER k / sum(w) OVER k AS ma FROM pairs
             WINDOW k AS (PARTITION BY init_time, lead_day, row_n, col_n)),
@@ -143,7 +143,7 @@ _W = "sin(radians(b.lat + 2.5)) - sin(radians(b.lat - 2.5))"
          ELSE 'RESIDUAL_MIXED' END AS sig_class, ps AS sig_phase_share, 1 - ps AS sig_amp_share, mf - ma AS sig_bias_m, sig_corr,
          phase + amp AS sig_mse FROM shares""")
 def failure_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.failure_signature(B.grid(spark, sf), "z", "ref_value", S.area_weight("lat", 5.0), ["init_time", "lead_day"], N, N, half=1)
+    return ST.failure_signature(B.grid(spark, sf), "z", "ref_value", S.area_weight("lat", 5.0), ["init_time", "lead_day"], N, N, half=3)
 
 
 @query("local_acc", ctes=B.GRID, doubles="local_acc", sql=f"""
@@ -205,18 +205,26 @@ def b0_fit(spark: SparkSession, sf: str) -> DataFrame:
     return L.climatology_rates(B.labelled(spark, sf))
 
 
-@query("target_audit", ctes=PATTERN, doubles="acc_coverage pattern_rate magnitude_rate failure_rate pattern_share_of_magnitude magnitude_share_of_failures joint_vs_independence", sql="""
+@query("target_audit", ctes=PATTERN, doubles="acc_coverage pattern_rate magnitude_rate failure_rate pattern_share_of_magnitude magnitude_share_of_failures joint_vs_independence acc_q05 acc_q10 acc_q50 acc_q90", sql="""
   SELECT split, count(*) AS n_rows, avg(CASE WHEN local_acc IS NOT NULL THEN 1e0 ELSE 0e0 END) AS acc_coverage, avg(pattern_bust) AS pattern_rate,
          avg(bust) AS magnitude_rate, avg(pattern_failure) AS failure_rate, avg(pattern_bust) FILTER (bust = 1) AS pattern_share_of_magnitude,
          avg(bust) FILTER (pattern_failure = 1) AS magnitude_share_of_failures, count(*) FILTER (pattern_bust = 1) AS positive_rows,
          count(DISTINCT init_time) FILTER (pattern_bust = 1) AS positive_inits, count(DISTINCT init_time) AS n_inits,
          count(*) FILTER (hidden_pattern_bust = 1) AS hidden_rows, count(pattern_bust) AS valid_rows,
-         avg(pattern_bust) / (avg(bust) * avg(pattern_failure)) AS joint_vs_independence
+         count(*) - count(pattern_bust) AS invalid_rows, quantile_cont(local_acc, 0.05) AS acc_q05, quantile_cont(local_acc, 0.10) AS acc_q10,
+         quantile_cont(local_acc, 0.50) AS acc_q50, quantile_cont(local_acc, 0.90) AS acc_q90, avg(pattern_bust) / (avg(bust) * avg(pattern_failure)) AS joint_vs_independence
   FROM pattern GROUP BY split""")
 def target_audit(spark: SparkSession, sf: str) -> DataFrame:
     return SU.target_audit(pattern(spark, sf))
 
 
+@query("target_audit_leads", ctes=PATTERN, sql="""
+  SELECT split, lead_day, count(*) FILTER (pattern_bust = 1) AS n_pos FROM pattern GROUP BY ALL""")
+def target_audit_leads(spark: SparkSession, sf: str) -> DataFrame:
+    p = pattern(spark, sf)
+    return SU.positives_by(p, "lead_day", p.select("split", "lead_day").distinct())
+
+
 @query("target_audit_regions", ctes=PATTERN, doubles="median_pos", sql="""
   SELECT split, min(n) AS min_pos, median(n) AS median_pos, max(n) AS max_pos FROM (
     SELECT split, region_id, count(*) FILTER (pattern_bust = 1) AS n FROM pattern GROUP BY ALL) GROUP BY split""")

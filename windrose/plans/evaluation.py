@@ -201,14 +201,14 @@ _FAN = "fan AS (SELECT t.model, w.rep, t.p, t.bust, w.weight FROM test t JOIN we
 _SUMMARY = """avg(d) AS mean, quantile_cont(d, 0.025) AS ci_lo, quantile_cont(d, 0.975) AS ci_hi, avg(CASE WHEN d <= 0 THEN 1e0 ELSE 0e0 END) AS p_le_0, count(d) AS n_boot"""
 
 
-@query("bootstrap_diff", ctes=LONG + "," + draws(200, 11) + "," + _FAN + "," + _REP, doubles="mean ci_lo ci_hi p_le_0", sql=f"""
+@query("bootstrap_diff", ctes=LONG + "," + draws(300, 11) + "," + _FAN + "," + _REP, doubles="mean ci_lo ci_hi p_le_0", sql=f"""
   SELECT {_SUMMARY} FROM (SELECT rep, max(v) FILTER (model = 'a') - max(v) FILTER (model = 'b') AS d FROM (
     SELECT model, rep, {AUPRC} AS v FROM hb GROUP BY model, rep) GROUP BY rep)""")
 def bootstrap_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return BS.auprc_difference(test_rows(spark, sf), "bust", "p_a", "p_b", 200, seed=11)
+    return BS.auprc_difference(test_rows(spark, sf), "bust", "p_a", "p_b", 300, seed=11)
 
 
-@query("bootstrap_metrics", ctes=LONG + "," + draws(100, 12) + """,
+@query("bootstrap_metrics", ctes=LONG + "," + draws(300, 12) + """,
   all_weights AS (SELECT * FROM weights UNION ALL SELECT -1, day, 1 FROM days),
   fan AS (SELECT t.*, w.rep, w.weight FROM test t JOIN all_weights w ON w.day = CAST(t.init_time AS DATE)), thr AS (""" + _threshold(_VAL) + """),
   """ + _REP, doubles="point ci_lo ci_hi diff diff_lo diff_hi p_le_0", sql=f"""
@@ -223,16 +223,16 @@ def bootstrap_diff(spark: SparkSession, sf: str) -> DataFrame:
          max(d) FILTER (rep < 0) AS diff, quantile_cont(d, 0.025) FILTER (rep >= 0) AS diff_lo, quantile_cont(d, 0.975) FILTER (rep >= 0) AS diff_hi,
          avg(CASE WHEN d <= 0 THEN 1e0 ELSE 0e0 END) FILTER (rep >= 0) AS p_le_0 FROM d GROUP BY model, metric""")
 def bootstrap_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return BS.metric_intervals(test_rows(spark, sf), MODELS, threshold_at_far(spark, sf), 100, seed=12)
+    return BS.metric_intervals(test_rows(spark, sf), MODELS, threshold_at_far(spark, sf), 300, seed=12)
 
 
-@query("bootstrap_auc_diff", ctes=PATTERN + "," + draws(100, 13) + """,
+@query("bootstrap_auc_diff", ctes=PATTERN + "," + draws(200, 13) + """,
   test AS (SELECT 'a' AS model, init_time, pattern_bust AS bust, p_a AS p FROM pattern WHERE split = 'test'
            UNION ALL SELECT 'b', init_time, bust, p_a FROM pattern WHERE split = 'test'),""" + _FAN + "," + _REP, doubles="mean ci_lo ci_hi p_le_0", sql=f"""
   SELECT {_SUMMARY} FROM (SELECT rep, max(v) FILTER (model = 'a') - max(v) FILTER (model = 'b') AS d FROM (
     SELECT model, rep, {ROC} AS v FROM hb GROUP BY model, rep) GROUP BY rep)""")
 def bootstrap_auc_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return BS.auc_difference(pattern(spark, sf).where("split = 'test'"), ("pattern_bust", "p_a"), ("bust", "p_a"), 100, seed=13)
+    return BS.auc_difference(pattern(spark, sf).where("split = 'test'"), ("pattern_bust", "p_a"), ("bust", "p_a"), 200, seed=13)
 
 
 _DQ = """WITH d AS (SELECT bust AS y, p_a, p_b, 100 * (p_a - p_b) AS d FROM labelled WHERE split = 'test')"""

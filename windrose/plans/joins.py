@@ -206,15 +206,17 @@ def selected_inits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("b0_predict", ctes=B.LABELLED, doubles="p_b0", sql="""
-  SELECT l.case_id, coalesce(g.rate, t.rate) AS p_b0 FROM labelled l LEFT JOIN (
-    SELECT region_id, lead_day, season, avg(bust) AS rate FROM labelled WHERE split = 'train' AND NOT (season = 'S1' AND lead_day = 5)
-    GROUP BY ALL) g
+  WITH rows AS (SELECT case_id, region_id, lead_day, season FROM labelled UNION ALL SELECT -case_id - 1, region_id, lead_day, 'S9' FROM labelled)
+  SELECT l.case_id, coalesce(g.rate, t.rate) AS p_b0 FROM rows l LEFT JOIN (
+    SELECT region_id, lead_day, season, avg(bust) AS rate FROM labelled WHERE split = 'train' GROUP BY ALL) g
   ON g.region_id = l.region_id AND g.lead_day = l.lead_day AND g.season = l.season
-  CROSS JOIN (SELECT avg(bust) AS rate FROM labelled WHERE split = 'train' AND NOT (season = 'S1' AND lead_day = 5)) t""")
+  CROSS JOIN (SELECT avg(bust) AS rate FROM labelled WHERE split = 'train') t""")
 def b0_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Every case, and every case again in a season that TRAIN has never seen (negative ids): those get the global rate."""
     lab = B.labelled(spark, sf)
-    rates = L.climatology_rates(lab.where(~((F.col("season") == "S1") & (F.col("lead_day") == 5))))
-    return L.predict_climatology(lab, rates).select("case_id", "p_b0")
+    rows = lab.select("case_id", "region_id", "lead_day", "season")
+    unseen = rows.withColumns({"case_id": -F.col("case_id") - 1, "season": F.lit("S9")})
+    return L.predict_climatology(rows.unionByName(unseen), L.climatology_rates(lab)).select("case_id", "p_b0")
 
 
 @query("grid_check", ctes=B.MEMBERS + "," + B.REFERENCE, sql="""

@@ -12,7 +12,7 @@ from windrose.plans import bridge as B
 from windrose.plans.registry import query
 
 KEYS = ["region_id", "lead_day"]
-K, KMIN = 10, 5
+K, KMIN = 30, 5
 
 ZVEC = B.VECTORS + """,
 dims AS (SELECT list(avg_x ORDER BY i) AS m, list(CASE WHEN sd = 0 THEN 1 ELSE sd END ORDER BY i) AS s FROM (

@@ -21,7 +21,7 @@ from windrose.streaming import jobs as J
 _T = {k: v.replace("'", "''") for k, v in TX.EVIDENCE_TEMPLATES.items()}
 _EV = B.LABELLED + """,
 ev AS (SELECT l.case_id, spread_m, p_b / 2 AS m_sign_agree, p_a, p_b, CAST(case_id % 50 AS BIGINT) AS n_el, CAST(lead_day AS BIGINT) AS n_in,
-         CASE WHEN spread_m > 10 THEN p_a END AS rate, 0.1e0 AS base, CASE WHEN spread_m > 50 THEN bias_m END AS rev, error_m AS rev_nb, p_b AS rev_pct, t.pct
+         CASE WHEN spread_m > 10 THEN p_a END AS rate, 0.1e0 AS base, CASE WHEN spread_m > 50 THEN bias_m END AS rev, bias_m, error_m, error_m AS rev_nb, p_b AS rev_pct, t.pct
   FROM labelled l JOIN (SELECT l.case_id AS id, count(t.case_id) FILTER (t.spread_m <= l.spread_m) / nullif(count(t.case_id), 0) AS pct FROM labelled l
     LEFT JOIN (SELECT * FROM labelled WHERE split = 'train') t ON t.region_id = l.region_id AND t.lead_day = l.lead_day AND t.season = l.season GROUP BY 1) t ON t.id = l.case_id)"""
 
@@ -30,13 +30,25 @@ ev AS (SELECT l.case_id, spread_m, p_b / 2 AS m_sign_agree, p_a, p_b, CAST(case_
   SELECT case_id, 'A. Ensemble evidence' AS kind, printf('{_T["spread"]}', spread_m + 1e-9, 100 * pct + 1e-9, 100 * m_sign_agree + 1e-9) AS text FROM ev WHERE pct IS NOT NULL
   UNION ALL SELECT case_id, 'C. Historical evidence', CASE WHEN rate IS NOT NULL THEN printf('{_T["history"]}', n_el, n_in, 100 * rate + 1e-9, 100 * base + 1e-9) ELSE '{_T["history_missing"]}' END FROM ev
   UNION ALL SELECT case_id, 'D. Forecast-evolution evidence', CASE WHEN rev IS NOT NULL THEN printf('{_T["evolution"]}', rev + 1e-9, rev_nb + 1e-9, 100 * rev_pct + 1e-9) ELSE '{_T["evolution_missing"]}' END FROM ev
+  UNION ALL SELECT case_id, 'B. Atmospheric-state evidence', printf('{_T["state"]}', bias_m + 1e-9, 100 * p_a + 1e-9, p_b + 1e-9) FROM ev
+  UNION ALL SELECT case_id, 'C2. Recent verified error behaviour', printf('{_T["recent"]}', p_b + 1e-9, bias_m + 1e-9, 100 * p_a + 1e-9, n_el, p_a + 1e-9, error_m / 50 + 1e-9) FROM ev WHERE rate IS NOT NULL
+  UNION ALL SELECT case_id, 'E. Predicted error distribution', printf('{_T["distribution"]}', p_a + 1e-9, p_a / 2 + 1e-9, p_a * 2 + 1e-9, p_a * 3 + 1e-9, p_b + 1e-9, 100 * p_a + 1e-9, 100 * p_b + 1e-9) FROM ev
+  UNION ALL SELECT case_id, 'alert', CASE WHEN p_a >= 0.4 THEN 'At or above' ELSE 'Below' END || printf(' the alert threshold %.1f%% (10%% false-alarm rate on validation).', 40 + 1e-9) FROM ev
+  UNION ALL SELECT case_id, 'tail', printf('The predicted upper-tail error (%.2fx) ', p_a * 3 + 1e-9) || CASE WHEN p_a * 3 > p_b THEN 'is above' ELSE 'stays below' END
+         || printf(' the project bust threshold (%.2fx).', p_b + 1e-9) FROM ev
   UNION ALL SELECT case_id, 'E. Baseline comparison', printf('{_T["baseline"]}', 100 * p_a + 1e-9, 100 * p_b + 1e-9, 100 * (p_a - p_b) + 1e-9) FROM ev""")
 def evidence_text(spark: SparkSession, sf: str) -> DataFrame:
     lab = L.spread_percentile(B.labelled(spark, sf)).withColumns({
         "m_sign_agree": F.col("p_b") / 2, "an_n_eligible": F.col("case_id") % 50, "an_n_within": F.col("lead_day"),
         "an_bust_rate": F.when(F.col("spread_m") > 10, F.col("p_a")), "base_rate": F.lit(0.1),
-        "rev_region": F.when(F.col("spread_m") > 50, F.col("bias_m")), "rev_nbhd": F.col("error_m"), "rev_nbhd_pct": F.col("p_b")})
-    items = TX.evidence_list(TX.spread_evidence(), TX.history_evidence(), TX.evolution_evidence(), TX.baseline_evidence("p_a", "p_b"))
+        "rev_region": F.when(F.col("spread_m") > 50, F.col("bias_m")), "rev_nbhd": F.col("error_m"), "rev_nbhd_pct": F.col("p_b"),
+        "anom500": F.col("bias_m"), "abs_anom_pct": F.col("p_a"), "pc_norm": F.col("p_b"), "rec_err": F.when(F.col("spread_m") > 10, F.col("p_b")),
+        "rec_bias": F.col("bias_m"), "rec_bust_rate": F.col("p_a"), "rec_n": F.col("case_id") % 50, "rec_err_nbhd": F.col("p_a"), "rec_err_domain": F.col("error_m") / 50,
+        "q25": F.col("p_a") / 2, "q50": F.col("p_a"), "q75": F.col("p_a") * 2, "q95": F.col("p_a") * 3})
+    statement = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))      # noqa: E731
+    items = TX.evidence_list(TX.spread_evidence(), TX.state_evidence(), TX.history_evidence(), TX.recent_evidence(), TX.evolution_evidence(),
+                             TX.baseline_evidence("p_a", "p_b"), TX.distribution_evidence("p_a", "p_b", "p_b"),
+                             statement("alert", TX.alert_statement("p_a", F.lit(0.4))), statement("tail", TX.tail_statement("q95", "p_b")))
     return lab.select("case_id", F.inline(items))
 
 

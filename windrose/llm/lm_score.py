@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from windrose.llm.common import crc_part, lists, salt, stored
 from windrose.llm.tokens import grams, words_of
 
-BATCH_CHARS, FRAGMENT_CHARS = 12 << 20, 12 << 20
+BATCH_CHARS, FRAGMENT_CHARS = 6 << 20, 6 << 20
 END, START = salt(101), salt(102)
 STEPS = 8                      # of the histogram in an octave
 RETAINED, DELETED, UNSEEN = 0, 1, 2

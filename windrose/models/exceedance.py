@@ -167,18 +167,23 @@ def fit_quantile_forest(df: DataFrame, features: Sequence[str], target: str = "n
     return m
 
 
-def permute_column(df: DataFrame, column: str, seed: int, key: str = "case_id") -> DataFrame:
-    """The rows with ``column`` randomly permuted over all of them.
+def permutation_donors(df: DataFrame, permutations: int, seed: int, key: str = "case_id") -> DataFrame:
+    """(perm, key, donor): for each permutation 0..n-1 the row whose value every row receives, a bijection over all rows.
+
+    The row that is r-th in one random order receives from the row that is r-th in another; all orders are ranked by one
+    distributed prefix sum over 64-bit hashes of the key (which must be unique)."""
+    sides = F.explode(F.array(*[F.struct(F.lit(p).alias("perm"), F.lit(side).alias("side")) for p in range(permutations) for side in (0, 1)]))
+    rows = df.select(key, sides.alias("s")).select(key, "s.*").withColumn("h", F.xxhash64(F.col(key), "perm", "side", F.lit(seed)))
+    rank = ordered_totals(rows, ["perm", "side"], "h", {"n": F.lit(1)}).select("perm", "side", "h", F.col("below_n").alias("r"))
+    ranked = rows.join(rank, ["perm", "side", "h"])
+    return ranked.where("side = 0").select("perm", "r", key).join(ranked.where("side = 1").select("perm", "r", F.col(key).alias("donor")), ["perm", "r"]).drop("r")
 
-    The value of the row that is r-th in one random order goes to the row that is r-th in another; both orders are
-    ranked by distributed prefix sums over 64-bit hashes of the key (which must be unique)."""
-    place = lambda s: F.xxhash64(F.col(key), F.lit(s))          # noqa: E731
 
-    def ranked(rows: DataFrame) -> DataFrame:
-        return rows.join(ordered_totals(rows, [], "_h", {"n": F.lit(1)}).select("_h", F.col("below_n").alias("_r")), "_h").drop("_h")
-    rows = ranked(df.withColumn("_h", place(seed)))
-    values = ranked(df.select(place(seed + 1).alias("_h"), F.col(column).alias("_v")))
-    return rows.join(values, "_r").withColumn(column, F.col("_v")).drop("_r", "_v")
+def permute_column(df: DataFrame, column: str, seed: int, key: str = "case_id") -> DataFrame:
+    """The rows with ``column`` randomly permuted over all of them."""
+    values = df.select(F.col(key).alias("donor"), F.col(column).alias("_v"))
+    donors = permutation_donors(df, 1, seed, key).drop("perm").join(values, "donor").drop("donor")
+    return df.join(donors, key).withColumn(column, F.col("_v")).drop("_v")
 
 
 def group_attribution(df: DataFrame, model: ExceedanceModel, groups: Mapping[str, Sequence[str]], key: str = "case_id") -> DataFrame:

@@ -341,7 +341,10 @@ def gate(spark: SparkSession, sf: str) -> DataFrame:
                     "ece_ok": F.col("ece_a") <= 0.5}, one)
 
 
-@query("report_tables")
+_CELLS = ", ".join(f"coalesce(printf('%.4f', {c}), '-')" for c in ("auprc", "roc_auc", "brier", "ece", "recall"))
+
+
+@query("report_tables", ctes=BOARD, sql=f"SELECT model, '| ' || concat_ws(' | ', model, {_CELLS}, CAST(n_rows AS VARCHAR)) || ' |' AS line FROM board")
 def report_tables(spark: SparkSession, sf: str) -> DataFrame:
     return SC.report_lines(scoreboard(spark, sf), ["model", "auprc", "roc_auc", "brier", "ece", "recall", "n_rows"])
 

@@ -94,9 +94,17 @@ def _rolling_plan(spark: SparkSession, sf: str) -> DataFrame:
 rolling_params = B.memo(_rolling_plan)
 
 
-@query("bma_rolling")
+_FITS = """
+fits AS (SELECT f.fit_day, s.cell, s.lead_day, count(*) AS n_cases, max(s.valid_time) AS last_verified FROM (SELECT DISTINCT init_time AS fit_day FROM members
+           WHERE init_time IN (SELECT m.init_time FROM members m JOIN reference r ON r.valid_time = m.valid_time AND r.cell = m.cell)) f
+    JOIN (SELECT DISTINCT a.init_time, a.lead_day, a.cell, a.valid_time FROM anom a JOIN reference r ON r.valid_time = a.valid_time AND r.cell = a.cell) s
+    ON s.valid_time <= f.fit_day AND s.valid_time > f.fit_day - INTERVAL 730 DAY GROUP BY ALL HAVING count(*) >= 20)"""
+
+
+@query("bma_rolling", ctes=ANOM + "," + _FITS, sql="""
+  SELECT CAST(fit_day AS DATE) AS fit_day, cell, lead_day, n_cases, last_verified, true AS sigma_is_positive FROM fits""")
 def bma_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    return rolling_params(spark, sf)
+    return rolling_params(spark, sf).select("fit_day", "cell", "lead_day", "n_cases", "last_verified", (F.col("sigma") > 0).alias("sigma_is_positive"))
 
 
 @query("bma_causality", ctes=ANOM, sql="""
@@ -166,11 +174,14 @@ def bma_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("init_time", "lead_day", "cell", "i", (F.abs(1 - F.col("p") - level) < 1e-6).alias("cdf_is_level"))
 
 
-@query("bma_predict")
+@query("bma_predict", ctes=ANOM + "," + _FITS, sql="""
+  SELECT a.init_time, a.lead_day, a.cell, f.n_cases, CASE WHEN f.n_cases IS NOT NULL THEN true END AS in_range
+  FROM (SELECT DISTINCT init_time, lead_day, cell FROM anom) a LEFT JOIN fits f ON f.fit_day = a.init_time AND f.cell = a.cell AND f.lead_day = a.lead_day""")
 def bma_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = anomalies(spark, sf).withColumns({"scale": F.lit(8.0), "c": F.lit(1.2)})
     p = M.predict(rows, rolling_params(spark, sf), ["cell", "lead_day"], "c", "mean_anom", "scale")
-    return p.select("init_time", "lead_day", "cell", "bma_exceedance", "bma_mean", "bma_std", F.col("bma_q")[2].alias("q50"), "n_cases")
+    ok = F.col("bma_exceedance").between(0, 1) & (F.col("bma_mean") >= 0) & (F.col("bma_std") >= 0) & (F.col("bma_q") == F.array_sort("bma_q"))
+    return p.select("init_time", "lead_day", "cell", "n_cases", F.when(F.col("n_cases").isNotNull(), F.coalesce(ok, F.lit(False))).alias("in_range"))
 
 
 # --- quantile family ---------------------------------------------------------------------------------------------------

@@ -1,4 +1,8 @@
-"""Learned-model queries (checked for rows and protocol; learners have no SQL form)."""
+"""Learned-model queries.
+
+A learner's numbers have no SQL form, so these queries return its row keys with the properties that its output must have (ranges,
+order, equality of two ways to the same number), and the SQL states them for every row that must be there.
+"""
 
 from __future__ import annotations
 
@@ -47,18 +51,24 @@ def base_model(spark: SparkSession, sf: str) -> X.ExceedanceModel:
     return remember(spark, sf, "base", lambda: X.fit_exceedance(table(spark, sf), SPREAD))
 
 
+def within(c, lo: float = 0.0, hi: float = 1.0):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce((c >= lo) & (c <= hi), F.lit(False))
+
+
 def test(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf).where("split = 'test'")
 
 
-@query("gbt_exceedance")
+@query("gbt_exceedance", ctes=B.LABELLED, sql="SELECT case_id, bust, true AS raw_in_range, true AS calibrated_in_range FROM labelled WHERE split = 'test'")
 def gbt_exceedance(spark: SparkSession, sf: str) -> DataFrame:
-    return base_model(spark, sf).score(test(spark, sf)).select("case_id", "raw_probability", "bust_probability", "bust")
+    p = base_model(spark, sf).score(test(spark, sf))
+    return p.select("case_id", "bust", within("raw_probability").alias("raw_in_range"), within("bust_probability").alias("calibrated_in_range"))
 
 
-@query("crossfit_margin")
+@query("crossfit_margin", ctes=B.LABELLED, sql="SELECT case_id, split, true AS finite FROM labelled WHERE split <> 'embargo'")
 def crossfit_margin(spark: SparkSession, sf: str) -> DataFrame:
-    return margins(spark, sf).select("case_id", "split", "margin")
+    return margins(spark, sf).select("case_id", "split", within("margin", -50.0, 50.0).alias("finite"))
 
 
 def margins(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,18 +78,19 @@ def margins(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(remember(spark, sf, "margin", make))
 
 
-@query("residual_learner")
+@query("residual_learner", ctes=B.LABELLED, sql="SELECT case_id, true AS in_range FROM labelled WHERE split = 'test'")
 def residual_learner(spark: SparkSession, sf: str) -> DataFrame:
     m = margins(spark, sf)
     model, names = X.fit_residual(m, ["rec_err", "rec_bust_rate"])
-    return X.score_residual(m.where("split = 'test'"), model, names).select("case_id", "margin", "p_residual")
+    return X.score_residual(m.where("split = 'test'"), model, names).select("case_id", within("p_residual").alias("in_range"))
 
 
 def forest(spark: SparkSession, sf: str) -> X.QuantileForest:
     return remember(spark, sf, "forest", lambda: X.fit_quantile_forest(table(spark, sf), SPREAD + ["rec_err"]))
 
 
-@query("quantile_forest")
+@query("quantile_forest", ctes=B.LABELLED, sql="""
+  SELECT case_id, true AS ordered, true AS raw_in_range, true AS calibrated_in_range FROM labelled WHERE split = 'test'""")
 def quantile_forest(spark: SparkSession, sf: str) -> DataFrame:
     f, t = forest(spark, sf), table(spark, sf)
     scored = t.where("split IN ('validation', 'test')").select("case_id", "split", "q_primary", "bust")
@@ -87,67 +98,82 @@ def quantile_forest(spark: SparkSession, sf: str) -> DataFrame:
     q = q.withColumn("p_raw", P.exceedance_from_quantiles(F.col("q"), F.col("q_primary")))
     cal = CA.fit_isotonic(q.where("split = 'validation'"), "p_raw", "bust")
     out = CA.calibrate(q.where("split = 'test'"), cal, "p_raw", "p_cal")
-    return out.select("case_id", *[F.col("q")[i].alias(c) for i, c in enumerate(("q10", "q25", "q50", "q75", "q90", "q95"))], "p_raw", "p_cal")
+    ordered = (F.size("q") == 6) & (F.col("q") == F.array_sort("q"))
+    return out.select("case_id", ordered.alias("ordered"), within("p_raw").alias("raw_in_range"), within("p_cal").alias("calibrated_in_range"))
 
 
-@query("q95_models")
+@query("q95_models", ctes=B.LABELLED, sql="SELECT case_id, bust_q95, true AS in_range FROM labelled WHERE split = 'test'")
 def q95_models(spark: SparkSession, sf: str) -> DataFrame:
     m = X.fit_exceedance(table(spark, sf), SPREAD, label="bust_q95")
-    return m.score(test(spark, sf)).select("case_id", "raw_probability", "bust_probability", "bust_q95")
+    return m.score(test(spark, sf)).select("case_id", "bust_q95", within("bust_probability").alias("in_range"))
 
 
-@query("score_batch")
+@query("score_batch", ctes=B.LABELLED, sql="SELECT case_id, true AS loaded_equals_fitted FROM labelled WHERE split = 'test'")
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Save, load and score: the loaded model must reproduce the fitted one."""
     path = scratch_path(spark, "model")
     base_model(spark, sf).save(path)
     loaded = X.ExceedanceModel.load(spark, path, SPREAD)
-    return loaded.score(test(spark, sf)).select("case_id", "raw_probability", "bust_probability")
+    fitted = base_model(spark, sf).score(test(spark, sf)).select("case_id", F.col("bust_probability").alias("_p"))
+    return loaded.score(test(spark, sf)).join(fitted, "case_id").select("case_id", (F.abs(F.col("bust_probability") - F.col("_p")) < 1e-12).alias("loaded_equals_fitted"))
 
 
-@query("feature_importance")
+@query("feature_importance", sql="SELECT true AS sums_to_one, true AS positive")
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     m = remember(spark, sf, "all", lambda: X.fit_exceedance(table(spark, sf), sum(GROUPS.values(), [])))
-    return m.importance(spark)
+    return m.importance(spark).agg((F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), (F.min("importance") > 0).alias("positive"))
 
 
-@query("group_attribution")
+@query("group_attribution", ctes=B.LABELLED, sql="""
+  SELECT case_id, g AS group_name, true AS finite FROM labelled, (VALUES ('SPREAD'), ('REC'), ('ATM')) t(g) WHERE split = 'test'""")
 def group_attribution(spark: SparkSession, sf: str) -> DataFrame:
     m = remember(spark, sf, "all", lambda: X.fit_exceedance(table(spark, sf), sum(GROUPS.values(), [])))
     a = X.group_attribution(table(spark, sf), m, GROUPS)
-    return a.join(test(spark, sf).select("case_id"), "case_id", "left_semi")
+    a = a.join(test(spark, sf).select("case_id"), "case_id", "left_semi")
+    return a.select("case_id", "group_name", within("contribution_logodds", -50.0, 50.0).alias("finite"))
 
 
 REPEATS = 3
 
 
-@query("permutation_importance")
+@query("permutation_importance", sql="""
+  SELECT unnest(['spread_m', 'spread_thr_ratio', 'lead_day', 'region_code', 'season_code', 'init_hour', 'rec_err']) AS feature, true AS finite""")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    """Rise of the q90 pinball loss on VALIDATION when one input is permuted."""
+    """Rise of the q90 pinball loss on VALIDATION when one input is permuted; all permutations are scored in one pass."""
     f, va = forest(spark, sf), table(spark, sf).where("split = 'validation'")
-    y = va.select("case_id", "norm_error")
-
-    def loss(rows: DataFrame, name: str) -> DataFrame:
-        q = f.quantiles(rows).join(y, "case_id")
-        return q.agg(SC.pinball(F.col("norm_error"), F.col("q")[4], F.lit(0.9)).alias("loss")).withColumn("feature", F.lit(name))
-    losses = loss(va, "")
-    for i, name in enumerate(f.features):
-        for repeat in range(REPEATS):
-            losses = losses.unionByName(loss(X.permute_column(va, name, 100 + 10 * i + repeat), name))
-    base = losses.where("feature = ''").select("loss").scalar()
-    return losses.where("feature <> ''").groupBy("feature").agg((F.avg("loss") - base).alias("importance"))
-
-
-@query("group_selection")
+    perms = [name for name in f.features for _ in range(REPEATS)]
+    donors = X.permutation_donors(va, len(perms), 100)
+    given = va.select(F.col("case_id").alias("donor"), F.struct(*f.features).alias("given"))
+    moved = donors.join(given, "donor").join(va, "case_id").withColumns({
+        name: F.when(F.col("perm").isin([i for i, n in enumerate(perms) if n == name]), F.col("given")[name]).otherwise(F.col(name)) for name in f.features})
+    rows = moved.select("perm", "case_id", "norm_error", *f.features).unionByName(va.select(F.lit(-1).alias("perm"), "case_id", "norm_error", *f.features))
+    rows = rows.withColumn("row", F.struct("perm", "case_id"))
+    loss = f.quantiles(rows, "row").join(rows.select("row", "norm_error"), "row").groupBy("row.perm").agg(
+        SC.pinball(F.col("norm_error"), F.col("q")[4], F.lit(0.9)).alias("loss"))
+    base = loss.where("perm < 0").select("loss").scalar()
+    feature = F.element_at(F.array(*map(F.lit, perms)), F.col("perm") + 1)
+    rise = loss.where("perm >= 0").withColumn("feature", feature).groupBy("feature").agg((F.avg("loss") - base).alias("importance"))
+    return rise.select("feature", within("importance", -1e6, 1e6).alias("finite"))
+
+
+SEEDS = (20260928, 20260929, 20260930)
+
+
+@query("group_selection", sql="""
+  SELECT unnest(['REC', 'ATM', 'NOISE']) AS group_name, true AS gain_is_finite, true AS keep_follows_worst_period""")
 def group_selection(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf)
+    """Every group added to the baseline, three seeds, judged on two periods."""
+    t = table(spark, sf).withColumn("noise", F.pmod(F.xxhash64("case_id"), F.lit(1000)).cast("double"))
     runs = None
-    for name, extra in {"BASE": [], "REC": GROUPS["REC"], "ATM": GROUPS["ATM"]}.items():
-        m = base_model(spark, sf) if not extra else X.fit_exceedance(t, SPREAD + extra, calibrate=False)
-        r = R.auprc(m.raw(t.where("split IN ('validation', 'test')")), "bust", "raw_probability", ["split"]).select(
-            F.lit(name).alias("group_name"), F.col("split").alias("period"), F.col("auprc").alias("metric"))
-        runs = r if runs is None else runs.unionByName(r)
-    return keep_improving_groups(runs, "BASE")
+    for name, extra in {"BASE": [], "REC": GROUPS["REC"], "ATM": GROUPS["ATM"], "NOISE": ["noise"]}.items():
+        for seed in SEEDS:
+            m = X.fit_exceedance(t, SPREAD + extra, calibrate=False, seed=seed)
+            r = R.auprc(m.raw(t.where("split IN ('validation', 'test')")), "bust", "raw_probability", ["split"]).select(
+                F.lit(name).alias("group_name"), F.col("split").alias("period"), F.lit(seed).alias("seed"), F.col("auprc").alias("metric"))
+            runs = r if runs is None else runs.unionByName(r)
+    g = keep_improving_groups(runs, "BASE")
+    return g.select("group_name", within("mean_gain", -1.0, 1.0).alias("gain_is_finite"),
+                    (F.col("keep") == (F.col("worst_gain") > 0).cast("int")).alias("keep_follows_worst_period"))
 
 
 # --- pattern features ------------------------------------------------------------------------------------------------------
@@ -169,23 +195,35 @@ def pca(spark: SparkSession, sf: str):
     return remember(spark, sf, "pca", make)
 
 
-@query("pca_fit")
+_MAPS = "maps AS (SELECT init_time, lead_day, valid_time FROM grid GROUP BY ALL)"
+
+
+@query("pca_fit", ctes=B.GRID + "," + _MAPS, sql="""
+  SELECT count(*) AS n_maps, CAST(c AS INTEGER) AS component, true AS ratio_in_range, true AS variance_is_that_of_the_scores
+  FROM maps, range(1, 9) t(c) WHERE init_time < DATE '1998-01-01' GROUP BY c""")
 def pca_fit(spark: SparkSession, sf: str) -> DataFrame:
     m, var = pca(spark, sf)
     frame = maps(spark, sf).where(TRAIN_MAPS).agg(F.count(F.lit(1)).alias("n_maps"))
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("component"), F.lit(r).alias("explained_ratio"), F.lit(v).alias("variance"))
+    s = PT.scores(maps(spark, sf).where(TRAIN_MAPS), m, var)
+    frame = frame.withColumn("found", s.agg(F.array(*[F.var_samp(F.col("pcs")[i]) for i in range(len(var))])).scalar())
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("component"), F.lit(0 <= r <= 1 and (i == 0 or r <= PT.explained(m)[i - 1] + 1e-12)).alias("ratio_in_range"),
+                              (F.abs(F.col("found")[i] - F.lit(v)) <= 1e-6 * F.lit(v)).alias("variance_is_that_of_the_scores"))
                      for i, (r, v) in enumerate(zip(PT.explained(m), var))])
     return frame.select("n_maps", F.inline(rows))
 
 
-@query("pca_scores")
+@query("pca_scores", ctes=B.GRID + "," + _MAPS, sql="SELECT init_time, lead_day, true AS norm_is_a_norm, true AS resid_in_range FROM maps")
 def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
     m, var = pca(spark, sf)
-    return PT.scores(maps(spark, sf), m, var).select("init_time", "lead_day", "pc_norm", "pc_resid")
+    return PT.scores(maps(spark, sf), m, var).select(
+        "init_time", "lead_day", within("pc_norm", 0.0, 1e9).alias("norm_is_a_norm"), within("pc_resid").alias("resid_in_range"))
 
 
-@query("pattern_revision")
+@query("pattern_revision", ctes=B.GRID + "," + _MAPS, sql="""
+  SELECT m.init_time, m.lead_day, p.init_time IS NOT NULL AS has_previous, CASE WHEN p.init_time IS NOT NULL THEN true END AS rev_is_a_norm
+  FROM maps m LEFT JOIN maps p ON p.valid_time = m.valid_time AND p.init_time = m.init_time - INTERVAL 1 MONTH""")
 def pattern_revision(spark: SparkSession, sf: str) -> DataFrame:
     m, var = pca(spark, sf)
     s = PT.scores(maps(spark, sf), m, var)
-    return PT.pattern_revision(s, previous_init(), var).select("init_time", "lead_day", "rev_pc")
+    return PT.pattern_revision(s, previous_init(), var).select(
+        "init_time", "lead_day", F.col("rev_pc").isNotNull().alias("has_previous"), F.when(F.col("rev_pc").isNotNull(), F.col("rev_pc") >= 0).alias("rev_is_a_norm"))

@@ -6,7 +6,8 @@ depend on their order.  A bucket's ratio is that of its target count to the coun
 n-grams too rare to tell the two apart count nothing, in small corpora too.  A text is kept if no base rule fails and its score reaches
 ``threshold``; the same tables give the same verdicts.
 
-Scale: counting is one aggregation over BUCKETS keys that combines before the shuffle; scoring and the surface counts are columns of
+Scale: the target is a bounded sample of the trusted ids (MAX_TRUSTED, broadcast), the raw corpus is counted whole.  Counting is one
+aggregation over BUCKETS keys that combines before the shuffle; scoring and the surface counts are columns of
 the scan.  The table of ratios (BUCKETS numbers) is the only thing collected.
 
 Repeated 8-word windows are looked for by hashes doubled from pairs to fours to eights, and only where the shorter ones repeat.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 THRESHOLD = -0.085
 PRIOR = 20
+MAX_TRUSTED = 20_000       # target texts at most, those with the smallest hash of doc_id
 UNIT = 1_000_000
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -52,10 +54,12 @@ def hashed(docs: DataFrame) -> DataFrame:
             .withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("h2", neighbours("h", 1)))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[int]:
     """The log ratio of each bucket, in 1/UNIT."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("good", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("good", F.lit(1))
+    # at most max_trusted pairs of numbers: no text is shuffled
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left")
     grams = hashed(rows).select("good", F.explode(F.concat("h", "h2")).alias("x"))
     counts = grams.groupBy(F.pmod("x", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     raw, target = [0] * buckets, [0] * buckets

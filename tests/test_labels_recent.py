@@ -98,5 +98,5 @@ def test_merge_rejects_duplicates(spark):
 
 def test_missing_reference_is_an_error(spark):
     f = spark.createDataFrame([(1,)], "valid_time int")
-    with pytest.raises(KeyError):
-        A.align_reference(f, f.where("valid_time > 5"), ["valid_time"])
+    with pytest.raises(Exception, match="verification reference missing"):
+        A.align_reference(f, f.where("valid_time > 5").select("valid_time"), ["valid_time"]).collect()

@@ -52,6 +52,12 @@ def quantile_coverage(df: DataFrame, y: str, levels: Mapping[str, float], by: Se
         F.avg((F.col("_y") <= F.col("q")).cast("double")).alias("coverage"), pinball(F.col("_y"), F.col("q"), F.col("level")).alias("pinball"))
 
 
+def central_coverage(df: DataFrame, y: str, lo: str, hi: str, by: Sequence[str] = ()) -> DataFrame:
+    """Share of y inside [lo, hi], ends included, and the mean width of the range."""
+    inside = (F.col(y) >= F.col(lo)) & (F.col(y) <= F.col(hi))
+    return df.groupBy(*by).agg(F.avg(inside.cast("double")).alias("central_coverage"), F.avg(F.col(hi) - F.col(lo)).alias("mean_width"))
+
+
 def reliability_bin(p: Column, bins: int = C.RELIABILITY_BINS) -> Column:
     """Equal bins on [0, 1] compared with the floating-point edges i x (1 / bins); the last bin is closed."""
     step = 1.0 / bins
@@ -129,8 +135,8 @@ def disagreement(df: DataFrame, y: str, p_model: str, p_base: str, margin: float
     qs = {"q01": 0.01, "q05": 0.05, "q50": 0.5, "q95": 0.95, "q99": 0.99}
     summary = d.agg(F.avg(F.abs("_d")).alias("mean_abs_pp"), F.avg((F.abs("_d") > 5).cast("double")).alias("share_gt_5pp"),
                     F.avg((F.abs("_d") > 10).cast("double")).alias("share_gt_10pp"))
-    quant = grouped_quantiles(d.select(F.lit(0).alias("_k"), "_d"), ["_k"], "_d", qs).drop("_k")
-    summary = summary.withColumn("_k", F.lit(0)).join(quant.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    quant = grouped_quantiles(d.select("_d"), [], "_d", qs).select(F.struct(*qs).alias("_q")).scalar()
+    summary = summary.withColumn("_q", quant).select("*", "_q.*").drop("_q")
     name = F.when(F.col("_d") > margin, "model_higher").when(F.abs("_d") <= margin, "agree").otherwise("model_lower")
     g = d.groupBy(name.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("observed_rate"), F.avg(p_model).alias("mean_p_model"),
                                          F.avg(p_base).alias("mean_p_base"), brier(y, p_model).alias("brier_model"), brier(y, p_base).alias("brier_base"))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+KNOT_BITS = 24          # a calibrator of more knots than 2**24 would not fit a row
+
+
 def fit_isotonic(rows: DataFrame, score: str, label: str, fitted_on: str = "validation", name: str = "default") -> DataFrame:
     """One-row calibrator (name, fitted_on, xs, ys).
 
@@ -24,9 +27,10 @@ def fit_isotonic(rows: DataFrame, score: str, label: str, fitted_on: str = "vali
 
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
-    """Piecewise-linear interpolation over sorted knots, constant outside; a built-in array expression."""
+    """Piecewise-linear interpolation over sorted knots, constant outside; the knot is found by a binary search."""
     n = F.size(xs)
-    i = F.size(F.filter(xs, lambda k: k <= x))
+    step = lambda at, s: F.when((at + s <= n) & (F.get(xs, at + s - 1) <= x), at + s).otherwise(at)       # noqa: E731
+    i = F.aggregate(F.array(*[F.lit(2**b) for b in reversed(range(KNOT_BITS))]), F.lit(0), step)
     at = F.least(F.greatest(i, F.lit(1)), F.greatest(n - 1, F.lit(1)))
     x0, y0 = F.element_at(xs, at), F.element_at(ys, at)
     x1, y1 = F.try_element_at(xs, at + 1), F.try_element_at(ys, at + 1)

@@ -29,6 +29,9 @@ def _inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     bad = forbidden_columns(features)
     if bad:
         raise ValueError(f"verification columns offered as model inputs: {bad}")
+    bad = [f for f in features if f in C.NON_MODEL_FEATURES]
+    if bad:
+        raise ValueError(f"support counts are no model inputs: {bad}")
     return df.withColumns({f"in_{f}": F.col(f).cast("double") for f in features})
 
 

@@ -16,12 +16,14 @@ def missing_reference(forecast: DataFrame, reference: DataFrame, keys: Sequence[
 
 
 def align_reference(forecast: DataFrame, reference: DataFrame, keys: Sequence[str], missing: str = "raise") -> DataFrame:
-    """Verification looked up at valid time.  ``missing``: 'raise', 'drop' (block not yet verified) or 'keep'."""
-    if missing == "raise":
-        absent = missing_reference(forecast, reference, keys).limit(1).collect()
-        if absent:
-            raise KeyError(f"verification reference missing, e.g. {absent[0].asDict()}")
-    return forecast.join(reference, list(keys), "left" if missing == "keep" else "inner")
+    """Verification looked up at valid time.  ``missing``: 'raise', 'drop' (block not yet verified) or 'keep'.
+
+    With 'raise' the join itself fails at the first forecast row without a reference: no pass of its own looks for one."""
+    if missing != "raise":
+        return forecast.join(reference, list(keys), "left" if missing == "keep" else "inner")
+    j = forecast.join(reference.withColumn("_hit", F.lit(True)), list(keys), "left")
+    text = F.concat(F.lit("verification reference missing, e.g. "), F.to_json(F.struct(*keys)))
+    return j.where(F.when(F.col("_hit").isNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).drop("_hit")
 
 
 def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from windrose import constants as C
 from windrose.operators.ordered import ordered_totals
+from windrose.session import cut_lineage
 
 MEASURES = {"n": None, "err": "norm_error", "bias": "bias_m", "hit": "bust"}
 
@@ -49,8 +50,8 @@ def recent_error_features(cases: DataFrame, regions: DataFrame, neighbours: Data
     full = inits.withColumn("region_id", F.explode(regions_list.scalar()))
     own = trailing_sums(facts, full, ["region_id"], window_days)
     mean = lambda m: F.when(F.col("n") > 0.5, F.col(m) / F.col("n"))          # noqa: E731
-    own = own.select("init_time", "region_id", mean("err").alias("rec_err"), mean("bias").alias("rec_bias"),
-                     mean("hit").alias("rec_bust_rate"), F.round("n").alias("rec_n"))
+    own = cut_lineage(own.select("init_time", "region_id", mean("err").alias("rec_err"), mean("bias").alias("rec_bias"),
+                     mean("hit").alias("rec_bust_rate"), F.round("n").alias("rec_n")))      # feeds the neighbours and the result
     nb = (neighbours.select("region_id", "nb_region_id")
           .join(own.select("init_time", F.col("region_id").alias("nb_region_id"), F.col("rec_err").alias("_e")), "nb_region_id")
           .groupBy("init_time", "region_id").agg(F.avg("_e").alias("rec_err_nbhd")))

@@ -15,6 +15,7 @@ from windrose.operators import summaries as SU
 from windrose.plans import bridge as B
 from windrose.plans.joins import FINE, N, REGIONS, fine, regions
 from windrose.plans.registry import query
+from windrose.session import cut_lineage
 
 CELL = ["init_time", "lead_day", "cell"]
 
@@ -84,9 +85,15 @@ regional AS (
   JOIN regions g ON flat >= lat_lo AND flat < lat_hi AND flon >= lon_lo AND flon < lon_hi)"""
 
 
+@B.memo
+def region_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    """(region, cell), derived once from the distinct cells of the refined grid."""
+    cells = cut_lineage(fine(spark, sf).select("flat", "flon").distinct())
+    return cut_lineage(G.region_cells(regions(spark, sf), cells, "flat", "flon").withColumnsRenamed({"flat": "lat", "flon": "lon"}))
+
+
 def regional(spark: SparkSession, sf: str) -> DataFrame:
-    s = fine_states(spark, sf)
-    bridge = G.region_cells(regions(spark, sf), fine(spark, sf), "flat", "flon").withColumnsRenamed({"flat": "lat", "flon": "lon"})
+    s, bridge = fine_states(spark, sf), region_bridge(spark, sf)
     return E.regional_errors(s, bridge, ["init_time"], 5.0 / 3, clim="clim_value")
 
 

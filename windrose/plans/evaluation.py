@@ -92,6 +92,14 @@ def quantile_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return SC.quantile_coverage(c, "error_m", {"q50": 0.5, "q90": 0.9}, ["split"])
 
 
+@query("central_coverage", ctes=B.CASES, doubles="central_coverage mean_width", sql="""
+  SELECT split, avg(CASE WHEN error_m >= spread_m * 0.5 AND error_m <= spread_m * 1.5 THEN 1e0 ELSE 0e0 END) AS central_coverage,
+         avg(spread_m * 1.5 - spread_m * 0.5) AS mean_width FROM cases GROUP BY split""")
+def central_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    c = B.cases(spark, sf).withColumns({"q25": F.col("spread_m") * 0.5, "q75": F.col("spread_m") * 1.5})
+    return SC.central_coverage(c, "error_m", "q25", "q75", ["split"])
+
+
 _EDGES = [i * 0.1 for i in range(1, 10)]
 _BIN = "CAST(CASE " + " ".join(f"WHEN p < {e!r}e0 THEN {i}" for i, e in enumerate(_EDGES)) + " ELSE 9 END AS INTEGER)"
 _REL = f"SELECT model, {_BIN} AS bin, count(*) AS n, avg(p) AS mean_pred, avg(bust) AS obs_freq FROM test GROUP BY ALL"

@@ -10,6 +10,7 @@ from windrose.operators import grid as G
 from windrose.operators import labels as L
 from windrose.plans import bridge as B
 from windrose.plans.registry import query
+from windrose.session import cut_lineage
 
 DOMAIN = {"lat_min": -5.0, "lat_max": 40.0, "lon_min": 60.0, "lon_max": 105.0}
 N = 5   # the bridge grid is N x N
@@ -41,7 +42,17 @@ def missing_reference(spark: SparkSession, sf: str) -> DataFrame:
   JOIN climatology c ON c.month_n = month(valid_time) AND c.cell = s.cell""")
 def climatology_join(spark: SparkSession, sf: str) -> DataFrame:
     s = states(spark, sf).withColumn("month_n", F.month("valid_time"))
-    return A.align_reference(s, B.climatology(spark, sf), ["month_n", "cell"]).select(
+    return A.align_reference(s, B.climatology(spark, sf), ["month_n", "cell"], missing="drop").select(
+        "init_time", "lead_day", "cell", (F.col("z") - F.col("clim_value")).alias("anomaly"))
+
+
+@query("climatology_join_gaps", ctes=B.MEMBERS + "," + B.CLIMATOLOGY, doubles="anomaly", sql=f"""
+  SELECT init_time, lead_day, s.cell, z - clim_value AS anomaly FROM ({_STATE}) s
+  LEFT JOIN (SELECT * FROM climatology WHERE month_n <> 6) c ON c.month_n = month(valid_time) AND c.cell = s.cell""")
+def climatology_join_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a month without climatology are kept, their anomaly is NULL."""
+    s = states(spark, sf).withColumn("month_n", F.month("valid_time"))
+    return A.align_reference(s, B.climatology(spark, sf).where("month_n <> 6"), ["month_n", "cell"], missing="keep").select(
         "init_time", "lead_day", "cell", (F.col("z") - F.col("clim_value")).alias("anomaly"))
 
 
@@ -57,7 +68,9 @@ regions AS (
 
 @B.memo
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    return G.build_regions(B.members(spark, sf), DOMAIN)
+    """The region dimension, derived once from the distinct cells."""
+    cells = cut_lineage(B.members(spark, sf).select("lat", "lon").distinct())
+    return cut_lineage(G.build_regions(cells, DOMAIN))
 
 
 @query("build_regions", ctes=B.MEMBERS + "," + REGIONS, doubles="lat lon lat_lo lat_hi lon_lo lon_hi", sql="""

@@ -23,12 +23,16 @@ anom AS (SELECT m.init_time, m.lead_day, m.valid_time, m.cell, m.value - c.clim_
          JOIN climatology c ON c.month_n = month(m.valid_time) AND c.cell = m.cell)"""
 
 
-def anomalies(spark: SparkSession, sf: str) -> DataFrame:
+def anomalies_plan(spark: SparkSession, sf: str) -> DataFrame:
     m = B.members(spark, sf).withColumn("month_n", F.month("valid_time"))
     clim = B.climatology(spark, sf).select("month_n", "cell", "clim_value")
     return M.member_anomalies(m, clim, KEYS, ["month_n", "cell"])
 
 
+anomalies_plan.partition_by = None
+anomalies = B.stored(anomalies_plan)          # one array per cell forecast, written once and read by every fit and score
+
+
 @query("member_anomalies", ctes=ANOM, doubles="mean_anom lowest highest", sql="""
   SELECT init_time, lead_day, cell, avg(f) AS mean_anom, min(f) AS lowest, max(f) AS highest, count(*) AS n_members FROM anom GROUP BY ALL""")
 def member_anomalies(spark: SparkSession, sf: str) -> DataFrame:

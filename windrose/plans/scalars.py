@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose import constants as C
 from windrose.functions import probability as P
 from windrose.functions import scalar as S
+from windrose.operators.ordered import ordered_totals
 from windrose.plans import bridge as B
 from windrose.plans.registry import query
 
@@ -209,3 +211,13 @@ def round_null(spark: SparkSession, sf: str) -> DataFrame:
 def disagreement_pp(spark: SparkSession, sf: str) -> DataFrame:
     return B.cases(spark, sf).select("case_id", (100 * (F.col("p_a") - F.col("p_b"))).alias("disagreement_pp"),
                                      (1 - F.col("p_a")).alias("confidence"))
+
+
+@query("canonical_order", ctes=B.CASES, sql="""
+  SELECT case_id, row_number() OVER (ORDER BY init_time, region_id, lead_day, case_id) - 1 AS position FROM cases""")
+def canonical_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Position of every case in canonical order: rows before its init time by a prefix sum, then its place inside the init time."""
+    c = B.cases(spark, sf).select("case_id", "init_time", "region_id", "lead_day", F.unix_micros("init_time").alias("t"))
+    before = ordered_totals(c, [], "t", {"n": F.lit(1)}).select("t", "below_n")
+    place = F.row_number().over(W.partitionBy("t").orderBy("region_id", "lead_day", "case_id"))
+    return c.join(before, "t").select("case_id", (F.col("below_n") + place - 1).cast("long").alias("position"))

@@ -52,7 +52,9 @@ def test_repeated_passages_are_found(spark):
             having[p].append(d)
         rows.append((d, " ".join(w), None, None, None))
     docs = spark.createDataFrame(rows, DOCS)
-    got = substring_dedup.repeats(docs).collect()
+    every = substring_dedup.repeats(docs).collect()
+    got = [r for r in every if not r.is_first]
+    assert {r.doc_id for r in every if r.is_first} == {ds[0] for ds in having.values() if len(ds) > 1}
     dirty = {d for ds in having.values() for d in ds}
     assert {r.doc_id for r in got} == {d for ds in having.values() for d in ds[1:]}
     assert all(r.copy_of in dirty and r.copy_of < r.doc_id for r in got)
@@ -61,7 +63,17 @@ def test_repeated_passages_are_found(spark):
         assert (cut[d] == text) == (d not in {r.doc_id for r in got})
         assert set(cut[d].split()) - set(text.split()) == set() or d in dirty
     whole = spark.createDataFrame([(9, rows[0][1], None, None, None), (3, rows[0][1], None, None, None), (3, rows[0][1], None, None, None)], DOCS)
-    assert [(r.doc_id, r.start_byte, r.end_byte, r.copy_of) for r in substring_dedup.repeats(whole).collect()] == [(9, 0, len(rows[0][1].encode()), 3)]
+    n = len(rows[0][1].encode())
+    assert sorted((r.doc_id, r.start_byte, r.end_byte, r.copy_of, r.is_first) for r in substring_dedup.repeats(whole).collect()) == [(3, 0, n, 3, True), (9, 0, n, 3, False)]
+    # the same over many small batches: runs of equal digests cross batch ends
+    key = lambda r: (r.doc_id, r.start_byte, r.end_byte, r.is_first)      # noqa: E731
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        small = substring_dedup.repeats(docs.repartition(7)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(key, small)) == sorted(map(key, every))
 
 
 def test_repeats_edges(spark):

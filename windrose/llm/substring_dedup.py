@@ -26,7 +26,7 @@ from windrose.llm.tokens import RAW_BYTE, bounds, buffers, span_hashes
 
 GEAR = (mix((np.arange(256, dtype=np.uint64) + np.uint64(777)) * GOLD) >> np.uint64(48)).astype(np.uint16)
 CUT_BITS, MIN, MAX = 4, 16, 128
-ROW = "digest long, doc_id long, place long, copy_of long"
+ROW = "digest long, doc_id long, place long, copy_of long, copied boolean"
 
 
 def gear_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -85,22 +85,24 @@ def _chunk(batches):
         twin[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         keep = ~twin
+        copied = np.bincount(lead, keep, len(new))[lead] > 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digest[keep]), pa.array(doc[keep]), pa.array(place[keep]), pa.array(doc[lead][keep], mask=new[keep])],
-            ["digest", "doc_id", "place", "copy_of"])
+            [pa.array(digest[keep]), pa.array(doc[keep]), pa.array(place[keep]), pa.array(doc[lead][keep], mask=new[keep]), pa.array(copied[keep])],
+            ["digest", "doc_id", "place", "copy_of", "copied"])
 
 
 def _copies(batches):
-    """Rows sorted by (waits, digest, doc_id, place): those that wait and are not the first of their digest become copies."""
-    digest = lead = last = None
+    """Rows sorted by (digest, doc_id, place).  Of those that wait, a digest's first is told if it has copies, the others are copies."""
+    names = ["doc_id", "place", "copy_of", "is_first"]
+    digest = lead = last = pending = None        # the open digest, its first doc_id, last row, and first row while it has no copy
     for b in batches:
         d, doc, place = (np.asarray(b.column(c)) for c in ("digest", "doc_id", "place"))
-        own = b.column("copy_of")
+        own, copied = b.column("copy_of"), np.asarray(b.column("copied"))
         done = np.asarray(own.is_valid())
         if not len(d):
             continue
-        out = [(doc[done], place[done], np.asarray(own.drop_null()))]
-        d, doc, place = d[~done], doc[~done], place[~done]
+        out = [(doc[done], place[done], np.asarray(own.drop_null()), np.zeros(done.sum(), bool))]
+        d, doc, place, copied = d[~done], doc[~done], place[~done], copied[~done]
         if len(d):
             new = np.ones(len(d), bool)
             new[1:] = d[1:] != d[:-1]
@@ -111,41 +113,59 @@ def _copies(batches):
             at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             of = np.where(at >= 0, doc[np.maximum(at, 0)], lead if lead is not None else 0)
             keep = ~new & ~twin
-            out.append((doc[keep], place[keep], of[keep]))
+            out.append((doc[keep], place[keep], of[keep], np.zeros(keep.sum(), bool)))
+            again = np.bincount(at + 1, keep, len(new) + 1)          # copies of the open digest, then of each first row
+            if pending and again[0]:
+                out.append(tuple(np.array([x]) for x in (*pending, pending[0], True)))
+                pending = None
+            first = np.flatnonzero(new & (copied | (again[1:] > 0)))
+            out.append((doc[first], place[first], doc[first], np.ones(len(first), bool)))
+            if new.any():
+                i = int(np.flatnonzero(new)[-1])
+                pending = None if copied[i] or again[i + 1] else (doc[i], place[i])
             digest, lead, last = d[-1], of[-1], (doc[-1], place[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["doc_id", "place", "copy_of"])
+        cols = [np.concatenate(c) for c in zip(*out)]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3].astype(bool))], names)
+
+
+SPAN = ["doc_id", "start_byte", "end_byte", "n_words", "copy_of", "is_first"]
 
 
 def _spans(min_words: int):
-    """Copies sorted by (doc_id, place) -> spans of neighbouring copies."""
+    """Repeated chunks sorted by (doc_id, is_first, place) -> spans of neighbouring chunks of one kind."""
+    def rows_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "is_first" else pa.int64()) for c, n in zip(zip(*rows), SPAN)], SPAN)
+
     def run(batches):
-        open_ = None          # doc_id, start, end, words, copy_of
+        open_ = None
         for b in batches:
-            doc, place, of = (np.asarray(b.column(c)) for c in ("doc_id", "place", "copy_of"))
+            doc, place, of, lead = (np.asarray(b.column(c)) for c in ("doc_id", "place", "copy_of", "is_first"))
             if not len(doc):
                 continue
             start, words = place >> 20, place & 255
             end = start + ((place >> 8) & 4095)
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+            new[1:] = (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (start[1:] > end[:-1])
             first = np.flatnonzero(new)
             rows = [list(x) for x in zip(doc[first].tolist(), start[first].tolist(), np.maximum.reduceat(end, first).tolist(),
-                                         np.add.reduceat(words, first).tolist(), of[first].tolist())]
-            if open_ and open_[0] == rows[0][0] and open_[2] >= rows[0][1]:
-                rows[0] = [open_[0], open_[1], max(open_[2], rows[0][2]), open_[3] + rows[0][3], open_[4]]
+                                         np.add.reduceat(words, first).tolist(), of[first].tolist(), lead[first].tolist())]
+            if open_ and (open_[0], open_[5]) == (rows[0][0], rows[0][5]) and open_[2] >= rows[0][1]:
+                rows[0] = [open_[0], open_[1], max(open_[2], rows[0][2]), open_[3] + rows[0][3], open_[4], open_[5]]
             elif open_:
                 rows.insert(0, open_)
             open_ = rows.pop()
             rows = [r for r in rows if r[3] >= min_words]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start_byte", "end_byte", "n_words", "copy_of"])
+                yield rows_of(rows)
         if open_ and open_[3] >= min_words:
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in open_], ["doc_id", "start_byte", "end_byte", "n_words", "copy_of"])
+            yield rows_of([open_])
     return run
 
 
 def repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
-    """(doc_id, start_byte, end_byte, n_words, copy_of): spans that repeat text found earlier; copy_of is a doc_id that has it.
+    """(doc_id, start_byte, end_byte, n_words, copy_of, is_first): the spans of text found more than once.
+
+    A first occurrence has is_first and its own doc_id; of the others copy_of is a doc_id that has the text earlier.
 
     Positions are bytes of the UTF-8 text.
     """
@@ -155,15 +175,15 @@ def repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
     # known copies only pass through, so they are dealt evenly
     key = F.when(F.col("copy_of").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "place"))
     found = found.withColumn("deal", key).repartition(parts, "deal").drop("deal").sortWithinPartitions("digest", "doc_id", "place")
-    copies = found.mapInArrow(_copies, "doc_id long, place long, copy_of long")
-    return copies.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(
-        _spans(min_words), "doc_id long, start_byte long, end_byte long, n_words long, copy_of long")
+    copies = found.mapInArrow(_copies, "doc_id long, place long, copy_of long, is_first boolean")
+    return copies.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "is_first", "place").mapInArrow(
+        _spans(min_words), "doc_id long, start_byte long, end_byte long, n_words long, copy_of long, is_first boolean")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """``docs`` with the spans of ``repeats`` cut out of the texts; the first occurrence stays."""
     own, parts = fresh(docs, "id", "cuts")
-    cuts = repeats(docs, min_words).groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(parts))
+    cuts = repeats(docs, min_words).where("not is_first").groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(parts))
     joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts[own], "left").drop(own)
     names, schema = docs.columns, docs.schema
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -106,11 +107,11 @@ def crossfit_margin(df: DataFrame, model: ExceedanceModel, period: Column, label
     d = df.withColumn("_period", period)
     train = d.where("split = 'train'")
     periods = [r["_period"] for r in train.select("_period").distinct().orderBy("_period").collect()]      # a handful of values
-    parts = []
-    for p in periods:
+    def without(p):
         fit_rows = train.where(F.col("_period") != p).unionByName(d.where("split = 'validation'"))
-        m = fit_exceedance(fit_rows, model.features, label, calibrate=False, **model.params)
-        parts.append(m.raw(train.where(F.col("_period") == p)))
+        return fit_exceedance(fit_rows, model.features, label, calibrate=False, **model.params)
+    with ThreadPoolExecutor(4) as pool:          # independent fits share the cluster
+        parts = [m.raw(train.where(F.col("_period") == p)) for p, m in zip(periods, pool.map(without, periods))]
     parts.append(model.raw(d.where("split <> 'train'")))
     out = parts[0]
     for x in parts[1:]:

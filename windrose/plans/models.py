@@ -6,6 +6,8 @@ order, equality of two ways to the same number), and the SQL states them for eve
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,13 +166,15 @@ SEEDS = (20260928, 20260929, 20260930)
 def group_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Every group added to the baseline, three seeds, judged on two periods."""
     t = table(spark, sf).withColumn("noise", F.pmod(F.xxhash64("case_id"), F.lit(1000)).cast("double"))
+    extras = {"BASE": [], "REC": GROUPS["REC"], "ATM": GROUPS["ATM"], "NOISE": ["noise"]}
+    todo = [(name, seed) for name in extras for seed in SEEDS]
+    with ThreadPoolExecutor(4) as pool:          # independent fits share the cluster
+        fits = list(pool.map(lambda x: X.fit_exceedance(t, SPREAD + extras[x[0]], calibrate=False, seed=x[1]), todo))
     runs = None
-    for name, extra in {"BASE": [], "REC": GROUPS["REC"], "ATM": GROUPS["ATM"], "NOISE": ["noise"]}.items():
-        for seed in SEEDS:
-            m = X.fit_exceedance(t, SPREAD + extra, calibrate=False, seed=seed)
-            r = R.auprc(m.raw(t.where("split IN ('validation', 'test')")), "bust", "raw_probability", ["split"]).select(
-                F.lit(name).alias("group_name"), F.col("split").alias("period"), F.lit(seed).alias("seed"), F.col("auprc").alias("metric"))
-            runs = r if runs is None else runs.unionByName(r)
+    for (name, seed), m in zip(todo, fits):
+        r = R.auprc(m.raw(t.where("split IN ('validation', 'test')")), "bust", "raw_probability", ["split"]).select(
+            F.lit(name).alias("group_name"), F.col("split").alias("period"), F.lit(seed).alias("seed"), F.col("auprc").alias("metric"))
+        runs = r if runs is None else runs.unionByName(r)
     g = keep_improving_groups(runs, "BASE")
     return g.select("group_name", within("mean_gain", -1.0, 1.0).alias("gain_is_finite"),
                     (F.col("keep") == (F.col("worst_gain") > 0).cast("int")).alias("keep_follows_worst_period"))

@@ -137,6 +137,23 @@ def test_quality_equals_brute_force(spark, sf):
     assert quality.quality(edge, labels.limit(0)).count() == len(edge_rows()) and quality.quality(edge.limit(0), labels).count() == 0
 
 
+def test_quality_counts_every_trusted_text(spark):
+    n = 24_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 40) as text")
+    docs = docs.union(spark.createDataFrame([(None, "w1"), (0, "w0")], "doc_id long, text string"))
+    trusted = spark.range(n).where("id % 40 < 38 or id < 400").selectExpr("id as doc_id")
+    bucket = {r.w: r.b for r in docs.selectExpr("text w", "pmod(xxhash64(text), 16384) b").distinct().collect()}
+    raw, target = Counter(), Counter()
+    for i in [*range(n), None, 0]:
+        b = bucket[f"w{(1 if i is None else i) % 40}"]
+        raw[b] += 1
+        target[b] += i is not None and (i % 40 < 38 or i < 400)
+    share = sum(target.values()) / sum(raw.values())
+    want = [round(1e6 * math.log((target[b] + quality.PRIOR) / (raw[b] * share + quality.PRIOR))) for b in range(quality.BUCKETS)]
+    for cells in (quality.CELLS, 5_000, 1):          # a small filter leaves more rows to the exact join
+        assert quality.ratios(docs, trusted, cells=cells) == want
+
+
 def test_quality_runs_without_python(spark, sf):
     plan = quality.rated(spark.read.parquet(f"{sf}/documents.parquet"), [0, 1])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)

@@ -6,9 +6,11 @@ depend on their order.  A bucket's ratio is that of its target count to the coun
 n-grams too rare to tell the two apart count nothing, in small corpora too.  A text is kept if no base rule fails and its score reaches
 ``threshold``; the same tables give the same verdicts.
 
-Scale: the target is a bounded sample of the trusted ids (MAX_TRUSTED, broadcast), the raw corpus is counted whole.  Counting is one
+Scale: all trusted texts and the whole raw corpus are counted without a shuffle of texts.  A Bloom filter of all trusted ids (CELLS words
+of 64 bits at most, broadcast) marks rows; a second one holds the ids of ``docs`` that the first takes for trusted and that are not, so
+a row in the first and not in the second is trusted for certain.  The few rows in both are settled by an exact join.  Counting is an
 aggregation over BUCKETS keys that combines before the shuffle; scoring and the surface counts are columns of
-the scan.  The table of ratios (BUCKETS numbers) is the only thing collected.
+the scan.  The counts (BUCKETS rows) are the only thing collected.
 
 Repeated 8-word windows are looked for by hashes doubled from pairs to fours to eights, and only where the shorter ones repeat.
 
@@ -23,10 +25,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windrose.llm.common import stored
+
 BUCKETS = 1 << 14
 THRESHOLD = -0.085
 PRIOR = 20
-MAX_TRUSTED = 20_000       # target texts at most, those with the smallest hash of doc_id
+CELLS = 1 << 20            # words of a Bloom filter of ids; fewer only leave more rows to the exact join
 UNIT = 1_000_000
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -54,17 +58,39 @@ def hashed(docs: DataFrame) -> DataFrame:
             .withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("h2", neighbours("h", 1)))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> list[int]:
+def mask(n: int) -> Column:
+    """Four bits of a word for a doc_id, others for each n."""
+    h = F.xxhash64("doc_id", F.lit(n))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def held(bits: str, n: int) -> Column:
+    return F.coalesce(F.col(bits).bitwiseAND(mask(n)) == mask(n), F.lit(False))
+
+
+def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, cells: int = CELLS) -> list[int]:
     """The log ratio of each bucket, in 1/UNIT."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("good", F.lit(1))
-    # at most max_trusted pairs of numbers: no text is shuffled
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left")
-    grams = hashed(rows).select("good", F.explode(F.concat("h", "h2")).alias("x"))
-    counts = grams.groupBy(F.pmod("x", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells))
+    ids = stored(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("cell", F.when(F.col("doc_id").isNotNull(), cell))
+    first = stored(ids.groupBy(cell.alias("cell")).agg(F.bit_or(mask(1)).alias("in1")), "first")
+    # at most ``cells`` pairs of numbers are broadcast: no text is shuffled
+    wrong = rows.select("doc_id", "cell").join(F.broadcast(first), "cell").where(held("in1", 1)).select("doc_id", "cell").distinct().join(ids, "doc_id", "left_anti")
+    second = wrong.groupBy("cell").agg(F.bit_or(mask(2)).alias("in2"))
+    both = stored(first.join(second, "cell", "left"), "both")
+    rows = rows.join(F.broadcast(both), "cell", "left")
+    sure = rows.withColumn("good", F.when(held("in1", 1) & ~held("in2", 2), 1))
+    doubtful = rows.where(held("in1", 1) & held("in2", 2)).select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    bucket = F.pmod("x", F.lit(buckets)).alias("bucket")
+    counts = hashed(sure).select("good", F.explode(F.concat("h", "h2")).alias("x")).groupBy(bucket).agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    more = hashed(doubtful).select(F.explode(F.concat("h", "h2")).alias("x")).groupBy(bucket).agg(F.count("*").alias("target"))
     raw, target = [0] * buckets, [0] * buckets
     for b, r, t in counts.collect():              # at most ``buckets`` rows
         raw[b], target[b] = r, t
+    for b, t in more.collect():
+        target[b] += t
     share = sum(target) / max(1, sum(raw))
     return [round(UNIT * math.log((t + PRIOR) / (r * share + PRIOR))) for r, t in zip(raw, target)]
 

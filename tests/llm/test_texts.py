@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,3 +198,30 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(edge, bench.limit(0)).count() == 0 == decontaminate.overlaps(edge.limit(0), bench).count()
     own = decontaminate.overlaps(edge, spark.createDataFrame([(1, edge_rows()[1][1])], "item_id long, text string")).collect()
     assert {str(r.doc_id) for r in own} == {"4", "5", "None"}
+
+
+def test_decontamination_misses_no_diagonal(spark):
+    rng = random.Random(31)
+    items = [prose(rng, n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 40, 59)]
+    rows = []
+    for p in items:
+        for how in [*range(2, 11), 0.1, 0.2, 0.3, 0.3, 0.35]:
+            w = list(p)
+            off = rng.randrange(how) if how > 1 else 0
+            for at in range(len(w)):
+                if (at % how == off) if how > 1 else rng.random() < how:
+                    w[at] = "changed"
+            rows.append((len(rows), " ".join(prose(rng, rng.randrange(9)) + w + prose(rng, rng.randrange(9))), None, None, None))
+    want = set()
+    for d, t, *_ in rows:
+        x = words(t)
+        for i, p in enumerate(items):
+            n = 0
+            for a in range(-len(p) + 1, len(x)):
+                lo, hi = max(0, -a), min(len(p), len(x) - a)
+                n = max(n, decontaminate.best_stretch(np.array([p[j] == x[j + a] for j in range(lo, hi)]))[2])
+            if n >= min(12, math.ceil(0.75 * len(p))):
+                want.add((d, i, n))
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_match) for r in decontaminate.overlaps(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert got == want and any(d % 14 == 3 for d, _, _ in want)          # every fifth word replaced

@@ -1,14 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks lay over windows of words and ignore the positions marked 0, so a window still matches if words there were
+Masks lay over windows of words and ignore the positions marked 0, so a window still matches if words there were
 replaced.  Hashes of all benchmark windows are joined with those of all text windows; each hit names a diagonal (an alignment of
 an item with a text), on which the best stretch that tolerates substitutions is verified word by word.
 
+No accepted diagonal is missed: the score of a best stretch never falls below 0 on its way, so there are few ways in which its first
+WEIGHT equal words can lie, and each of them is a mask (``starts``).  Items that need fewer equal words have masks of that weight.
+
 Scale: a Bloom filter of fixed size (built by a distributed aggregation) is broadcast to keep windows that no
-item has from the shuffle; what passes is joined with the item windows by an ordinary join, so any number of items is handled.
+item has from the shuffle (two filters with independent bits, as there are many windows); what passes is joined with the item windows by an ordinary join, so any number of items is handled.
 A hit carries positions only; the words of texts with hits are stored once.
 
-Defined cases: items without words match nothing; items shorter than a mask are looked up whole.  Null and blank texts have no
+Defined cases: items without words match nothing.  Null and blank texts have no
 hits.  Repeated rows are the same row.  Rows without a doc_id are reported with a null doc_id.
 """
 
@@ -20,11 +23,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import bloom_filter, fresh, lists, may_contain, mix, pieces, salt, stored
+from windrose.llm.common import GOLD, bloom_filter, fresh, lists, may_contain, mix, pieces, salt, stored
 from windrose.llm.tokens import words_of
 
-MASKS = ("1101100101", "1110010011", "1011011001")
 MATCH, MISS = 1.0, -1.5          # scores of an equal and of a replaced word on a diagonal
+WEIGHT = 5                       # equal words of a seed
+
+
+def starts(weight: int) -> list[str]:
+    """Every way in which the first ``weight`` equal words of a best stretch can lie."""
+    out = []
+
+    def grow(mask: str, score: float) -> None:
+        if mask.count("1") == weight:
+            out.append(mask)
+            return
+        grow(mask + "1", score + MATCH)
+        if score + MISS >= 0:
+            grow(mask + "0", score + MISS)
+
+    grow("", 0.0)
+    return out
+
+
+def second(s: np.ndarray) -> np.ndarray:
+    """Other bits of the same seeds, for the second filter."""
+    return mix(s ^ GOLD)
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
@@ -32,7 +56,7 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     m = len(h) - len(mask) + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    v = np.full(m, salt(len(mask)))
+    v = np.full(m, salt(int(mask, 2)))
     for j, c in enumerate(mask):
         if c == "1":
             v = v * np.uint64(0x5851F42D4C957F2D) + h[j:j + m]
@@ -51,22 +75,24 @@ def _windows(w, masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(pos), np.concatenate(seeds)
 
 
-def _items(masks):
+def _items(min_words: int, share: float):
     def run(batches):
         for b in pieces(batches):
             w = words_of(b.column("text"))
             n = np.diff(w.first)
+            weight = np.minimum(WEIGHT, np.maximum(1, np.minimum(min_words, np.ceil(n * share)))).astype(np.int64)
             seeds: list[list[int]] = [[] for _ in n]
             at: list[list[int]] = [[] for _ in n]
-            r, p, s = _windows(w, masks)
-            for i, q, x in zip(r.tolist(), p.tolist(), s.view(np.int64).tolist()):
-                seeds[i].append(x), at[i].append(q)
-            for i in np.flatnonzero((n > 0) & (n < len(masks[0]))).tolist():      # whole short items
-                x = seed_hashes(w.hash[w.first[i]:w.first[i + 1]], "1" * int(n[i]))
-                seeds[i].append(int(x.view(np.int64)[0])), at[i].append(0)
+            for k in np.unique(weight).tolist():
+                r, p, s = _windows(w, starts(k))
+                ok = weight[r] == k
+                for i, q, x in zip(r[ok].tolist(), p[ok].tolist(), s[ok].view(np.int64).tolist()):
+                    seeds[i].append(x), at[i].append(q)
+            also = [second(np.array(x, np.int64).view(np.uint64)).view(np.int64).tolist() for x in seeds]
             yield pa.RecordBatch.from_arrays(
-                [b.column("item_id").cast(pa.int64()), pa.array(n, pa.int64()), lists(w.hash.view(np.int64), n, pa.int64()),
-                 pa.array(seeds, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], ["item_id", "n_item", "item", "seeds", "at"])
+                [b.column("item_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64()), lists(w.hash.view(np.int64), n, pa.int64()),
+                 pa.array(seeds, pa.list_(pa.int64())), pa.array(also, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
+                ["item_id", "n_item", "weight", "item", "seeds", "also", "at"])
     return run
 
 
@@ -75,7 +101,8 @@ def _hits(masks, bloom):
         for b in pieces(batches):
             w = words_of(b.column("text"))
             r, p, s = _windows(w, masks)
-            hit = may_contain(bloom.value, s)
+            hit = may_contain(bloom.value[0], s)
+            hit = hit[may_contain(bloom.value[1], second(s[hit]))]
             if not len(hit):
                 continue
             hit = hit[np.argsort(r[hit], kind="stable")]
@@ -115,7 +142,7 @@ def _verify(batches):
                                          ["doc_id", "item_id", "word_start", "item_start", "n_aligned", "n_match", "n_item"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 12, share: float = 0.75) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, share: float = 0.75) -> DataFrame:
     """One row per (text, item) that overlap in at least ``min(min_words, ceil(share * item words))`` equal words on one diagonal.
 
     Columns doc_id, item_id, word_start (in the text), item_start, n_aligned (words of the stretch), n_match, n_item.
@@ -123,11 +150,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = stored(items.mapInArrow(_items(masks), "item_id long, n_item long, item array<long>, seeds array<long>, at array<int>"), "items")
-    short = [r[0] for r in items.where((F.col("n_item") > 0) & (F.col("n_item") < len(masks[0]))).select("n_item").distinct().collect()]   # < a mask's length
+    items = stored(items.mapInArrow(_items(min_words, share), "item_id long, n_item long, weight long, item array<long>, seeds array<long>, also array<long>, at array<int>"), "items")
+    weights = [r[0] for r in items.where("n_item > 0").select("weight").distinct().collect()]   # at most WEIGHT
     seeds = items.select("item_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("item_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at")).distinct()
-    held = spark.sparkContext.broadcast(bloom_filter(seeds, "seed"))
-    every = tuple(masks) + tuple("1" * n for n in sorted(short))
+    held = spark.sparkContext.broadcast((bloom_filter(seeds, "seed"), bloom_filter(items.select(F.explode("also").alias("seed")), "seed")))
+    every = [m for k in sorted(weights) or [WEIGHT] for m in starts(k)]
     hits = stored(docs.mapInArrow(_hits(every, held), "doc_id long, uid long, words array<long>, seeds array<long>, at array<int>"), "hits",
                   **{"parquet.enable.dictionary": "false"})
     at = hits.select("uid", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("uid", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"))

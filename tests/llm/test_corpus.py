@@ -233,3 +233,17 @@ def test_pipeline_takes_edge_rows(spark, sf):
 def test_every_operator_is_registered():
     assert {k.split("_")[0] for k in RUNS} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(RUNS)
     assert jaccard_join.RARE > 1
+
+
+def test_first_occurrence_may_hold_an_earlier_chunk(spark):
+    w = prose(random.Random(8), 44)
+    passage = " ".join(w)
+    data, at = buffers(pa.array([passage]))
+    _, start, end = substring_dedup.chunks(data, at)
+    m = len(start) // 2
+    rows = [(1, passage[max(0, start[m] - 20):end[m]], None, None, None)] + [(d, f"own{d} " * 9 + passage + f" end{d}" * 9, None, None, None) for d in (2, 3)]
+    got = collections.defaultdict(list)
+    for r in substring_dedup.repeats(spark.createDataFrame(rows, DOCS)).collect():
+        got[r.doc_id].append((r.start_byte, r.end_byte, r.n_words, r.is_first))
+    assert {x[3] for x in got[2]} == {True} and max(x[2] for x in got[2]) < 25 <= sum(x[2] for x in got[2])
+    assert {x[3] for x in got[3]} == {False} and len(got[3]) == 1

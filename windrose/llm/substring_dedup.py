@@ -3,8 +3,9 @@
 A gear rolling hash (the last 16 bytes) cuts a text where its top bits are zero, so cuts depend on nearby bytes only and an
 insertion moves no cut beyond its own chunk.  A cut closer than MIN bytes to the candidate before it is dropped and chunks over MAX
 bytes are divided from their start, both rules local too.  Chunks with equal digests are copies of the first one (smallest doc_id,
-then position); neighbouring copies in a text join to spans, and spans of at least ``min_words`` words are reported.  The default of 25
-finds passages of over 50 words: up to a chunk at either end is not covered.
+then position); neighbouring repeated chunks in a text join to a run, whether they are first ones or copies, and runs of at least
+``min_words`` words are reported, as one span for each stretch of one kind (not those of a kind that is short beside the other).  The default of 25
+is meant for passages of over 50 words, without a guarantee: up to a chunk at either end is not covered.
 
 Scale: a block of texts is deduplicated before the shuffle, so a chunk that a third of all texts share reaches its task once a
 block; runs of equal digests stream through sorted partitions, and only spans meet again by doc_id.  A single false match of the
@@ -132,33 +133,47 @@ SPAN = ["doc_id", "start_byte", "end_byte", "n_words", "copy_of", "is_first"]
 
 
 def _spans(min_words: int):
-    """Repeated chunks sorted by (doc_id, is_first, place) -> spans of neighbouring chunks of one kind."""
+    """Repeated chunks sorted by (doc_id, place) -> spans of neighbouring chunks of one kind, of runs that are long enough."""
     def rows_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "is_first" else pa.int64()) for c, n in zip(zip(*rows), SPAN)], SPAN)
 
+    def told(spans):
+        """Of a run's spans those whose kind has enough words in it; all if only both kinds together have enough."""
+        of = {k: sum(x[3] for x in spans if x[5] == k) for k in (True, False)}
+        if max(of.values()) >= min_words:
+            return [x for x in spans if of[x[5]] >= min_words]
+        return spans if sum(of.values()) >= min_words else []
+
     def run(batches):
-        open_ = None
+        open_: list[list] = []      # the spans of the open run
         for b in batches:
             doc, place, of, lead = (np.asarray(b.column(c)) for c in ("doc_id", "place", "copy_of", "is_first"))
             if not len(doc):
                 continue
             start, words = place >> 20, place & 255
             end = start + ((place >> 8) & 4095)
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (start[1:] > end[:-1])
+            apart = np.ones(len(doc), bool)
+            apart[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+            apart[0] = not open_ or open_[-1][0] != doc[0] or start[0] > open_[-1][2]
+            new = apart.copy()
+            new[1:] |= lead[1:] != lead[:-1]
+            new[0] = True
             first = np.flatnonzero(new)
             rows = [list(x) for x in zip(doc[first].tolist(), start[first].tolist(), np.maximum.reduceat(end, first).tolist(),
                                          np.add.reduceat(words, first).tolist(), of[first].tolist(), lead[first].tolist())]
-            if open_ and (open_[0], open_[5]) == (rows[0][0], rows[0][5]) and open_[2] >= rows[0][1]:
-                rows[0] = [open_[0], open_[1], max(open_[2], rows[0][2]), open_[3] + rows[0][3], open_[4], open_[5]]
-            elif open_:
-                rows.insert(0, open_)
-            open_ = rows.pop()
-            rows = [r for r in rows if r[3] >= min_words]
-            if rows:
-                yield rows_of(rows)
-        if open_ and open_[3] >= min_words:
-            yield rows_of([open_])
+            done = []
+            for r, cut in zip(rows, apart[first].tolist()):
+                if cut:
+                    done += told(open_)
+                    open_ = [r]
+                elif open_[-1][5] == r[5]:              # the span goes on in this batch
+                    open_[-1][2], open_[-1][3] = max(open_[-1][2], r[2]), open_[-1][3] + r[3]
+                else:
+                    open_.append(r)
+            if done:
+                yield rows_of(done)
+        if done := told(open_):
+            yield rows_of(done)
     return run
 
 
@@ -166,6 +181,7 @@ def repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """(doc_id, start_byte, end_byte, n_words, copy_of, is_first): the spans of text found more than once.
 
     A first occurrence has is_first and its own doc_id; of the others copy_of is a doc_id that has the text earlier.
+    ``min_words`` holds for a run of neighbouring spans, so a span may be shorter.
 
     Positions are bytes of the UTF-8 text.
     """
@@ -176,14 +192,14 @@ def repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
     key = F.when(F.col("copy_of").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "place"))
     found = found.withColumn("deal", key).repartition(parts, "deal").drop("deal").sortWithinPartitions("digest", "doc_id", "place")
     copies = found.mapInArrow(_copies, "doc_id long, place long, copy_of long, is_first boolean")
-    return copies.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "is_first", "place").mapInArrow(
+    return copies.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "place", "is_first").mapInArrow(
         _spans(min_words), "doc_id long, start_byte long, end_byte long, n_words long, copy_of long, is_first boolean")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
-    """``docs`` with the spans of ``repeats`` cut out of the texts; the first occurrence stays."""
+    """``docs`` with the spans of ``repeats`` cut out of the texts; the first occurrence stays, also where it holds a short copy."""
     own, parts = fresh(docs, "id", "cuts")
-    cuts = repeats(docs, min_words).where("not is_first").groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(parts))
+    cuts = repeats(docs, min_words).where(~F.col("is_first") & (F.col("n_words") >= min_words)).groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(parts))
     joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts[own], "left").drop(own)
     names, schema = docs.columns, docs.schema
 

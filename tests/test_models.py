@@ -151,3 +151,21 @@ def test_support_distance(spark):
     prec = np.linalg.inv((1 - p["shrinkage"]) * s + p["shrinkage"] * mu * np.eye(3))
     assert got[7]["support_distance"] == pytest.approx(float(np.sqrt(z[7] @ prec @ z[7])))
     assert got[999]["support_distance"] is None and got[999]["support_level"] == 3
+
+
+def test_free_weights_query_stops_by_tolerance(monkeypatch):
+    import inspect
+
+    from windrose.plans import mixture
+    real, seen = mixture.M.free_weights, []
+
+    def fake(*a, **b):
+        call = inspect.signature(real).bind(*a, **b)
+        call.apply_defaults()
+        seen.append((call.arguments["max_iter"], call.arguments["tol"]))
+        raise StopIteration
+
+    monkeypatch.setattr(mixture.M, "free_weights", fake)
+    with pytest.raises(StopIteration):
+        mixture.checked_weights(None, mixture.M.GROUP_ROWS)
+    assert seen == [(500, 1e-7)]

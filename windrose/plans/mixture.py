@@ -128,7 +128,7 @@ _WEIGHTS = """
 
 
 def checked_weights(v: DataFrame, group_rows: int) -> DataFrame:
-    w = M.free_weights(v, ["cell", "lead_day"], None, seed=0, max_iter=60, group_rows=group_rows)
+    w = M.free_weights(v, ["cell", "lead_day"], None, seed=0, group_rows=group_rows)
     return w.select("cell", "lead_day", "n", "k", (F.abs(F.col("w_sum") - 1) < 1e-9).alias("weights_sum_to_one"),
                     ((F.col("w_min") >= 0) & (F.col("w_max") <= 1) & (F.col("w_min") * F.col("k") <= 1 + 1e-9) & (F.col("sigma") > 0)).alias("in_range"))
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,21 @@ def test_toxicity_edges(spark):
     assert toxicity.keep_clean(edge, lab).columns == edge.columns
 
 
+def test_held_out_labels_are_never_read(spark):
+    """With a bound under the class counts no held-out label may take a place in the sample or move a class weight."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(prose(rng, 30, 200)) + (" vexword here." if i % 3 == 0 else "."), "en", "s", None) for i in range(240)]
+    docs = spark.createDataFrame(rows, DOCS)
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 == 2]
+    lab = [(i, int(i % 3 == 0)) for i in range(240)]
+    runs = []
+    for flip in (0, 1):
+        y = spark.createDataFrame([(i, t ^ flip if i in held else t) for i, t in lab], "doc_id long, toxic int")
+        runs.append(({r.doc_id: r.score for r in toxicity.toxicity(docs, y, max_rows=40).collect()},
+                     {r.doc_id for r in toxicity.keep_clean(docs, y, max_rows=40).collect()}))
+    assert len(held) > 30 and runs[0] == runs[1] and len(set(runs[0][0].values())) > 1
+
+
 def brute_quality(text):
     text = text or ""
     w = words(text, False)
@@ -193,11 +209,19 @@ def test_decontamination_tolerates_substitutions(spark):
     for r in got:
         assert r.n_match <= r.n_aligned <= r.n_item
     kept = decontaminate.clean(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows + edge_rows()[:4]} - {d for d, _ in want}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows + edge_rows()[:4]} - {d for d, i in want if len(words(items[i][1])) >= decontaminate.FLOOR}
     edge = edge_table(spark)
     assert decontaminate.overlaps(edge, bench.limit(0)).count() == 0 == decontaminate.overlaps(edge.limit(0), bench).count()
     own = decontaminate.overlaps(edge, spark.createDataFrame([(1, edge_rows()[1][1])], "item_id long, text string")).collect()
     assert {str(r.doc_id) for r in own} == {"4", "5", "None"}
+    # null and shared ids of texts and items neither save nor lose a text
+    leak = edge_rows()[1][1]
+    bench = spark.createDataFrame([(None, leak), (3, "unlike item of six other words"), (3, "Zwei drei vier, acht neun zehn elf")], "item_id long, text string")
+    more = docs.limit(0).union(spark.createDataFrame([(20, "x zwei drei vier acht neun zehn elf y", None, None, None), (4, "a clean row", None, None, None)], DOCS))
+    kept = decontaminate.clean(edge.drop(*CLASHES).union(more), bench).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        (str(r[0]), r[1]) for r in [*edge_rows(), (4, "a clean row")] if r[1] != leak)
+    assert decontaminate.clean(edge, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == len(edge_rows())
 
 
 def test_decontamination_misses_no_diagonal(spark):

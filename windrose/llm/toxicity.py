@@ -5,7 +5,7 @@ the noisy-or of its sentences, ``1 - prod(1 - p)``.  The weights are fitted to t
 offending sentences of a text need no labels and are the ones with high probability.
 
 The classifier is fitted on a sample bounded by ``max_rows`` per class (those with the smallest hash of doc_id), reweighted to the
-class counts of all labelled rows, in one task; the bound keeps it small at every size.  Scoring is one pass over all texts with the
+class counts of all labelled rows whose crc32(doc_id) mod 4 is not 2, in one task; the bound keeps it small at every size.  Scoring is one pass over all texts with the
 weights (``2**BITS`` floats) broadcast.
 
 Defined cases: a text without words has no sentence and scores 0.  Several labels of a doc_id count as the largest; labels without a
@@ -137,8 +137,12 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 6000) -> DataFrame:
-    """(text, label, weight): the bounded sample, weighted to the class counts of all labelled rows."""
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    """(text, label, weight): the bounded sample of the rows that may be learned from, weighted to their class counts.
+
+    Labels of held-out rows take no part: neither in the sample nor in the counts.
+    """
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    y = y.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_part("doc_id", 4) != 2))
     y = y.groupBy("doc_id").agg(F.max("label").alias("label"))
     count = {r[0]: r[1] for r in y.groupBy("label").count().collect()}
     sample = None
@@ -194,8 +198,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keys: tuple[str, ...
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
     """Every text's score, learned from the labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    seen = docs.where(F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
-    model = train(training_rows(seen, labels, "toxic", max_rows))
+    model = train(training_rows(docs, labels, "toxic", max_rows))
     out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ("doc_id",), threshold)
     return out.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                       "n_sentences", "worst_score", "worst_start", "worst_end", "toxic_sentences")
@@ -203,8 +206,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
     """``docs`` without the texts that score at least ``threshold``."""
-    seen = docs.where(F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
-    model = train(training_rows(seen, labels, "toxic", max_rows))
+    model = train(training_rows(docs, labels, "toxic", max_rows))
     held = docs.sparkSession.sparkContext.broadcast(model[0])
     names = docs.columns
 

@@ -26,19 +26,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 500) -> DataFrame:
     """(u, v) long edges -> (node, comp): comp is the smallest vertex reachable; vertices without an edge do not appear.
 
     Loops and repeated or reversed edges are allowed; null ends are ignored; an empty table gives an empty result.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
-    mark = None
+    mark = done = None
     for _ in range(rounds):
         e = cut_lineage(_star(_star(e, True), False))
         now = e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
+        done = now == mark
+        if done:
             break
         mark = now
+    if not done:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()

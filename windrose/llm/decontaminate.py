@@ -11,16 +11,17 @@ Scale: a Bloom filter of fixed size (built by a distributed aggregation) is broa
 item has from the shuffle (two filters with independent bits, as there are many windows); what passes is joined with the item windows by an ordinary join, so any number of items is handled.
 A hit carries positions only; the words of texts with hits are stored once.
 
-Defined cases: items without words match nothing.  Null and blank texts have no
-hits.  Repeated rows are the same row.  Rows without a doc_id are reported with a null doc_id.
+Texts and items are told apart by (id, text), never by an id alone: equal rows are one, items or texts that share an id are not.
+
+Defined cases: items without words match nothing.  Null and blank texts have no hits.  Rows and items without an id take part and
+are reported with a null id.  ``clean`` leaves out items of fewer than FLOOR words: a single common word is no contamination.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm.common import GOLD, bloom_filter, fresh, lists, may_contain, mix, pieces, salt, stored
@@ -28,6 +29,7 @@ from windrose.llm.tokens import words_of
 
 MATCH, MISS = 1.0, -1.5          # scores of an equal and of a replaced word on a diagonal
 WEIGHT = 5                       # equal words of a seed
+FLOOR = 5                        # words of an item for which a text may be dropped
 
 
 def starts(weight: int) -> list[str]:
@@ -90,9 +92,9 @@ def _items(min_words: int, share: float):
                     seeds[i].append(x), at[i].append(q)
             also = [second(np.array(x, np.int64).view(np.uint64)).view(np.int64).tolist() for x in seeds]
             yield pa.RecordBatch.from_arrays(
-                [b.column("item_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(weight, pa.int64()), lists(w.hash.view(np.int64), n, pa.int64()),
+                [b.column("item_id"), b.column("item_key"), pa.array(n, pa.int64()), pa.array(weight, pa.int64()), lists(w.hash.view(np.int64), n, pa.int64()),
                  pa.array(seeds, pa.list_(pa.int64())), pa.array(also, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
-                ["item_id", "n_item", "weight", "item", "seeds", "also", "at"])
+                ["item_id", "item_key", "n_item", "weight", "item", "seeds", "also", "at"])
     return run
 
 
@@ -107,11 +109,10 @@ def _hits(masks, bloom):
                 continue
             hit = hit[np.argsort(r[hit], kind="stable")]
             rows, count = np.unique(r[hit], return_counts=True)
-            ids = b.column("doc_id").cast(pa.int64()).take(pa.array(rows))
+            ids, uid = (b.column(c).take(pa.array(rows)) for c in ("doc_id", "uid"))
             words = [w.hash[w.first[i]:w.first[i + 1]] for i in rows]
-            uid = [xxhash.xxh3_64_intdigest(x.tobytes(), (i if i is not None else -1) & 0xFFFFFFFFFFFFFFFF) >> 1 for x, i in zip(words, ids.to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(uid, pa.int64()), lists(np.concatenate(words).view(np.int64), np.array([len(x) for x in words]), pa.int64()),
+                [ids, uid, lists(np.concatenate(words).view(np.int64), np.array([len(x) for x in words]), pa.int64()),
                  lists(s[hit].view(np.int64), count, pa.int64()), lists(p[hit], count, pa.int32())], ["doc_id", "uid", "words", "seeds", "at"])
     return run
 
@@ -128,45 +129,55 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
 def _verify(batches):
     for b in batches:
         out = []
-        for doc_id, item_id, words, item, diagonals in zip(*(b.column(c).to_pylist() if c in ("doc_id", "item_id", "diagonals") else b.column(c)
-                                                             for c in ("doc_id", "item_id", "words", "item", "diagonals"))):
+        for doc_id, uid, item_id, words, item, diagonals in zip(*(b.column(c) if c in ("words", "item") else b.column(c).to_pylist()
+                                                                  for c in ("doc_id", "uid", "item_id", "words", "item", "diagonals"))):
             d, t = np.asarray(words.values), np.asarray(item.values)
             best = (-1, 0, 0, 0)
             for x in sorted(diagonals):
                 lo, hi = max(0, -x), min(len(t), len(d) - x)
                 s, e, n = best_stretch(t[lo:hi] == d[lo + x:hi + x])
                 best = max(best, (n, -(lo + x + s), lo + s, e - s))
-            out.append((doc_id, item_id, -best[1], best[2], best[3], best[0], len(t)))
-        cols = list(zip(*out)) if out else [[]] * 7
+            out.append((doc_id, uid, item_id, -best[1], best[2], best[3], best[0], len(t)))
+        cols = list(zip(*out)) if out else [[]] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                         ["doc_id", "item_id", "word_start", "item_start", "n_aligned", "n_match", "n_item"])
+                                         ["doc_id", "uid", "item_id", "word_start", "item_start", "n_aligned", "n_match", "n_item"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, share: float = 0.75) -> DataFrame:
-    """One row per (text, item) that overlap in at least ``min(min_words, ceil(share * item words))`` equal words on one diagonal.
+def _uid(id_: str) -> Column:
+    """Tells texts apart by (id, text)."""
+    return F.xxhash64(F.col(id_).cast("long"), F.col("text").cast("string"))
 
-    Columns doc_id, item_id, word_start (in the text), item_start, n_aligned (words of the stretch), n_match, n_item.
-    """
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, share: float) -> DataFrame:
+    """The columns of ``overlaps`` and the text's uid."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = stored(items.mapInArrow(_items(min_words, share), "item_id long, n_item long, weight long, item array<long>, seeds array<long>, also array<long>, at array<int>"), "items")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid("doc_id").alias("uid"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _uid("item_id").alias("item_key"), F.col("text").cast("string").alias("text"))
+    items = stored(items.mapInArrow(_items(min_words, share), "item_id long, item_key long, n_item long, weight long, item array<long>, seeds array<long>, also array<long>, at array<int>"), "items")
     weights = [r[0] for r in items.where("n_item > 0").select("weight").distinct().collect()]   # at most WEIGHT
-    seeds = items.select("item_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("item_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at")).distinct()
+    seeds = items.select("item_key", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("item_key", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at")).distinct()
     held = spark.sparkContext.broadcast((bloom_filter(seeds, "seed"), bloom_filter(items.select(F.explode("also").alias("seed")), "seed")))
     every = [m for k in sorted(weights) or [WEIGHT] for m in starts(k)]
     hits = stored(docs.mapInArrow(_hits(every, held), "doc_id long, uid long, words array<long>, seeds array<long>, at array<int>"), "hits",
                   **{"parquet.enable.dictionary": "false"})
     at = hits.select("uid", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("uid", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at"))
-    pairs = at.join(seeds, "seed").groupBy("uid", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
-    found = pairs.join(hits.select("doc_id", "uid", "words").dropDuplicates(["uid"]), "uid").join(items.select("item_id", "item").dropDuplicates(["item_id"]), "item_id")
-    out = found.select("doc_id", "item_id", "words", "item", "diagonals").mapInArrow(
-        _verify, "doc_id long, item_id long, word_start long, item_start long, n_aligned long, n_match long, n_item long")
+    pairs = at.join(seeds, "seed").groupBy("uid", "item_key").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
+    found = pairs.join(hits.select("doc_id", "uid", "words").dropDuplicates(["uid"]), "uid").join(items.select("item_id", "item_key", "item").dropDuplicates(["item_key"]), "item_key")
+    out = found.select("doc_id", "uid", "item_id", "words", "item", "diagonals").mapInArrow(
+        _verify, "doc_id long, uid long, item_id long, word_start long, item_start long, n_aligned long, n_match long, n_item long")
     return out.where(F.col("n_match") >= F.least(F.lit(min_words), F.ceil(F.col("n_item") * share)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows that overlap with an item."""
-    own, = fresh(docs, "id")
-    bad = overlaps(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad[own], "left_anti")
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, share: float = 0.75) -> DataFrame:
+    """One row per (text, item) that overlap in at least ``min(min_words, ceil(share * item words))`` equal words on one diagonal.
+
+    Columns doc_id, item_id, word_start (in the text), item_start, n_aligned (words of the stretch), n_match, n_item.
+    """
+    return _overlaps(docs, benchmark, min_words, share).drop("uid")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, share: float = 0.75) -> DataFrame:
+    """``docs`` without the rows that overlap with an item of at least FLOOR words."""
+    own, key = fresh(docs, "id", "uid")
+    bad = _overlaps(docs, benchmark, min_words, share).where(F.col("n_item") >= FLOOR).select(F.col("uid").alias(own)).distinct()
+    return docs.withColumn(key, _uid("doc_id")).join(bad, F.col(key) == F.col(own), "left_anti").drop(key)

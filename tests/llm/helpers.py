@@ -46,9 +46,9 @@ def shingles(text, k=5) -> frozenset:
     return frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def components(rows, percent=75) -> dict:
+def components(rows, percent=75, k=5) -> dict:
     """doc_id -> (set size, smallest reachable doc_id), by an inverted index over all pairs that share anything."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, k)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def find(a):

@@ -231,7 +231,7 @@ def test_pipeline_takes_edge_rows(spark, sf):
 
 
 def test_every_operator_is_registered():
-    assert {k.split("_")[0] for k in RUNS} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(RUNS)
+    assert {k.split("_")[0] for k in RUNS} == {f"op{i}" for i in range(1, 14)} and set(SQL) <= set(RUNS)
     assert jaccard_join.RARE > 1
 
 

@@ -48,25 +48,25 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 BLOOM_BITS = 24
 
 
-def _slots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.uint64((1 << BLOOM_BITS) - 1)
+def _slots(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.uint64((1 << bits) - 1)
     return (x & keep).astype(np.int64), ((x >> np.uint64(32)) & keep).astype(np.int64)
 
 
-def bloom_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of 2**BLOOM_BITS bits (2 MB at any size of ``df``) of a column of well mixed longs, two bits a value."""
-    low = (1 << BLOOM_BITS) - 1
+def bloom_filter(df: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of 2**bits bits (at any size of ``df``; 2 MB by default) of a column of well mixed longs, two bits a value."""
+    low = (1 << bits) - 1
     slot = F.explode(F.array(F.col(column).bitwiseAND(F.lit(low)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(low))))
     cells = df.select(slot.alias("b")).groupBy(F.shiftright("b", 6).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toPandas()       # at most 2**(BLOOM_BITS - 6) rows
-    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    return bits.view(np.uint8)
+        F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toPandas()       # at most 2**(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def may_contain(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Positions of the uint64 values ``x`` that the filter may hold."""
-    one, two = _slots(x)
+    one, two = _slots(x, len(bits).bit_length() + 2)
     hit = np.flatnonzero((bits[one >> 3] >> (one & 7).astype(np.uint8)) & 1)
     two = two[hit]
     return hit[((bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)]

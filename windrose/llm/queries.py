@@ -7,7 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.llm import decontaminate, jaccard_join, lm_score, pii, quality, substring_dedup, token_counts, toxicity, unigram, warc
+from windrose.llm import (decontaminate, jaccard_join, lm_score, odd_sketch, phrases, pii, quality, ranked_search, substring_dedup, token_counts, toxicity, unigram,
+                          warc)
 from windrose.llm.common import documents, table
 from windrose.session import pin_utc, ship_code
 
@@ -103,3 +104,56 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @run("op2_quality_rules")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(documents(spark, sf), table(spark, sf, "labels"))
+
+
+SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+al AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, al GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT q.item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // l))))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id), al GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+@run("op13_ranked_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
+ODD_SKETCH_SQL = (JACCARD_SQL.replace("len(ws) >= 5", "len(ws) >= 3").replace("len(ws) - 3)", "len(ws) - 1)").replace("ws[i:i + 4]", "ws[i:i + 2]")
+                  .replace("75 *", "85 *").replace("r.component_id FROM s", "r.component_id, s.doc_id = r.component_id AS kept FROM s"))
+
+
+@run("op12_odd_sketch_dedup", ODD_SKETCH_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return odd_sketch.near_duplicates(documents(spark, sf))
+
+
+PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)),
+c AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, phrase, a, k, j, array_to_string(ws[1:j], ' ') AS first, array_to_string(ws[j + 1:], ' ') AS rest FROM c, range(1, 4) t(j) WHERE k > 1 AND j < k),
+scored AS (SELECT cut.*, x.a AS l, y.a AS r, CAST((2000000 * cut.a::HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+           FROM cut JOIN c x ON x.lang = cut.lang AND x.phrase = cut.first JOIN c y ON y.lang = cut.lang AND y.phrase = cut.rest),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, a AS longer, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM c, range(2, 4) t(m), range(1, 4) u(i) WHERE m < k AND i + m - 1 <= k),
+held AS (SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY ALL),
+r AS (SELECT worst.lang, worst.phrase, worst.a, worst.l, worst.r, worst.score FROM worst LEFT JOIN held h ON h.lang = worst.lang AND h.phrase = worst.phrase
+      WHERE h.longer IS NULL OR 100 * h.longer::HUGEINT < 80 * worst.a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@run("op11_phrase_collocations", PHRASE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf))

@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             made.append(np.multiply.accumulate(p))
         kept = made[0], made[1]
-        if size <= 1 << 22:                 # longer tables are for one long text and not kept
+        if size <= 1 << 20:                 # longer tables are for one long text and not kept
             _powers[0] = kept
     return kept
 

@@ -182,10 +182,10 @@ def segments(text: pa.Array, v: Vocabulary) -> Segments:
 
 def codes_of(point: np.ndarray, v: Vocabulary) -> np.ndarray:
     if not len(v.alphabet):
-        return np.zeros(len(point), np.int64)
-    i = np.searchsorted(v.alphabet, point)
+        return np.zeros(len(point), np.int32)
+    i = np.searchsorted(v.alphabet, point).astype(np.int32)
     i[i == len(v.alphabet)] = 0
-    return np.where(v.alphabet[i] == point, i + 1, 0)
+    return np.where(v.alphabet[i] == point, i + np.int32(1), np.int32(0))
 
 
 def viterbi(seg: Segments, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +196,10 @@ def viterbi(seg: Segments, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(words, np.int64)
     code = codes_of(point, v)
     size = np.diff(at)
-    word = np.repeat(np.arange(words), size)
-    stop = np.repeat(at[1:], size)
+    word = np.repeat(np.arange(words, dtype=np.int32), size)
+    stop = np.repeat(at[1:].astype(np.int32), size)
     # walks from every character
-    alive, state = np.arange(n), np.ones(n, np.int64)
+    alive, state = np.arange(n, dtype=np.int32), np.ones(n, np.int32)
     starts, lengths, ids = [], [], []
     single = np.zeros(n, bool)
     d = 0
@@ -212,20 +212,22 @@ def viterbi(seg: Segments, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         alive, state = alive[ok], t[ok]
         value = v.value[state]
         hit = np.flatnonzero(value >= 0)
-        starts.append(alive[hit]), lengths.append(np.full(len(hit), d + 1)), ids.append(value[hit].astype(np.int64))
+        starts.append(alive[hit]), lengths.append(np.full(len(hit), d + 1, np.int32)), ids.append(value[hit])
         if d == 0:
             single[alive[hit]] = True
         d += 1
-    lone = np.flatnonzero(~single)
-    starts.append(lone), lengths.append(np.ones(len(lone), np.int64)), ids.append(-point[lone].astype(np.int64) - 1)
+    lone = np.flatnonzero(~single).astype(np.int32)
+    starts.append(lone), lengths.append(np.ones(len(lone), np.int32)), ids.append(-point[lone].astype(np.int32) - 1)
     s, ln, p = np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
+    del starts, lengths, ids, alive, state, stop, single, lone
     gain = np.where(p >= 0, v.score[np.maximum(p, 0)], v.unknown)
     # settle offsets from left to right; node i of word w is i + w, a word has one node more than characters
-    offset = s - at[word[s]]
-    order = np.argsort(offset, kind="stable")
-    s, ln, p, gain, offset = s[order], ln[order], p[order], gain[order], offset[order]
-    from_, to = s + word[s], s + word[s] + ln
-    best, prev, via = np.full(n + words, -np.inf), np.zeros(n + words, np.int64), np.zeros(n + words, np.int64)
+    offset = s - at[word[s]].astype(np.int32)
+    order = np.argsort(offset, kind="stable").astype(np.int32)
+    p, gain, offset, from_ = p[order], gain[order], offset[order], (s + word[s])[order]
+    to = from_ + ln[order]
+    del s, ln, order, word, code
+    best, prev, via = np.full(n + words, -np.inf), np.zeros(n + words, np.int32), np.zeros(n + words, np.int32)
     best[at[:-1] + np.arange(words)] = 0.0
     edge = np.append(np.flatnonzero(np.concatenate(([True], offset[1:] != offset[:-1]))), len(offset))
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -293,7 +295,7 @@ def decode_batch(flat: np.ndarray, count: np.ndarray, v: Vocabulary) -> pa.Array
         return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])], pa.large_string())
 
 
-def encode(docs: DataFrame, v: Vocabulary, keys: tuple[str, ...] = ("doc_id",), block: int = 1 << 21) -> DataFrame:
+def encode(docs: DataFrame, v: Vocabulary, keys: tuple[str, ...] = ("doc_id",), block: int = 1 << 19) -> DataFrame:
     """``keys``, n_tokens, ids (array) and round_trip (decoding gives the text back) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(v)
     rows = docs.select(*keys, F.col("text").cast("string").alias("text"))

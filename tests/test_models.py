@@ -101,12 +101,12 @@ def toy(spark, n=3000, seed=0):
 
 def test_exceedance_protocol(spark, tmp_path):
     df = toy(spark)
-    m = X.fit_exceedance(df, ["x", "noise"], maxIter=8)
+    m = X.fit_exceedance(df, ["x", "noise"], rounds=12, rate=0.2, min_curvature=5.0, columns=1.0)
     te = m.score(df.where("split = 'test'")).cache()
     a = te.agg(F.avg(F.when(F.col("bust") == 1, F.col("raw_probability"))), F.avg(F.when(F.col("bust") == 0, F.col("raw_probability")))).first()
     assert a[0] > a[1] and te.where("bust_probability < 0 OR bust_probability > 1 OR bust_probability IS NULL").isEmpty()
-    m.save(str(tmp_path / "m"))
-    again = X.ExceedanceModel.load(spark, str(tmp_path / "m"), ["x", "noise"]).score(df.where("split = 'test'"))
+    m.save(str(tmp_path / "m"), spark)
+    again = X.ExceedanceModel.load(spark, str(tmp_path / "m")).score(df.where("split = 'test'"))
     d = te.join(again.select("case_id", F.col("bust_probability").alias("p2")), "case_id")
     assert d.agg(F.max(F.abs(F.col("bust_probability") - F.col("p2")))).first()[0] == 0
     assert m.importance(spark).first()["feature"] == "x"

@@ -1,40 +1,41 @@
-"""Exceedance learners on ``pyspark.ml`` under one protocol: fit on TRAIN, stop early and calibrate on VALIDATION."""
+"""Exceedance learners under one protocol: fit on TRAIN, stop early and calibrate on VALIDATION.
+
+Trees come from ``models.boosting``; the forest of ``QuantileForest`` from ``pyspark.ml``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose import constants as C
-from windrose.functions import scalar as S
-from windrose.functions.random import seeded_hash
+from windrose.models import boosting as BO
 from windrose.models import calibration as CA
 from windrose.operators.ordered import grouped_quantiles, ordered_totals
 from windrose.session import checkpoint_dir
 from windrose.sources.sinks import forbidden_columns
 
-# boosting goes on until a round no longer lowers the validation loss; 2,000 rounds are never reached in practice
-DEFAULTS = {"maxIter": 2000, "validationTol": 1e-5, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 50, "seed": 20260928}
-
 
-def _inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def allowed(features: Sequence[str]) -> tuple[str, ...]:
+    """``features``, refusing verification columns and support counts."""
     bad = forbidden_columns(features)
     if bad:
         raise ValueError(f"verification columns offered as model inputs: {bad}")
     bad = [f for f in features if f in C.NON_MODEL_FEATURES]
     if bad:
         raise ValueError(f"support counts are no model inputs: {bad}")
-    return df.withColumns({f"in_{f}": F.col(f).cast("double") for f in features})
+    return tuple(features)
+
+
+def _inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return df.withColumns({f"in_{f}": F.col(f).cast("double") for f in allowed(features)})
 
 
 def preparation(features: Sequence[str], out: str = "features") -> list:
@@ -54,16 +55,23 @@ def drop_inputs(df: DataFrame) -> DataFrame:
 
 @dataclass
 class ExceedanceModel:
-    """A fitted learner with its calibrator; everything needed to score a batch or a stream."""
+    """Fitted trees with their calibrator; everything needed to score a batch or a stream.
 
-    features: list[str]
-    pipeline: PipelineModel
+    A model with an ``offset`` adds log-odds to that column of the rows it scores."""
+
+    trees: BO.Trees
     calibrator: DataFrame | None = None
     params: dict = field(default_factory=dict)
 
+    @property
+    def features(self) -> list[str]:
+        return self.trees.features
+
+    def margin(self, df: DataFrame, out: str = "margin") -> DataFrame:
+        return self.trees.predict(df, out)
+
     def raw(self, df: DataFrame, out: str = "raw_probability") -> DataFrame:
-        p = self.pipeline.transform(with_inputs(df, self.features)).withColumn(out, vector_to_array("probability")[1])
-        return drop_inputs(p)
+        return self.trees.predict(df, out).withColumn(out, 1 / (1 + F.exp(-F.col(out))))
 
     def score(self, df: DataFrame) -> DataFrame:
         """raw_probability and calibrated bust_probability, kept apart."""
@@ -72,71 +80,64 @@ class ExceedanceModel:
         return CA.calibrate(self.raw(df), self.calibrator, "raw_probability", "bust_probability")
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        names = self.features + [f"{f} missing" for f in self.features]
-        imp = self.pipeline.stages[-1].featureImportances
-        rows = [(n, float(imp[i])) for i, n in enumerate(names) if imp[i] > 0]
-        return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+        return spark.createDataFrame(list(self.trees.importance().items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+    def loss_curve(self, spark: SparkSession) -> DataFrame:
+        """(trees, loss, kept): mean loss on the stopping rows by number of trees, and whether the model keeps that many."""
+        return spark.createDataFrame([(i, float(x), i <= self.trees.rounds) for i, x in enumerate(self.trees.losses)], "trees int, loss double, kept boolean")
 
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.trees.save(spark, f"{path}/trees")
         if self.calibrator is not None:
             self.calibrator.write.mode("overwrite").parquet(f"{path}/calibrator")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, features: Sequence[str]) -> "ExceedanceModel":
-        return cls(list(features), PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/calibrator"))
+    def load(cls, spark: SparkSession, path: str) -> "ExceedanceModel":
+        return cls(BO.Trees.load(spark, f"{path}/trees"), spark.read.parquet(f"{path}/calibrator"))
 
 
-def fit_exceedance(df: DataFrame, features: Sequence[str], label: str = "bust", calibrate: bool = True, **params) -> ExceedanceModel:
-    """Gradient-boosted trees: TRAIN rows are fitted, VALIDATION rows stop the boosting and then fit the calibrator."""
-    checkpoint_dir(df.sparkSession)
-    p = {**DEFAULTS, **params}
-    data = with_inputs(df.where(F.col("split").isin("train", "validation") & F.col(label).isNotNull()), features)
-    data = data.withColumns({"_val": F.col("split") == "validation", "_y": F.col(label).cast("double")})
-    gbt = GBTClassifier(labelCol="_y", featuresCol="features", validationIndicatorCol="_val", **p)
-    model = ExceedanceModel(list(features), Pipeline(stages=[*preparation(features), gbt]).fit(data), params=p)
-    if calibrate:
-        raw = model.raw(df.where("split = 'validation'").where(F.col(label).isNotNull()))
-        model.calibrator = CA.fit_isotonic(raw, "raw_probability", label)
+def calibrated(df: DataFrame, trees: BO.Trees, label: str, params: dict) -> ExceedanceModel:
+    """The model with an isotonic fit on its VALIDATION scores."""
+    model = ExceedanceModel(trees, params=params)
+    raw = model.raw(df.where("split = 'validation'").where(F.col(label).isNotNull()))
+    model.calibrator = CA.fit_isotonic(raw, "raw_probability", label)
     return model
 
 
-def crossfit_margin(df: DataFrame, model: ExceedanceModel, period: Column, label: str = "bust") -> DataFrame:
-    """Baseline log-odds per row: TRAIN rows get the margin of a fit that did not see their period (leave one out), all other
-    rows the full model's.  There are as many fits as periods (years: a handful)."""
-    d = df.withColumn("_period", period)
-    train = d.where("split = 'train'")
-    periods = [r["_period"] for r in train.select("_period").distinct().orderBy("_period").collect()]      # a handful of values
-    def without(p):
-        fit_rows = train.where(F.col("_period") != p).unionByName(d.where("split = 'validation'"))
-        return fit_exceedance(fit_rows, model.features, label, calibrate=False, **model.params)
-    with ThreadPoolExecutor(4) as pool:          # independent fits share the cluster
-        parts = [m.raw(train.where(F.col("_period") == p)) for p, m in zip(periods, pool.map(without, periods))]
-    parts.append(model.raw(d.where("split <> 'train'")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.withColumn("margin", S.logit("raw_probability")).drop("_period", "raw_probability")
+def fit_exceedance(df: DataFrame, features: Sequence[str], label: str = "bust", calibrate: bool = True, offset: str | None = None, **params) -> ExceedanceModel:
+    """Boosted trees: TRAIN rows are fitted, VALIDATION rows stop the boosting and then fit the calibrator."""
+    return fit_several(df, {"one": features}, label, calibrate, offset, **params)["one"]
 
 
-def _sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+def fit_several(df: DataFrame, groups: dict, label: str = "bust", calibrate: bool = True, offset: str | None = None,
+                seeds: Sequence[int] | None = None, **params) -> dict:
+    """One model for each entry of ``groups`` (name -> features) and each seed, all grown in step; keys are names, or (name, seed)."""
+    p = dict(params)
+    base = [p.pop("seed", BO.PARAMS["seed"])] if seeds is None else list(seeds)
+    todo = [(name, seed) for name in groups for seed in base]
+    trees = BO.fit(df, [BO.Fit(allowed(groups[name]), label, offset=offset, seed=seed) for name, seed in todo], **p)
+    made = [calibrated(df, t, label, p) if calibrate else ExceedanceModel(t, params=p) for t in trees]
+    return {name if seeds is None else (name, seed): m for (name, seed), m in zip(todo, made)}
 
 
-def fit_residual(with_margin: DataFrame, features: Sequence[str], label: str = "bust", **params) -> tuple[PipelineModel, list[str]]:
-    """Trees on the gradient residual y - sigmoid(margin); MLlib has no base margin, so the margin is also an input."""
-    checkpoint_dir(with_margin.sparkSession)
-    names = [*features, "margin"]
-    p = {**DEFAULTS, **params}
-    d = with_margin.where(F.col("split").isin("train", "validation")).withColumns(
-        {"_val": F.col("split") == "validation", "_y": F.col(label) - _sigmoid(F.col("margin"))})
-    gbt = GBTRegressor(labelCol="_y", featuresCol="features", validationIndicatorCol="_val", **p)
-    return Pipeline(stages=[*preparation(names), gbt]).fit(with_inputs(d, names)), names
+def crossfit_margin(df: DataFrame, model: ExceedanceModel, period: Column, label: str = "bust") -> DataFrame:
+    """Baseline log-odds per row: TRAIN rows get the margin of a fit that did not see their period (leave one out), all other
+    rows the full model's.  The fits, one a period (years: a handful), are grown in step."""
+    d = df.withColumn("_period", period.cast("string"))
+    train = d.where("split = 'train'")
+    periods = [r["_period"] for r in train.select("_period").distinct().orderBy("_period").collect()]      # a handful of values
+    # as many trees as the full model has: a fold has no stopping rows of its own
+    p = {**model.params, "rounds": model.trees.rounds}
+    folds = BO.fit(d, [BO.Fit(tuple(model.features), label, f"split = 'train' AND _period <> '{x}'", "false") for x in periods], **p)
+    out = model.margin(d.where("split <> 'train'"))
+    for x, t in zip(periods, folds):
+        out = out.unionByName(t.predict(train.where(F.col("_period") == x), "margin"))
+    return out.drop("_period")
 
 
-def score_residual(with_margin: DataFrame, model: PipelineModel, names: Sequence[str], out: str = "p_residual") -> DataFrame:
-    p = model.transform(with_inputs(with_margin, names)).withColumn(out, S.clip(_sigmoid(F.col("margin")) + F.col("prediction"), 0.0, 1.0))
-    return drop_inputs(p)
+def fit_residual(with_margin: DataFrame, features: Sequence[str], label: str = "bust", calibrate: bool = True, **params) -> ExceedanceModel:
+    """Trees that start from ``margin`` and add log-odds to it; VALIDATION decides how many, possibly none."""
+    return fit_exceedance(with_margin, features, label, calibrate, offset="margin", **params)
 
 
 # --- quantile family -----------------------------------------------------------------------------------------------------
@@ -172,6 +173,36 @@ def fit_quantile_forest(df: DataFrame, features: Sequence[str], target: str = "n
     return m
 
 
+@dataclass
+class QuantileBoost:
+    """One boosted ensemble per quantile level, grown in step; crossing quantiles are measured before they are sorted."""
+
+    trees: list[BO.Trees]
+
+    @property
+    def features(self) -> list[str]:
+        return self.trees[0].features
+
+    def raw_quantiles(self, df: DataFrame) -> DataFrame:
+        """``df`` with q10 .. q95 as the ensembles give them."""
+        for name, t in zip(C.QUANTILE_COLUMNS, self.trees):
+            df = t.predict(df, name)
+        return df
+
+    def quantiles(self, df: DataFrame, key: str = "case_id") -> DataFrame:
+        """key, q (ordered array over the quantile levels), crossed (whether two raw ones were out of order)."""
+        raw = F.array(*C.QUANTILE_COLUMNS)
+        d = self.raw_quantiles(df.select(key, *self.features))
+        return d.select(key, F.array_sort(raw).alias("q"), (raw != F.array_sort(raw)).alias("crossed"))
+
+
+def fit_quantile_boost(df: DataFrame, features: Sequence[str], target: str = "norm_error", seed: int = BO.PARAMS["seed"], **params) -> QuantileBoost:
+    """Six ensembles on TRAIN rows, stopped by the pinball loss on VALIDATION rows."""
+    p = {"rate": 0.1, "depth": 4, "min_cases": 50, "min_curvature": 0.0, "shrink": 1.0, "columns": 1.0, **params}
+    fits = [BO.Fit(allowed(features), target, level=level, seed=seed) for level in C.QUANTILE_LEVELS]
+    return QuantileBoost(BO.fit(df, fits, **p))
+
+
 def permutation_donors(df: DataFrame, permutations: int, seed: int, key: str = "case_id") -> DataFrame:
     """(perm, key, donor): for each permutation 0..n-1 the row whose value every row receives, a bijection over all rows.
 
@@ -191,20 +222,6 @@ def permute_column(df: DataFrame, column: str, seed: int, key: str = "case_id")
     return df.join(donors, key).withColumn(column, F.col("_v")).drop("_v")
 
 
-def group_attribution(df: DataFrame, model: ExceedanceModel, groups: Mapping[str, Sequence[str]], key: str = "case_id") -> DataFrame:
-    """Per row and group: log-odds lost when the group's inputs are replaced by their TRAIN medians.
-
-    One batch scoring per group; no per-row library is involved."""
-    med = df.where("split = 'train'").agg(*[F.percentile_approx(F.col(f).cast("double"), 0.5, 10000).alias(f) for f in model.features])
-    packed = med.select(F.struct(*model.features).alias("m")).scalar()
-    base = model.raw(df, "_p").select(key, S.logit("_p").alias("_full"))
-    parts = []
-    for g, fs in groups.items():
-        used = [f for f in fs if f in model.features]
-        if used:
-            swapped = df.withColumn("_m", packed).withColumns({f: F.col("_m")[f] for f in used}).drop("_m")
-            parts.append(model.raw(swapped, "_p").select(key, F.lit(g).alias("group_name"), S.logit("_p").alias("_without")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(base, key).select(key, "group_name", (F.col("_full") - F.col("_without")).alias("contribution_logodds"))
+def group_attribution(df: DataFrame, model: ExceedanceModel, groups: dict[str, Sequence[str]], key: str = "case_id") -> DataFrame:
+    """Per row and group the log-odds that the group's inputs add (Shapley values of the trees): with mean and offset they sum to the margin."""
+    return BO.group_sums(BO.explain(model.trees, df, [key]), groups, [key])

@@ -105,9 +105,14 @@ fits AS (SELECT f.fit_day, s.cell, s.lead_day, count(*) AS n_cases, max(s.valid_
     ON s.valid_time <= f.fit_day AND s.valid_time > f.fit_day - INTERVAL 730 DAY GROUP BY ALL HAVING count(*) >= 20)"""
 
 
-@query("bma_rolling", ctes=ANOM + "," + _FITS, sql="""
-  SELECT CAST(fit_day AS DATE) AS fit_day, cell, lead_day, n_cases, last_verified, true AS sigma_is_positive FROM fits""")
+@query("bma_rolling")
 def bma_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    return rolling_params(spark, sf).select("fit_day", "cell", "lead_day", "n_cases", "last_verified", "a", "b", "sigma")
+
+
+@query("bma_rolling_check", ctes=ANOM + "," + _FITS, sql="""
+  SELECT CAST(fit_day AS DATE) AS fit_day, cell, lead_day, n_cases, last_verified, true AS sigma_is_positive FROM fits""")
+def bma_rolling_check(spark: SparkSession, sf: str) -> DataFrame:
     return rolling_params(spark, sf).select("fit_day", "cell", "lead_day", "n_cases", "last_verified", (F.col("sigma") > 0).alias("sigma_is_positive"))
 
 
@@ -133,8 +138,13 @@ def checked_weights(v: DataFrame, group_rows: int) -> DataFrame:
                     ((F.col("w_min") >= 0) & (F.col("w_max") <= 1) & (F.col("w_min") * F.col("k") <= 1 + 1e-9) & (F.col("sigma") > 0)).alias("in_range"))
 
 
-@query("bma_free_weights", ctes=ANOM + "," + _PAIRS, sql=_WEIGHTS)
+@query("bma_free_weights")
 def bma_free_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return M.free_weights(verified(spark, sf), ["cell", "lead_day"], None, seed=0)
+
+
+@query("bma_free_weights_check", ctes=ANOM + "," + _PAIRS, sql=_WEIGHTS)
+def bma_free_weights_check(spark: SparkSession, sf: str) -> DataFrame:
     return checked_weights(verified(spark, sf), M.GROUP_ROWS)
 
 
@@ -167,9 +177,16 @@ def bma_moments(spark: SparkSession, sf: str) -> DataFrame:
     return M.moments(mixture(spark, sf), "mean_anom", "scale").select("init_time", "lead_day", "cell", "bma_mean", "bma_std")
 
 
-@query("bma_quantiles", ctes=MIX, sql="""
-  SELECT DISTINCT init_time, lead_day, cell, CAST(i AS INTEGER) AS i, true AS cdf_is_level FROM mix, range(6) t(i)""")
+@query("bma_quantiles")
 def bma_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    m = mixture(spark, sf).select("init_time", "lead_day", "cell", "mu", "sigma", "mean_anom", "scale")
+    q = M.quantiles(m, "mean_anom", "scale")
+    return q.select("init_time", "lead_day", "cell", *(F.col("bma_q")[i].alias(c) for i, c in enumerate(C.QUANTILE_COLUMNS)))
+
+
+@query("bma_quantiles_check", ctes=MIX, sql="""
+  SELECT DISTINCT init_time, lead_day, cell, CAST(i AS INTEGER) AS i, true AS cdf_is_level FROM mix, range(6) t(i)""")
+def bma_quantiles_check(spark: SparkSession, sf: str) -> DataFrame:
     """The mixture's distribution function at every returned quantile is the quantile's level."""
     m = mixture(spark, sf).select("init_time", "lead_day", "cell", "mu", "sigma", "mean_anom", "scale")
     q = M.quantiles(m, "mean_anom", "scale").select("*", F.posexplode("bma_q").alias("i", "q"))
@@ -178,10 +195,17 @@ def bma_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("init_time", "lead_day", "cell", "i", (F.abs(1 - F.col("p") - level) < 1e-6).alias("cdf_is_level"))
 
 
-@query("bma_predict", ctes=ANOM + "," + _FITS, sql="""
+@query("bma_predict")
+def bma_predict(spark: SparkSession, sf: str) -> DataFrame:
+    rows = anomalies(spark, sf).withColumns({"scale": F.lit(8.0), "c": F.lit(1.2)})
+    p = M.predict(rows, rolling_params(spark, sf), ["cell", "lead_day"], "c", "mean_anom", "scale")
+    return p.select("init_time", "lead_day", "cell", "n_cases", "bma_exceedance", "bma_mean", "bma_std", *(F.col("bma_q")[i].alias(c) for i, c in enumerate(C.QUANTILE_COLUMNS)))
+
+
+@query("bma_predict_check", ctes=ANOM + "," + _FITS, sql="""
   SELECT a.init_time, a.lead_day, a.cell, f.n_cases, CASE WHEN f.n_cases IS NOT NULL THEN true END AS in_range
   FROM (SELECT DISTINCT init_time, lead_day, cell FROM anom) a LEFT JOIN fits f ON f.fit_day = a.init_time AND f.cell = a.cell AND f.lead_day = a.lead_day""")
-def bma_predict(spark: SparkSession, sf: str) -> DataFrame:
+def bma_predict_check(spark: SparkSession, sf: str) -> DataFrame:
     rows = anomalies(spark, sf).withColumns({"scale": F.lit(8.0), "c": F.lit(1.2)})
     p = M.predict(rows, rolling_params(spark, sf), ["cell", "lead_day"], "c", "mean_anom", "scale")
     ok = F.col("bma_exceedance").between(0, 1) & (F.col("bma_mean") >= 0) & (F.col("bma_std") >= 0) & (F.col("bma_q") == F.array_sort("bma_q"))

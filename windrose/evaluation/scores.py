@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from windrose import constants as C
 from windrose.evaluation import ranking as R
 from windrose.operators.ordered import average_ranks, grouped_quantiles
+from windrose.session import stored_once
 
 
 def _sq(c: Column) -> Column:
@@ -193,12 +194,12 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 def scoreboard(frame: DataFrame, models: Mapping[str, str], far: float = C.ALERT_FAR, fit: str = "validation", test: str = "test") -> DataFrame:
     """One row per model: ranking, probability, calibration, operating point chosen on ``fit`` and applied to ``test``."""
     keep = ["split", "init_time", "region_id", "lead_day", "bust", "hidden_bust", "low_spread", "norm_error", "q_primary"]
-    rows = models_to_rows(frame, models, keep)
+    rows = stored_once(models_to_rows(frame, models, keep).where(F.col("split").isin(fit, test)), "scoreboard")
     by = ["model"]
-    thr = R.threshold_at_far(rows.where(F.col("split") == fit), "bust", "p", far, by)
+    thr = stored_once(R.threshold_at_far(rows.where(F.col("split") == fit), "bust", "p", far, by), "thresholds")
     te = rows.where(F.col("split") == test).join(F.broadcast(thr), by)      # one row per model
     a = R.alerts(F.col("p"), F.col("threshold"), F.col("exclusive"))
-    te = te.withColumn("alert", a)
+    te = stored_once(te.withColumn("alert", a), "scoreboard-test")
     al = F.col("alert")
     out = R.ranking_metrics(te, "bust", "p", by)
     for part in (agg(te, by, brier("bust", "p").alias("brier"), F.count(F.lit(1)).alias("n_rows")), ece(te, "bust", "p", by),

@@ -9,8 +9,9 @@ rows would not fit.  ``ordered_totals`` instead
 3. sums each (key, slot) and turns that into offsets,
 4. accumulates inside each (key, slot) and adds the offset.
 
-All of it is one lazy plan: counts and cut points are joined by key and never reach the driver.  They only steer the
-work distribution: the result is exact for any choice.  Keys with few values have slot 0 alone.
+The collapsed rows are written to shared storage, so the input is evaluated once; counts, cut points and sums read what they need
+of that table.  Counts and cut points are joined by key and never reach the driver.  They only steer the work distribution: the
+result is exact for any choice.  Keys with few values have slot 0 alone.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windrose.session import stored_once
+
 SLOT_ROWS = 100_000
 _LEVELS = 10                     # a sketch gives 2**_LEVELS - 1 cut points
 
@@ -58,7 +61,7 @@ def ordered_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Map
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, value, *[c.alias(n) for n, c in measures.items()])
     names = list(measures)
-    distinct = rows.groupBy(*keys, value).agg(*[F.sum(n).alias(n) for n in names])
+    distinct = stored_once(rows.groupBy(*keys, value).agg(*[F.sum(n).alias(n) for n in names]), "ordered")
     cut = with_slots(distinct, slot_shapes(distinct, keys, value, slot_rows), keys, value)
     anchor = list(keys) or [F.lit(0)]
     slots = cut.groupBy(*keys, "_slot").agg(*[F.sum(n).alias(n) for n in names])

@@ -63,9 +63,9 @@ def test_trie_bursts_and_spills_sorted_runs(monkeypatch):
     trie, want, runs = PH.HatTrie(2000), Counter(), []
     for _ in range(40):
         key = np.unique(rng.integers(0, 6000, 400)).astype(np.uint64)
-        path = (key % np.uint64(7)) << np.uint64(56) | (key % np.uint64(2) << np.uint64(40)) | key << np.uint64(20)
+        path = ((key % np.uint64(7)) << np.uint64(56)) + (key % np.uint64(2) << np.uint64(40)) + (key << np.uint64(20))
         count = rng.integers(1, 9, len(key))
-        trie.add(path, key, count)
+        trie.add(path, key // np.uint64(3), key, count)
         want.update(dict(zip(key.tolist(), count.tolist())))
         if trie.full():
             runs += list(trie.spill(1000))
@@ -74,13 +74,29 @@ def test_trie_bursts_and_spills_sorted_runs(monkeypatch):
     runs += list(trie.spill(0))
     got = Counter()
     for b in runs:
-        path, key, count = (np.asarray(b.column(c)) for c in ("path", "key", "count"))
-        assert (np.diff(path.view(np.uint64).astype(float)) >= 0).all()
+        prefix, key, count = (np.asarray(b.column(c)) for c in ("prefix", "last", "count"))
+        path = (key % 7) * 2.0**56 + (key % 2) * 2.0**40 + key * 2.0**20
+        assert (np.diff(path) > 0).all() and (prefix == key // 3).all()
         for k, c in zip(key.tolist(), count.tolist()):
             got[k] += c
     assert got == want and len(runs) > 8 and trie.root.size == 0
 
 
+def test_phrases_are_fetched_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    once, known = PH.Once(), set()
+    for _ in range(60):
+        key = np.unique(rng.integers(0, 20_000, 900)).astype(np.uint64)
+        assert once.first(key).tolist() == [k not in known for k in key.tolist()]
+        known.update(key.tolist())
+    monkeypatch.setattr(PH, "SEEN", 1000)
+    once, sent = PH.Once(), set()
+    for _ in range(60):
+        key = np.unique(rng.integers(0, 20_000, 900)).astype(np.uint64)
+        sent.update(key[once.first(key)].tolist())
+    assert len(once.large) <= 1000 and len(sent) > 15_000          # what is forgotten is sent again, nothing is lost
+
+
 def test_exact_beyond_64_bits(spark):
     row = spark.range(1).selectExpr("cast(9000000000000000000 as bigint) a", "cast(9000000000000000001 as bigint) l", "cast(9100000000000000000 as bigint) r")
     wide = row.selectExpr("(cast(a as decimal(38,0)) * 2000000) div (cast(l as decimal(38,0)) + cast(r as decimal(38,0))) s").first().s

@@ -98,8 +98,8 @@ def gbt_exceedance_check(spark: SparkSession, sf: str) -> DataFrame:
     rate = p.agg(F.avg("hit").alias("rate"), SC.brier("hit", "bust_probability").alias("brier"), F.min(within("raw_probability") & within("bust_probability")).alias("ok"))
     rank = R.auprc(p, "hit", "raw_probability").select("auprc")
     losses = m.trees.losses
-    return rate.crossJoin(F.broadcast(rank)).crossJoin(F.broadcast(falls)).select(       # one row each
-        F.col("ok").alias("in_range"), (F.col("falls") == 0).alias("calibrated_is_monotone"), (F.col("auprc") > 1.5 * F.col("rate")).alias("auprc_beats_base_rate"),
+    return rate.select(
+        F.col("ok").alias("in_range"), (falls.scalar() == 0).alias("calibrated_is_monotone"), (rank.scalar() > 1.5 * F.col("rate")).alias("auprc_beats_base_rate"),
         (F.col("brier") < 0.95 * F.col("rate") * (1 - F.col("rate"))).alias("brier_beats_base_rate"),
         F.lit(m.trees.rounds > 0 and min(losses) == losses[m.trees.rounds]).alias("keeps_best_round"))
 
@@ -162,8 +162,8 @@ def residual_learner_check(spark: SparkSession, sf: str) -> DataFrame:
     full, base = (R.auprc(te, "hit", c).select(F.col("auprc").alias(c)) for c in ("p_full", "p_base"))
     start = te.agg(F.max(F.abs(F.col("start") - F.col("margin"))).alias("gap"))
     losses = model.trees.losses
-    return start.crossJoin(F.broadcast(full)).crossJoin(F.broadcast(base)).select(       # one row each
-        (F.col("p_full") > 1.1 * F.col("p_base")).alias("gains_over_margin"), (F.col("gap") == 0).alias("starts_at_margin"), F.lit(min(losses) < losses[0]).alias("loss_falls"))
+    return start.select(
+        (full.scalar() > 1.1 * base.scalar()).alias("gains_over_margin"), (F.col("gap") == 0).alias("starts_at_margin"), F.lit(min(losses) < losses[0]).alias("loss_falls"))
 
 
 def forest(spark: SparkSession, sf: str) -> X.QuantileForest:

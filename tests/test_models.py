@@ -169,3 +169,21 @@ def test_free_weights_query_stops_by_tolerance(monkeypatch):
     with pytest.raises(StopIteration):
         mixture.checked_weights(None, mixture.M.GROUP_ROWS)
     assert seen == [(500, 1e-7)]
+
+
+def test_mixture_model_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(i, T0 + dt.timedelta(days=4 * (i // 2)), "a", [float(x) for x in np.random.default_rng(i).normal(0, 30, 9)], 50.0, 0.6, int(i % 3 == 0))
+                                  for i in range(6)], "id int, init_time timestamp, g string, members array<double>, scale double, c double, bust int")
+    rows = rows.withColumn("mean_anom", F.aggregate("members", F.lit(0.0), lambda a, x: a + x) / 9)
+    params = spark.createDataFrame([(T0.date(), "a", 1.0, 0.9, 15.0, 60), ((T0 + dt.timedelta(days=4)).date(), "a", 0.5, 1.1, 12.0, 60)],
+                                   "fit_day date, g string, a double, b double, sigma double, n_cases int")
+    model = B.BmaModel(params, ["g"], {"window_days": 60})
+    bare = model.predict(rows, "c", "mean_anom", "scale").orderBy("id").collect()
+    assert [r.bma_exceedance is None for r in bare] == [False] * 4 + [True] * 2 and all(r.bma_probability is None for r in bare)
+    fitted = model.calibrate(rows, "bust", "c", "mean_anom", "scale")
+    fitted.save(str(tmp_path / "m"))
+    again = B.BmaModel.load(spark, str(tmp_path / "m"))
+    a, b = (m.predict(rows, "c", "mean_anom", "scale").orderBy("id").collect() for m in (fitted, again))
+    assert a == b and again.settings == {"window_days": 60} and again.keys == ["g"]
+    seen = sorted((r.bma_exceedance, r.bma_probability) for r in a[:4])
+    assert all(x[1] <= y[1] for x, y in zip(seen, seen[1:])) and all(0 <= p <= 1 for _, p in seen) and all(r.bma_probability is None for r in a[4:])

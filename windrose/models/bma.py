@@ -8,16 +8,19 @@ parameter table per iteration.  Both give the same result; ``bma_fit_spread`` an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrose import constants as C
 from windrose.functions import probability as P
+from windrose.models import calibration as CA
 from windrose.functions.random import seeded_hash
 from windrose.session import cut_lineage
 
@@ -405,3 +408,39 @@ def predict(rows: DataFrame, params: DataFrame, keys: Sequence[str], threshold:
     p = params.select("fit_day", *keys, "a", "b", "sigma", "n_cases")
     j = rows.withColumn("fit_day", F.to_date("init_time")).join(p, ["fit_day", *keys], "left")
     return predictive(with_mixture(j), threshold, mean, scale)
+
+
+@dataclass
+class BmaModel:
+    """Fitted parameters, one row a (fit_day, keys), with the settings of the fit and, once there is one, a calibrator."""
+
+    params: DataFrame
+    keys: Sequence[str]
+    settings: dict = field(default_factory=dict)
+    calibrator: DataFrame | None = None
+
+    def calibrate(self, rows: DataFrame, label: str, threshold: str, mean: str, scale: str) -> "BmaModel":
+        """The model with an isotonic fit of its exceedance on ``rows`` (VALIDATION rows that carry ``label``)."""
+        scored = predict(rows, self.params, self.keys, threshold, mean, scale)
+        return replace(self, calibrator=CA.fit_isotonic(scored, "bma_exceedance", label))
+
+    def predict(self, rows: DataFrame, threshold: str, mean: str, scale: str) -> DataFrame:
+        """The columns of ``predict``, and bma_probability: the exceedance calibrated.  NULL without parameters or calibrator."""
+        out = predict(rows, self.params, self.keys, threshold, mean, scale)
+        if self.calibrator is None:
+            return out.withColumn("bma_probability", F.lit(None).cast("double"))
+        return CA.calibrate(out, self.calibrator, "bma_exceedance", "bma_probability")
+
+    def save(self, path: str) -> None:
+        """Parameters, settings and calibrator as tables under ``path``."""
+        self.params.write.mode("overwrite").parquet(f"{path}/params")
+        if self.calibrator is not None:
+            self.calibrator.write.mode("overwrite").parquet(f"{path}/calibrator")
+        about = [(json.dumps(self.settings), list(self.keys), self.calibrator is not None)]
+        self.params.sparkSession.createDataFrame(about, "settings string, keys array<string>, calibrated boolean").write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "BmaModel":
+        about = spark.read.parquet(f"{path}/about").first()
+        cal = spark.read.parquet(f"{path}/calibrator") if about.calibrated else None
+        return cls(spark.read.parquet(f"{path}/params"), list(about["keys"]), json.loads(about.settings), cal)

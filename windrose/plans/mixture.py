@@ -15,6 +15,7 @@ from windrose.operators import quality as Q
 from windrose.plans import bridge as B
 from windrose.plans.evaluation import AUPRC, cum
 from windrose.plans.registry import query
+from windrose.session import scratch_path
 
 KEYS = ["init_time", "lead_day", "valid_time", "cell"]
 
@@ -202,6 +203,27 @@ def bma_predict(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("init_time", "lead_day", "cell", "n_cases", "bma_exceedance", "bma_mean", "bma_std", *(F.col("bma_q")[i].alias(c) for i, c in enumerate(C.QUANTILE_COLUMNS)))
 
 
+def calibrated_model(spark: SparkSession, sf: str) -> M.BmaModel:
+    """The rolling fits, calibrated on the verified forecasts of the years before 1998."""
+    model = M.BmaModel(rolling_params(spark, sf), ["cell", "lead_day"], {"window_days": WINDOW, "min_cases": 20})
+    return model.calibrate(outcomes(spark, sf).where("init_time < '1998-01-01'"), "bust", "c", "mean_anom", "scale")
+
+
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Verified forecasts with whether the mean missed by more than the threshold."""
+    v = verified(spark, sf).withColumns({"scale": F.lit(8.0), "c": F.lit(1.2)})
+    return v.withColumn("bust", (F.abs(F.col("y") - F.col("mean_anom")) > F.col("c") * F.col("scale")).cast("int"))
+
+
+@query("bma_calibrated")
+def bma_calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Save, load and score: raw and calibrated exceedance kept apart."""
+    path = scratch_path(spark, "bma")
+    calibrated_model(spark, sf).save(path)
+    p = M.BmaModel.load(spark, path).predict(outcomes(spark, sf).where("init_time >= '1998-01-01'"), "c", "mean_anom", "scale")
+    return p.select("init_time", "lead_day", "cell", "bust", "bma_exceedance", "bma_probability")
+
+
 @query("bma_predict_check", ctes=ANOM + "," + _FITS, sql="""
   SELECT a.init_time, a.lead_day, a.cell, f.n_cases, CASE WHEN f.n_cases IS NOT NULL THEN true END AS in_range
   FROM (SELECT DISTINCT init_time, lead_day, cell FROM anom) a LEFT JOIN fits f ON f.fit_day = a.init_time AND f.cell = a.cell AND f.lead_day = a.lead_day""")

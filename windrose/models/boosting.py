@@ -365,10 +365,11 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
         starts.append(float("nan") if x.offset else 0.0 if s is None else float(s))
     path = scratch_path(spark, "boosting")
     # a task a level for every TASK_CASES cases: fewer would leave most of a small job to the start of tasks
-    rows.coalesce(-(-shape["n"] // TASK_CASES) or 1).mapInArrow(_pack(len(names), cuts, len(fits), starts), BLOCK).write.parquet(f"{path}/0")
+    tasks = -(-shape["n"] // TASK_CASES) or 1
+    rows.coalesce(tasks).mapInArrow(_pack(len(names), cuts, len(fits), starts), BLOCK).write.parquet(f"{path}/0")
 
     def opened(i: int) -> DataFrame:
-        return spark.read.schema(BLOCK).parquet(f"{path}/{i}").persist(StorageLevel.MEMORY_AND_DISK)
+        return spark.read.schema(BLOCK).parquet(f"{path}/{i}").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
 
     def summed(fn, *args) -> dict[int, np.ndarray]:
         sums = blocks.mapInArrow(fn(*args), SUMS).groupBy("fit", "cell").agg(*(F.sum(c).alias(c) for c in "ghc")).toPandas()

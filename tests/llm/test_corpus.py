@@ -171,7 +171,8 @@ def brute_scores(rows):
 
 def same(got, want):
     key = lambda r: tuple(str(x) for x in r[:5])      # noqa: E731
-    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    order = lambda r: (key(r), round(r[5], 6), r[6])      # noqa: E731
+    got, want = sorted(map(tuple, got), key=order), sorted(want, key=order)
     assert [key(r) for r in got] == [key(r) for r in want]
     for a, b in zip(got, want):
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-6), (a, b)
@@ -182,12 +183,24 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "FRAGMENT_CHARS", 9000)
     rng = random.Random(6)
     rows = [(i, " ".join(prose(rng, rng.randrange(0, 60), 40))) for i in range(400)] + [(1000, None), (1001, ""), (1002, " \n"), (None, "a b")]
+    rows += [(None, " ".join(prose(rng, rng.randrange(0, 60), 40))) for _ in range(150)] + [(7, " ".join(prose(rng, 30, 40))) for _ in range(60)]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
     same(lm_score.scores(docs).collect(), brute_scores(rows))
     held = [r for r in lm_score.scores(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_counts_beyond_31_bits():
+    b = lm_score.Batch(pa.array(["x"]))
+    n = [2_000_000_000] * len(b.words)
+    asked = pa.table([pa.array([0, 1, 2]), pa.array([1, 1, 1], pa.int32()), pa.array([0, 0, 0]), pa.array([b.words.view(np.int64).tolist()] * 3, pa.list_(pa.int64())),
+                      pa.array([n, n, [5] * len(n)], pa.list_(pa.int32()))], names=["batch", "part", "frag", "gram", "n"])
+    answer = lm_score._answer((2, 1, 1))(asked)
+    for batch, kind in ((0, lm_score.RETAINED), (2, lm_score.DELETED)):
+        (r, d), _ = lm_score._known(b, kind, answer.filter(pa.compute.equal(answer.column("batch"), batch)), 1)
+        assert r.tolist() == [4_000_000_000] * len(n) and d.tolist() == [5] * len(n)
+
+
 def test_scores_edges(spark):
     edge = edge_table(spark)
     got = lm_score.scores(edge).collect()

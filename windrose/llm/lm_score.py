@@ -97,11 +97,14 @@ def _ask(plan, fragments):
     return run
 
 
-ANSWER = "batch long, part int, frag long, at array<int>, retained array<int>, deleted array<int>, tokens long, types long, tokens_kept long, types_kept long"
+ANSWER = "batch long, part int, frag long, at array<int>, retained array<int>, deleted array<int>, high array<int>, tokens long, types long, tokens_kept long, types_kept long"
 
 
 def _answer(plan):
-    """Sums the counts of a fragment; a batch gets those entries that differ from its own.  A row without a batch has the totals."""
+    """Sums the counts of a fragment; a batch gets those entries that differ from its own.  A row without a batch has the totals.
+
+    Counts travel as 31 bits; ``high`` has the bits above of (retained, deleted) pairs and is empty where all are zero.
+    """
     def run(table: pa.Table) -> pa.Table:
         frag = table.column("frag")[0].as_py()
         batches, parts = np.asarray(table.column("batch")), np.asarray(table.column("part"))
@@ -122,19 +125,28 @@ def _answer(plan):
                 real = u != START
                 tokens = [int((r + d)[real].sum()), int(((r + d) > 0)[real].sum()), int(r[real].sum()), int((r > 0)[real].sum())]
         differs = (retained != np.where(kind_of == RETAINED, count, 0)) | (deleted != np.where(kind_of == DELETED, count, 0))
-        row = np.repeat(np.arange(len(size)), size)
         hit = np.flatnonzero(differs)
+        del differs, count, part_of, kind_of, flat
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
         sizes = np.bincount(row[hit], minlength=len(size))
         place = hit - (np.cumsum(size) - size)[row[hit]]
         zero = np.zeros(len(size), np.int64)
+        retained, deleted = retained[hit], deleted[hit]
+        large, high = np.zeros(len(size), bool), zero[:0]
+        if len(hit) and max(retained.max(), deleted.max()) > LOW:
+            large[row[hit][np.maximum(retained, deleted) > LOW]] = True
+            high = (np.stack([retained, deleted], 1)[large[row[hit]]] >> 31).ravel()
+            retained, deleted = retained & LOW, deleted & LOW
         out.append(pa.table([pa.array(batches), pa.array(parts, pa.int32()), pa.array(np.full(len(size), frag)), lists(place, sizes, pa.int32()),
-                             lists(retained[hit], sizes, pa.int32()), lists(deleted[hit], sizes, pa.int32())] + [pa.array(zero)] * 4, names=ANSWER_NAMES))
+                             lists(retained, sizes, pa.int32()), lists(deleted, sizes, pa.int32()),
+                             lists(high, 2 * sizes * large, pa.int32())] + [pa.array(zero)] * 4, names=ANSWER_NAMES))
         none = lists(zero[:0], np.zeros(1, np.int64), pa.int32())
-        out.append(pa.table([pa.array([-1]), pa.array([0], pa.int32()), pa.array([frag]), none, none, none] + [pa.array([x]) for x in tokens], names=ANSWER_NAMES))
+        out.append(pa.table([pa.array([-1]), pa.array([0], pa.int32()), pa.array([frag]), none, none, none, none] + [pa.array([x]) for x in tokens], names=ANSWER_NAMES))
         return pa.concat_tables(out)
     return run
 
 
+LOW = (1 << 31) - 1
 ANSWER_NAMES = [x.split()[0] for x in ANSWER.split(", ")]
 
 
@@ -150,6 +162,12 @@ def _known(b: Batch, kind: int, answers: pa.Table, fragments: int) -> list[tuple
             place = np.asarray(at.flatten(), np.int64) + np.repeat(cut[np.asarray(own.column("frag"))], np.asarray(at.value_lengths()))
             r[place] = np.asarray(own.column("retained").combine_chunks().flatten())
             d[place] = np.asarray(own.column("deleted").combine_chunks().flatten())
+            high = own.column("high").combine_chunks()
+            more = np.asarray(high.flatten(), np.int64).reshape(-1, 2) << 31
+            if len(more):
+                large = np.repeat(np.asarray(high.value_lengths()) > 0, np.asarray(at.value_lengths()))
+                r[place[large]] += more[:, 0]
+                d[place[large]] += more[:, 1]
         out.append((r, d))
     return out
 
@@ -224,13 +242,13 @@ def scores(docs: DataFrame) -> DataFrame:
     many = lambda x, size: max(1, math.ceil(x / size))       # noqa: E731
     plan = (many(chars * 5 / 7, BATCH_CHARS), many(chars / 7, BATCH_CHARS), many(chars / 7, BATCH_CHARS))
     fragments = many(chars, FRAGMENT_CHARS)
-    spread = F.xxhash64("doc_id", F.lit(6))
+    spread = F.xxhash64("doc_id", "text", F.lit(6))          # rows without a doc_id, or with a common one, are spread as well
     of = lambda base, n: F.lit(base) + F.pmod(spread, F.lit(n))      # noqa: E731
     dealt = docs.withColumn("batch", F.when(part == 2, of(plan[0] + plan[1], plan[2])).when(part == 6, of(plan[0], plan[1])).otherwise(of(0, plan[0])).cast("long"))
     asked = dealt.groupBy("batch").applyInArrow(_ask(plan, fragments), ASK)
     answers = stored(asked.groupBy("frag").applyInArrow(_answer(plan), ANSWER), "answers")
     tokens, types, tokens_kept, types_kept = (x or 0 for x in answers.where("batch = -1").agg(*(F.sum(c) for c in ("tokens", "types", "tokens_kept", "types_kept"))).first())
-    back = answers.where((F.col("batch") >= 0) & (F.size("at") > 0)).select("batch", "part", "frag", "at", "retained", "deleted")
+    back = answers.where((F.col("batch") >= 0) & (F.size("at") > 0)).select("batch", "part", "frag", "at", "retained", "deleted", "high")
     gone = (F.col("batch") >= plan[0]) & (F.col("batch") < plan[0] + plan[1])
     steps = dealt.where(gone).groupBy("batch").cogroup(back.where(gone).groupBy("batch")).applyInArrow(
         _histogram(plan, fragments, tokens_kept), "b long, two long, one long, n long")

@@ -83,3 +83,40 @@ def test_future_cases_never_change_a_feature(spark):
     for r in rows:
         if r[3] <= cut:
             assert a[r[0]] == b[r[0]]
+
+
+def test_far_blocks_are_never_compared(spark):
+    """Clustered states: most block pairs are left out, the answer and the counts stay exact."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        init = T0 + dt.timedelta(hours=6 * i)
+        vec = np.array([100.0 * (i * 7 % 6), 50.0 * (i * 7 % 6), 0.0]) + rng.normal(size=3)
+        rows.append((i, "hot", 2, init, init + dt.timedelta(days=2), [float(x) for x in vec], i % 2, float(i), "train", "RESIDUAL_MIXED"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    done = M.neighbour_pass(df, df, KEYS, "z", 5, 1.5, block_rows=30)
+    report = done.report().first()
+    assert report["n_pairs"] > 50 and report["n_visited"] < 0.7 * report["n_pairs"] and report["compared_share"] < 0.7
+    want = brute(rows, 5)
+    got, within = {}, {}
+    for r in M.best_neighbours(done.rows, 5).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for r in done.rows.where("n_within IS NOT NULL").collect():
+        within[r["id"]] = within.get(r["id"], 0) + r["n_within"]
+    for i, (best, _, every) in want.items():
+        assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in best]
+        assert within.get(i, 0) == sum(d <= 1.5 for d, _ in every)
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    rows = fixture(60, 3)
+    holes = [(*r[:5], None if r[0] % 7 == 0 else [float("nan"), 0.0, 0.0] if r[0] % 7 == 1 else r[5], *r[6:]) for r in rows]
+    whole = [r for r in rows if r[0] % 7 > 1]
+    df = spark.createDataFrame(holes, SCHEMA)
+    got = {r["case_id"]: r for r in M.memory_features(df, KEYS, "z", 4, 2, block_rows=10, radius=1.0).collect()}
+    want = brute(whole, 4)
+    for i in range(60):
+        assert got[i]["an_n_eligible"] == (want[i][1] if i in want else 0)
+        assert got[i]["an_n_within"] == (sum(d <= 1.0 for d, _ in want[i][2]) if i in want else 0)
+    empty = df.where("false")
+    assert M.memory_features(empty, KEYS, "z", 4, 2, radius=1.0).count() == 0 and M.knn_join(df, empty, KEYS, "z", 3).count() == 0

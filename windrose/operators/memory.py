@@ -1,102 +1,186 @@
 """Analogue memory: exact causal k-nearest-neighbour join and the features derived from it.
 
 For a query the candidates are cases of the same key (region and lead) verified no later than the query's init
-time.  All candidate distances are needed for an exact answer, but no candidate pair ever becomes a row:
-
-* query and candidate rows of a key are cut into blocks by a time interval and a hash salt, so a key of any size
-  becomes many bounded blocks; block pairs whose candidates all verify after the queries are never formed;
-* one task sees one block pair, computes its distance matrix in NumPy and emits at most k rows per query;
+time.  No candidate pair ever becomes a row, and most pairs of a large key are never compared:
+
+* a key with more than a block of candidates is cut by time intervals and by the nearest of a few pivots (candidates of that
+  key, drawn by hash); a cell that is still too large is salted.  Every block has a ball: its pivot and the largest distance to it;
+* block pairs whose candidates all verify after the queries are never formed;
+* a first wave compares every query block with its nearest wholly eligible candidate blocks, which gives each query a k-th
+  distance; a second wave leaves out every block pair whose balls lie farther apart than the largest of these (and than the
+  radius within which neighbours are counted), and inside a task every query farther from the candidates' ball than its own;
+* one task sees one block pair, computes distances in NumPy and emits at most k rows and one count per query;
 * a window keeps the k best of the partial answers (ranked before the shuffle as well).
+
+Cuts, pivots and balls only steer the work: the answer is exact for any choice.  Rows whose vector is null or holds a null or NaN
+have no distance and take no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose import constants as C
-from windrose.operators.ordered import grouped_quantiles, slot_shapes, with_slots
-from windrose.session import cut_lineage
+from windrose.operators.ordered import grouped_quantiles, ordered_totals, slot_shapes, with_slots
+from windrose.session import cut_lineage, stored_once
 
-BLOCK_ROWS = 32_768     # a row travels to (rows of its key) / BLOCK_ROWS blocks: large blocks keep the replication small
+BLOCK_ROWS = 32_768     # a row travels to (blocks of its key that it may be near to): large blocks keep the replication small
+PIVOTS = 32             # cells of one time interval at most; larger cells are salted
 _TILE_CELLS = 2_000_000  # distances held at once inside a task
+_SLACK = 1e-9           # relative and absolute room for the rounding of ball distances
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], slot: str, salt: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their salt, and the table of (keys, slot, salt) blocks that exist."""
-    sizes = df.groupBy(*keys, slot).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_k"))
-    rows = df.join(sizes, [*keys, slot]).withColumn(salt, F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).drop("_k")
-    blocks = sizes.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
-    return rows, blocks
+@dataclass(frozen=True)
+class NeighbourPass:
+    """Partial answers of the visited block pairs, and all block pairs with the flag ``visited``."""
 
+    rows: DataFrame
+    pairs: DataFrame
 
-def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float) -> pd.DataFrame:
-    """Partial answer of one block pair: up to k neighbours per query, or with k = 0 a row of counts (neighbour NULL)."""
-    if len(q) == 0 or len(c) == 0:
-        return pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="Int64"), "distance": pd.Series(dtype="float64"),
-                             "bust": pd.Series(dtype="float64"), "norm_error": pd.Series(dtype="float64"),
-                             "n_eligible": pd.Series(dtype="Int64"), "n_within": pd.Series(dtype="Int64")})
-    c = c.sort_values("id", kind="stable")
-    cv, qv = np.stack(c["vector"].to_numpy()).astype(np.float64), np.stack(q["vector"].to_numpy()).astype(np.float64)
-    ct, qt, cid = c["t"].to_numpy(), q["t"].to_numpy(), c["id"].to_numpy()
-    parts: list[pd.DataFrame] = []
-    tile = max(1, _TILE_CELLS // len(cv))
-    for start in range(0, len(q), tile):
-        qs = slice(start, start + tile)
-        d2 = np.zeros((len(qv[qs]), len(cv)))
-        for j in range(cv.shape[1]):                     # plain sums of squares: exact zeros for copies
-            diff = qv[qs, j][:, None] - cv[:, j][None, :]
-            d2 += diff * diff
-        dist = np.where(ct[None, :] <= qt[qs][:, None], np.sqrt(d2), np.inf)
-        ids = q["id"].to_numpy()[qs]
-        near = np.isfinite(dist)
-        if k == 0:
-            parts.append(pd.DataFrame({"id": ids, "n_eligible": near.sum(1), "n_within": (dist <= radius).sum(1)}))
-            continue
-        if len(cv) > k:                                  # selection instead of a full sort; ties at the k-th distance stay in
-            near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1][:, None]
-        row, col = np.nonzero(near)
-        value = dist[row, col]
-        order = np.lexsort((col, value, row))            # candidates are sorted by id, so columns break ties
-        row, col, value = row[order], col[order], value[order]
-        first = np.searchsorted(row, np.arange(len(ids)))
-        keep = np.arange(len(row)) - first[row] < k
-        row, col, value = row[keep], col[keep], value[keep]
-        parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[col], "distance": value,
-                                   "bust": c["bust"].to_numpy()[col], "norm_error": c["norm_error"].to_numpy()[col]}))
-    names = ["id", "neighbour", "distance", "bust", "norm_error", "n_eligible", "n_within"]
-    out = pd.concat(parts, ignore_index=True).reindex(columns=names)
-    return out.astype({"neighbour": "Int64", "n_eligible": "Int64", "n_within": "Int64", "distance": float, "bust": float, "norm_error": float})
-
-
-_PARTIAL = "id bigint, neighbour bigint, distance double, bust double, norm_error double, n_eligible bigint, n_within bigint"
-
-
-def partial_neighbours(queries: DataFrame, candidates: DataFrame, keys: Sequence[str], vector: str, k: int, radius: float = float("inf"),
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Partial answers of every block pair (see module text); ids must be unique.  The number of time intervals of a key
-    follows from its count, and is one where a key fits a block."""
-    keys = list(keys)
-    c = candidates.select(*keys, F.col("case_id").alias("id"), F.col(vector).alias("vector"), F.unix_micros("valid_time").alias("t"),
-                          F.col("bust").cast("double").alias("bust"), F.col("norm_error").cast("double").alias("norm_error"))
-    q = queries.select(*keys, F.col("case_id").alias("id"), F.col(vector).alias("vector"), F.unix_micros("init_time").alias("t"))
+    def report(self) -> DataFrame:
+        """(n_pairs, n_visited, compared_share): block pairs, and the share of case pairs inside the visited ones."""
+        cases = F.col("q_n") * F.col("c_n")
+        return self.pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count(F.when(F.col("visited"), 1)).alias("n_visited"),
+                              (F.sum(F.when(F.col("visited"), cases).otherwise(0.0)) / F.sum(cases)).alias("compared_share"))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, v: total + v))
+
+
+def _clean(df: DataFrame) -> DataFrame:
+    return df.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _layout(c: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """(keys, _shape, _pivots) of the keys with more than a block of candidates: about as many time intervals as cells.
+
+    Stored, so that queries and candidates are cut at the same points whatever is computed again."""
+    n = F.col("_shape.n")
+    intervals = F.ceil(F.sqrt(n)).cast("int")
     shapes = slot_shapes(c, keys, "t", block_rows)
-    c, cb = _blocks(with_slots(c, shapes, keys, "t", "c_slot"), keys, "c_slot", "c_salt", block_rows)
-    q, qb = _blocks(with_slots(q, shapes, keys, "t", "q_slot"), keys, "q_slot", "q_salt", block_rows)
-    pairs = qb.join(cb, keys).where(F.col("c_slot") <= F.col("q_slot"))        # a later interval cannot be verified yet
-    pair_keys = [*keys, "q_slot", "q_salt", "c_slot", "c_salt"]
-    renamed = lambda df, side: df.withColumnsRenamed({k: f"{side}_{k}" for k in pair_keys})       # noqa: E731
-    left = renamed(q.join(pairs, [*keys, "q_slot", "q_salt"]), "of_query").groupBy(*[f"of_query_{k}" for k in pair_keys])
-    right = renamed(c.join(pairs, [*keys, "c_slot", "c_salt"]), "of_cand").groupBy(*[f"of_cand_{k}" for k in pair_keys])
+    drawn = (c.join(shapes.select(*keys, F.ceil(n / intervals).alias("_cells")), list(keys))
+             .withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("id", F.lit("pivot")), "id")))
+             .where(F.col("_r") <= PIVOTS).where(F.col("_r") <= F.col("_cells")))
+    pivots = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "vector")))["vector"].alias("_pivots"))
+    cuts = shapes.withColumn("_shape", F.struct(F.col("_shape.cuts").alias("cuts"), intervals.alias("n")))
+    return stored_once(cuts.join(pivots, list(keys)), "layout")
+
 
-    def run(key: tuple, q_block: pd.DataFrame, c_block: pd.DataFrame) -> pd.DataFrame:
-        return _tile_neighbours(q_block, c_block, k, radius)
-    return left.cogroup(right).applyInPandas(run, _PARTIAL)
+def _placed(df: DataFrame, layout: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """Rows with their time interval, cell and distance to the cell's pivot; interval and cell 0 in keys of one block."""
+    near = F.array_min(F.transform("_pivots", lambda p, i: F.struct(_distance(p, F.col("vector")).alias("d"), i.alias("cell"))))
+    cells = df.join(layout.select(*keys, "_pivots"), list(keys), "left").withColumn("_near", near).drop("_pivots")
+    rows = cells.withColumns({f"{side}_cell": F.coalesce("_near.cell", F.lit(0)), "_d": F.coalesce("_near.d", F.lit(0.0))}).drop("_near")
+    return stored_once(with_slots(rows, layout.select(*keys, "_shape"), keys, "t", f"{side}_slot"), f"placed-{side}")
+
+
+def _blocks(df: DataFrame, keys: Sequence[str], side: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their salt, and the table of blocks that exist, with their rows and the radius of their ball."""
+    place = [*keys, f"{side}_slot", f"{side}_cell"]
+    n = F.count(F.lit(1))
+    sizes = df.groupBy(*place).agg(n.alias("_n"), F.max("_d").alias(f"{side}_r"), F.ceil(n / block_rows).cast("int").alias("_k"))
+    rows = df.join(sizes.select(*place, "_k"), place).withColumn(f"{side}_salt", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).drop("_k", "_d")
+    blocks = sizes.withColumns({f"{side}_salt": F.explode(F.sequence(F.lit(0), F.col("_k") - 1)), f"{side}_n": F.col("_n") / F.col("_k")})
+    return rows, blocks.drop("_k", "_n")
+
+
+def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float | None) -> pd.DataFrame:
+    """Partial answer of one block pair: up to k neighbours per query no farther than its ``bound``, and with a radius a row
+    of counts (neighbour NULL)."""
+    names = ["id", "neighbour", "distance", "bust", "norm_error", "n_within"]
+    parts: list[pd.DataFrame] = []
+    if len(q) and len(c):
+        c = c.sort_values("id", kind="stable")
+        cv, qv = np.stack(c["vector"].to_numpy()).astype(np.float64), np.stack(q["vector"].to_numpy()).astype(np.float64)
+        ct, qt, cid, qid, bound = c["t"].to_numpy(), q["t"].to_numpy(), c["id"].to_numpy(), q["id"].to_numpy(), q["bound"].to_numpy()
+        centre = cv.mean(0)
+        ball = np.sqrt(((cv - centre) ** 2).sum(1).max())
+        reach = np.maximum(bound, -1.0 if radius is None else radius)
+        open_ = np.sqrt(((qv - centre) ** 2).sum(1)) - ball <= reach * (1 + _SLACK) + _SLACK
+        qv, qt, qid, bound = qv[open_], qt[open_], qid[open_], bound[open_]
+        tile = max(1, _TILE_CELLS // len(cv))
+        for start in range(0, len(qid), tile):
+            qs = slice(start, start + tile)
+            d2 = np.zeros((len(qid[qs]), len(cv)))
+            for j in range(cv.shape[1]):                 # plain sums of squares: exact zeros for copies
+                diff = qv[qs, j][:, None] - cv[:, j][None, :]
+                d2 += diff * diff
+            dist = np.where(ct[None, :] <= qt[qs][:, None], np.sqrt(d2), np.inf)
+            ids = qid[qs]
+            if radius is not None:
+                within = ((dist <= radius) & np.isfinite(dist)).sum(1)
+                parts.append(pd.DataFrame({"id": ids[within > 0], "n_within": within[within > 0]}))
+            near = np.isfinite(dist) & (dist <= bound[qs][:, None])
+            if len(cv) > k:                              # selection instead of a full sort; ties at the k-th distance stay in
+                near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1][:, None]
+            row, col = np.nonzero(near)
+            value = dist[row, col]
+            order = np.lexsort((col, value, row))        # candidates are sorted by id, so columns break ties
+            row, col, value = row[order], col[order], value[order]
+            first = np.searchsorted(row, np.arange(len(ids)))
+            keep = np.arange(len(row)) - first[row] < k
+            row, col, value = row[keep], col[keep], value[keep]
+            parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[col], "distance": value,
+                                       "bust": c["bust"].to_numpy()[col], "norm_error": c["norm_error"].to_numpy()[col]}))
+    out = (pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)).reindex(columns=names)
+    return out.astype({"id": "int64", "neighbour": "Int64", "n_within": "Int64", "distance": float, "bust": float, "norm_error": float})
+
+
+_PARTIAL = "id bigint, neighbour bigint, distance double, bust double, norm_error double, n_within bigint"
+
+
+def _query_side(queries: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    return _clean(queries.select(*keys, F.col("case_id").alias("id"), F.col(vector).alias("vector"), F.unix_micros("init_time").alias("t")))
+
+
+def _candidate_side(candidates: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    return _clean(candidates.select(*keys, F.col("case_id").alias("id"), F.col(vector).alias("vector"), F.unix_micros("valid_time").alias("t"),
+                                    F.col("bust").cast("double").alias("bust"), F.col("norm_error").cast("double").alias("norm_error")))
+
+
+def neighbour_pass(queries: DataFrame, candidates: DataFrame, keys: Sequence[str], vector: str, k: int, radius: float | None = None,
+                   block_rows: int = BLOCK_ROWS) -> NeighbourPass:
+    """Neighbours, and with a radius the counts within it, in one pass over the block pairs that may matter (see module text);
+    ids must be unique."""
+    keys = list(keys)
+    c, q = _candidate_side(candidates, keys, vector), _query_side(queries, keys, vector)
+    layout = _layout(c, keys, block_rows)
+    c, cb = _blocks(_placed(c, layout, keys, "c"), keys, "c", block_rows)
+    q, qb = _blocks(_placed(q, layout, keys, "q"), keys, "q", block_rows)
+    q_keys, c_keys = [*keys, "q_slot", "q_cell", "q_salt"], [*keys, "c_slot", "c_cell", "c_salt"]
+    centre = lambda side: F.element_at("_pivots", F.col(f"{side}_cell") + 1)                      # noqa: E731
+    pairs = (qb.join(cb, keys).where(F.col("c_slot") <= F.col("q_slot"))                 # a later interval cannot be verified yet
+             .join(layout.select(*keys, "_pivots"), keys, "left").withColumn("_apart", F.coalesce(_distance(centre("q"), centre("c")), F.lit(0.0)))
+             .withColumns({"lower": F.col("_apart") - F.col("q_r") - F.col("c_r"), "upper": F.col("_apart") + F.col("q_r") + F.col("c_r")}))
+    whole = F.col("c_slot") < F.col("q_slot")                                            # every candidate is eligible
+    nearest = W.partitionBy(*q_keys).orderBy(F.desc(whole), "upper", "c_slot", "c_cell", "c_salt").rowsBetween(W.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.when(whole, F.col("c_n")).otherwise(0.0)).over(nearest), F.lit(0.0))
+    pairs = stored_once(pairs.withColumn("first", seen < k).drop("_pivots", "_apart"), "pairs")
+
+    def wave(chosen: DataFrame, rows: DataFrame) -> DataFrame:
+        at = list(dict.fromkeys([*q_keys, *c_keys]))
+        chosen = chosen.select(*at)
+        named = lambda df, side: df.withColumnsRenamed({x: f"{side}_{x}" for x in at}).groupBy(*[f"{side}_{x}" for x in at])      # noqa: E731
+        left, right = named(rows.join(chosen, q_keys), "of_query"), named(c.join(chosen, c_keys), "of_cand")
+
+        def run(q_block: pd.DataFrame, c_block: pd.DataFrame) -> pd.DataFrame:
+            return _tile_neighbours(q_block, c_block, k, radius)
+        return left.cogroup(right).applyInPandas(run, _PARTIAL)
+
+    first = stored_once(wave(pairs.where("first"), q.withColumn("bound", F.lit(float("inf")))), "nearest")
+    kth = best_neighbours(first, k).where(F.col("rank") == k).select("id", F.col("distance").alias("bound"))
+    bounded = q.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    reach = F.greatest(F.col("_far"), F.lit(-1.0 if radius is None else float(radius))) * (1 + _SLACK) + _SLACK
+    pairs = pairs.join(bounded.groupBy(*q_keys).agg(F.max("bound").alias("_far")), q_keys).withColumn("visited", F.col("first") | (F.col("lower") <= reach))
+    return NeighbourPass(first.unionByName(wave(pairs.where("visited AND NOT first"), bounded)), pairs.drop("_far"))
 
 
 def best_neighbours(partial_rows: DataFrame, k: int) -> DataFrame:
@@ -109,7 +193,16 @@ def best_neighbours(partial_rows: DataFrame, k: int) -> DataFrame:
 def knn_join(queries: DataFrame, candidates: DataFrame, keys: Sequence[str], vector: str, k: int = C.ANALOGUE_K,
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k nearest eligible candidates of every query."""
-    return best_neighbours(partial_neighbours(queries, candidates, keys, vector, k, block_rows=block_rows), k).withColumnRenamed("id", "case_id")
+    return best_neighbours(neighbour_pass(queries, candidates, keys, vector, k, block_rows=block_rows).rows, k).withColumnRenamed("id", "case_id")
+
+
+def eligible_counts(queries: DataFrame, candidates: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """(id, an_n_eligible): candidates of the key verified by the query's init time, by one prefix sum over the times."""
+    keys = list(keys)
+    q, c = _query_side(queries, keys, vector), _candidate_side(candidates, keys, vector)
+    times = c.select(*keys, "t", F.lit(1).alias("_one")).unionByName(q.select(*keys, "t", F.lit(0).alias("_one")))
+    upto = ordered_totals(times, keys, "t", {"n": F.col("_one")}).select(*keys, "t", (F.col("below_n") + F.col("n")).cast("long").alias("an_n_eligible"))
+    return q.select("id", *keys, "t").join(upto, [*keys, "t"]).select("id", "an_n_eligible")
 
 
 def eligible(cases: DataFrame, mode: str) -> DataFrame:
@@ -121,15 +214,13 @@ def eligible(cases: DataFrame, mode: str) -> DataFrame:
     return cases
 
 
-def fit_radius(cases: DataFrame, keys: Sequence[str], best: DataFrame, k: int) -> float:
-    """Median distance of TRAIN rows to their k-th eligible neighbour, over keys with more than k TRAIN rows.
-
-    ``best``: the merged neighbours (id, rank, distance) of all rows."""
+def fit_radius(cases: DataFrame, pool: DataFrame, keys: Sequence[str], vector: str, k: int, block_rows: int = BLOCK_ROWS) -> float:
+    """Median distance of TRAIN rows to their k-th eligible neighbour in ``pool``, over keys with more than k TRAIN rows."""
     keys = list(keys)
-    train = cases.where("split = 'train'").select(*keys, F.col("case_id").alias("id"))
+    train = cases.where("split = 'train'")
     big = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k).select(*keys)
-    kth = best.where(F.col("rank") == k).join(train.join(big, keys, "left_semi").select("id"), "id", "left_semi").select("distance")
-    row = grouped_quantiles(kth, [], "distance", {"radius": 0.5}).first()
+    best = best_neighbours(neighbour_pass(train.join(big, keys, "left_semi"), pool, keys, vector, k, block_rows=block_rows).rows, k)
+    row = grouped_quantiles(best.where(F.col("rank") == k).select("distance"), [], "distance", {"radius": 0.5}).first()
     return float(row["radius"]) if row and row["radius"] is not None else float("inf")
 
 
@@ -137,14 +228,14 @@ def memory_features(cases: DataFrame, keys: Sequence[str], vector: str, k: int =
                     mode: str = "causal_online", block_rows: int = BLOCK_ROWS, radius: float | None = None) -> DataFrame:
     """Analogue features of every case: eligible and within-radius counts, distances, bust rate, median and Q90 error.
 
-    The first pass keeps the k best of each query, merged before they are stored; they also give the radius.  The second
-    pass returns counts only."""
+    One pass gives neighbours and counts; without a ``radius`` it is fitted on the TRAIN rows first."""
     pool = eligible(cases, mode)
-    best = cut_lineage(best_neighbours(partial_neighbours(cases, pool, keys, vector, k, block_rows=block_rows), k))
     if radius is None:
-        radius = fit_radius(cases, keys, best, k)
-    counts = (partial_neighbours(cases, pool, keys, vector, 0, radius, block_rows).groupBy("id")
-              .agg(F.sum("n_eligible").alias("an_n_eligible"), F.sum("n_within").alias("an_n_within")))
+        radius = fit_radius(cases, pool, keys, vector, k, block_rows)
+    rows = cut_lineage(neighbour_pass(cases, pool, keys, vector, k, radius, block_rows).rows)
+    best = best_neighbours(rows, k)
+    counts = eligible_counts(cases, pool, keys, vector).join(
+        rows.groupBy("id").agg(F.sum("n_within").alias("an_n_within")), "id", "left")
     n = F.count(F.lit(1))
     enough = lambda c: F.when(n >= kmin, c)                            # noqa: E731
     near = best.groupBy("id").agg(                # at most k rows per id

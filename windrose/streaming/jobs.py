@@ -1,7 +1,8 @@
 """Structured Streaming forms of the availability rule: a verified case becomes usable at its valid time.
 
 The functions build streaming DataFrames; the caller picks trigger and sink.  State is bounded by watermarks, and
-checkpoints and outputs live in the shared folder, so a query restarts after a loss.
+checkpoints and outputs live in folders of the caller's choice (shared storage), so a later run with the same folders goes on
+where the last one ended.  Rows behind the watermark are dropped by the engine; ``record_late_rows`` keeps them in a side table.
 """
 
 from __future__ import annotations
@@ -36,12 +37,16 @@ def trailing_errors(verified: DataFrame, window_days: int = 5, slide: str = "1 d
     return g.select("region_id", F.col("window.end").alias("init_time"), "rec_err", "rec_bias", "rec_n")
 
 
-def run_available(stream: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> str:
+def run_available(stream: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append",
+                  out: str | None = None, state: str | None = None) -> str:
     """Process all available input and write each micro-batch to its own folder of a parquet table; returns the path.
 
-    A batch folder is overwritten when the batch is retried, which makes the sink idempotent."""
+    ``out`` and ``state``: folders of table and checkpoint; a run with those of an earlier one resumes it.  Without them fresh
+    folders in the scratch storage are taken.  A batch folder is overwritten when the batch is retried, so the sink is idempotent."""
+    if (out is None) != (state is None):
+        raise ValueError("give both folders or none: a table without its checkpoint would repeat rows")
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = transform(batch) if transform else batch
@@ -51,6 +56,24 @@ def run_available(stream: DataFrame, name: str, transform: Callable[[DataFrame],
     return out
 
 
+def record_late_rows(stream: DataFrame, time: str, lateness: str, out: str, state: str) -> str:
+    """Side table ``out/late`` of the rows that arrive with an event time at or before the watermark of their stream: the largest
+    time of all earlier micro-batches minus ``lateness``.  The largest time of each batch is kept in ``out/seen``, so a resumed or
+    retried batch decides alike.  Rows without a time are recorded as well.  The engine drops a row only when the watermark of the batch
+before the last one has passed it (for windows: all of its windows), so the table holds every dropped row and may hold rows that
+were just in time for a result.  Returns the path of the side table."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{out}/seen/epoch={epoch}")
+        seen = spark.read.parquet(f"{out}/seen").where(F.col("epoch") < epoch).agg((F.max("newest") - F.expr(f"INTERVAL {lateness}")).alias("mark"))
+        late = F.col(time).isNull() | (F.col(time) <= seen.scalar())
+        batch.where(late).write.mode("overwrite").parquet(f"{out}/late/epoch={epoch}")
+    q = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return f"{out}/late"
+
+
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Final value of every key from a table of updates (one row per key and epoch)."""
     w = W.partitionBy(*keys).orderBy(F.desc("epoch"))

@@ -61,3 +61,23 @@ def dq_parity(spark: SparkSession, sf: str) -> DataFrame:
 def dq_fitted_on(spark: SparkSession, sf: str) -> DataFrame:
     scale = L.fit_normalisation(B.cases(spark, sf), "bias_m", ("init_time", "lead_day", "case_id"))
     return Q.require_fitted_on(scale, "train").drop("fitted_on")
+
+
+_FAULTY = B.LABELLED + """,
+faulty AS (SELECT * REPLACE (CASE WHEN case_id % 7 = 0 THEN 1 - bust ELSE bust END AS bust, CASE WHEN case_id % 13 = 0 THEN q_primary + 0.25 ELSE q_primary END AS q_primary,
+  CASE WHEN case_id % 11 = 0 THEN valid_time + INTERVAL 1 HOUR ELSE valid_time END AS valid_time) FROM labelled)"""
+
+
+@query("dq_labels_faults", ctes=_FAULTY, doubles="max_threshold_diff", sql="""
+  SELECT count(*) AS n_rows, count(*) FILTER (coalesce(f.norm_error > f.q_primary, false) <> (f.bust = 1)) AS bad_bust,
+         max(abs(f.q_primary - l.q_primary)) AS max_threshold_diff, count(*) FILTER (f.valid_time <> f.init_time + INTERVAL 1 DAY * f.lead_day) AS bad_valid_time,
+         count(*) FILTER (f.split = 'train' AND f.valid_time > TIMESTAMP '2024-01-16') AS late_train_rows,
+         count(*) FILTER (f.hidden_bust <> f.bust * f.low_spread) AS bad_hidden FROM faulty f JOIN labelled l USING (case_id)""")
+def dq_labels_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """The label audit on rows with faults: flipped labels, shifted thresholds and valid times."""
+    lab = B.labelled(spark, sf)
+    hit = lambda m: F.col("case_id") % m == 0                        # noqa: E731
+    faulty = lab.withColumns({"bust": F.when(hit(7), 1 - F.col("bust")).otherwise(F.col("bust")),
+                              "q_primary": F.when(hit(13), F.col("q_primary") + 0.25).otherwise(F.col("q_primary")),
+                              "valid_time": F.when(hit(11), F.col("valid_time") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("valid_time"))})
+    return Q.label_integrity(faulty, L.fit_thresholds(lab), B.TRAIN_END)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from windrose import constants as C
 from windrose.functions.scalar import clip
 from windrose.operators.ordered import grouped_quantiles
+from windrose.session import stored_once
 
 
 def _shrink(moments: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,8 +64,11 @@ def distance(cases: DataFrame, params: DataFrame, space: Sequence[str], out: str
 
 
 def fit_support(cases: DataFrame, space: Sequence[str], quantiles: Sequence[float] = C.SUPPORT_QUANTILES) -> DataFrame:
-    """Covariance parameters with the TRAIN distance quantiles t0 < t1 < t2 that separate the support levels."""
-    params = fit_covariance(cases, space)
+    """Covariance parameters with the TRAIN distance quantiles t0 < t1 < t2 that separate the support levels.
+
+    The parameters are written once (one row per lead): thresholds and later distances follow from the same bits, so a case whose
+    distance is a threshold reaches it."""
+    params = stored_once(fit_covariance(cases, space), "covariance")
     d = distance(cases.where("split = 'train'"), params, space, "_d")
     names = {f"t{i}": q for i, q in enumerate(quantiles)}
     return params.join(grouped_quantiles(d, ["lead_day"], "_d", names), "lead_day").withColumn("fitted_on", F.lit("train"))

@@ -73,3 +73,17 @@ def test_verified_join_resumes_without_repeating_rows(spark):
     assert first == pairs(2) and run() == pairs(5)
     with pytest.raises(ValueError):
         J.run_available(spark.readStream.schema(V_SCHEMA).parquet(vsrc), "x", out=out)
+
+
+def test_replayed_days_lose_no_rows_however_many_files_they_have(spark, monkeypatch):
+    from windrose.plans import products as P
+    rows = [("r", T0 + dt.timedelta(hours=h), float(h % 7), float(h % 5)) for h in range(1, 24 * 24)]
+    facts = spark.createDataFrame(rows, FACTS).repartition(7)
+    if hasattr(P, "FILE_ROWS"):
+        monkeypatch.setattr(P, "FILE_ROWS", 5)
+    s = spark.readStream.schema(FACTS).option("maxFilesPerTrigger", 2).parquet(P._files(facts, "valid_time", "facts"))
+    out = J.run_available(J.trailing_errors(s, lateness="2 days"), "recent", mode="update")
+    got = {r["init_time"]: r["rec_n"] for r in J.latest(spark.read.parquet(out), ["region_id", "init_time"]).collect()}
+    ends = [T0 + dt.timedelta(days=n) for n in range(1, 30)]
+    want = {e: sum(e - dt.timedelta(days=5) < t <= e for _, t, _, _ in rows) for e in ends}
+    assert got == {e: n for e, n in want.items() if n}

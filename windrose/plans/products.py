@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrose.functions import text as TX
 from windrose.operators import labels as L
@@ -164,14 +165,19 @@ def field_arrays(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams: the tables replayed as files in time order ---------------------------------------------------------------------
 
+FILE_ROWS = 1_000_000
+
+
 def _files(df: DataFrame, time: str, name: str) -> str:
     """A folder of files written one after the other in time order, the stand-in for an arriving stream: the file source reads by
-    modification time, so no file brings rows behind the watermark of an earlier one."""
-    path = scratch_path(df.sparkSession, name)
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    cuts = [float("-inf"), *sorted(set(df.select(at.cast("double").alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.001))), float("inf")]
-    for low, high in zip(cuts, cuts[1:]):
-        df.where((at > low) & (at <= high)).write.mode("append").parquet(path)
+    modification time.  A file holds one day or part of it, less than the streams' lateness, so however the files of a day are
+    dealt to micro-batches, none brings rows behind the watermark of an earlier one."""
+    spark = df.sparkSession
+    days, path = scratch_path(spark, f"{name}-days"), scratch_path(spark, name)
+    df.where(F.col(time).isNotNull()).withColumn("_day", F.to_date(time)).write.partitionBy("_day").parquet(days)
+    kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_day", T.DateType())])).parquet(days)
+    for day, n in sorted(map(tuple, kept.groupBy("_day").count().collect())):          # a row for each day of the calendar
+        kept.where(F.col("_day") == day).drop("_day").coalesce(-(-n // FILE_ROWS)).write.mode("append").parquet(path)
     return path
 
 

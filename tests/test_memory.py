@@ -1,8 +1,10 @@
 """Blocked causal nearest neighbours against brute force, with a hot key cut into many blocks."""
 
 import datetime as dt
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from windrose.operators import memory as M
@@ -120,3 +122,40 @@ def test_rows_without_a_vector_take_no_part(spark):
         assert got[i]["an_n_within"] == (sum(d <= 1.0 for d, _ in want[i][2]) if i in want else 0)
     empty = df.where("false")
     assert M.memory_features(empty, KEYS, "z", 4, 2, radius=1.0).count() == 0 and M.knn_join(df, empty, KEYS, "z", 3).count() == 0
+
+
+def block(rng, n, dim, first=0):
+    vectors = list(np.round(rng.normal(size=(n, dim)), 2))
+    for i in range(0, n // 4, 2):
+        vectors[i + 1] = vectors[i]                                   # copies
+    return pd.DataFrame({"id": np.arange(first, first + n), "vector": vectors, "t": rng.integers(0, 1000, n), "bust": 1.0, "norm_error": 0.5})
+
+
+def test_block_pairs_are_screened_without_loss_and_faster_than_all_distances():
+    rng = np.random.default_rng(3)
+    c, q = block(rng, 2500, 48), block(rng, 2000, 48, 500).assign(bound=np.inf)
+    q["vector"] = [c["vector"][i % 2500] if i % 3 == 0 else v for i, v in enumerate(q["vector"])]
+    c.at[7, "vector"], q.at[11, "vector"] = np.full(48, np.inf), np.full(48, -np.inf)       # no finite distance to anything
+    cv, qv = np.stack(c["vector"]), np.stack(q["vector"])
+
+    def plain():
+        d2 = np.zeros((len(qv), len(cv)))
+        for j in range(48):
+            with np.errstate(invalid="ignore"):
+                diff = qv[:, j][:, None] - cv[:, j][None, :]
+            d2 += diff * diff
+        return np.where((c["t"].to_numpy()[None, :] <= q["t"].to_numpy()[:, None]) & np.isfinite(d2), np.sqrt(d2), np.inf)
+    radius = float(np.median(np.sort(plain(), axis=1)[:, 40]))
+    t0 = time.process_time()
+    dist = plain()
+    t1 = time.process_time()
+    got = M._tile_neighbours(q, c, 10, radius)
+    t2 = time.process_time()
+    counts = got.dropna(subset=["n_within"]).set_index("id")["n_within"].to_dict()
+    near = got.dropna(subset=["neighbour"])
+    mine = {i: list(zip(g["distance"], g["neighbour"])) for i, g in near.groupby("id")}
+    for r, i in enumerate(q["id"]):
+        order = [j for j in np.lexsort((c["id"], dist[r]))[:10] if np.isfinite(dist[r][j])]
+        assert mine.get(i, []) == [(dist[r][j], j) for j in order]
+        assert counts.get(i, 0) == int((dist[r] <= radius).sum())
+    assert t2 - t1 < t1 - t0

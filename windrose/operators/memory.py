@@ -9,7 +9,8 @@ time.  No candidate pair ever becomes a row, and most pairs of a large key are n
 * a first wave compares every query block with its nearest wholly eligible candidate blocks, which gives each query a k-th
   distance; a second wave leaves out every block pair whose balls lie farther apart than the largest of these (and than the
   radius within which neighbours are counted), and inside a task every query farther from the candidates' ball than its own;
-* one task sees one block pair, computes distances in NumPy and emits at most k rows and one count per query;
+* one task sees one block pair and emits at most k rows and one count per query: a matrix product screens the pairs up to a bound on
+  its rounding error, and the distances of the few that remain are computed exactly in NumPy;
 * a window keeps the k best of the partial answers (ranked before the shuffle as well).
 
 Cuts, pivots and balls only steer the work: the answer is exact for any choice.  Rows whose vector is null or holds a null or NaN
@@ -33,7 +34,8 @@ from windrose.session import cut_lineage, stored_once
 
 BLOCK_ROWS = 32_768     # a row travels to (blocks of its key that it may be near to): large blocks keep the replication small
 PIVOTS = 32             # cells of one time interval at most; larger cells are salted
-_TILE_CELLS = 2_000_000  # distances held at once inside a task
+_TILE_CELLS = 1_000_000  # distances held at once inside a task
+PAIR_TASKS = 4_096      # tasks of a wave at most
 _SLACK = 1e-9           # relative and absolute room for the rounding of ball distances
 
 
@@ -100,36 +102,53 @@ def _tile_neighbours(q: pd.DataFrame, c: pd.DataFrame, k: int, radius: float | N
     if len(q) and len(c):
         c = c.sort_values("id", kind="stable")
         cv, qv = np.stack(c["vector"].to_numpy()).astype(np.float64), np.stack(q["vector"].to_numpy()).astype(np.float64)
+        finite = np.isfinite(cv).all(1), np.isfinite(qv).all(1)          # others are at no finite distance
+        c, q, cv, qv = c[finite[0]], q[finite[1]], cv[finite[0]], qv[finite[1]]
+    if len(q) and len(c):
         ct, qt, cid, qid, bound = c["t"].to_numpy(), q["t"].to_numpy(), c["id"].to_numpy(), q["id"].to_numpy(), q["bound"].to_numpy()
         centre = cv.mean(0)
         ball = np.sqrt(((cv - centre) ** 2).sum(1).max())
         reach = np.maximum(bound, -1.0 if radius is None else radius)
         open_ = np.sqrt(((qv - centre) ** 2).sum(1)) - ball <= reach * (1 + _SLACK) + _SLACK
         qv, qt, qid, bound = qv[open_], qt[open_], qid[open_], bound[open_]
+        bust, error, dim = c["bust"].to_numpy(), c["norm_error"].to_numpy(), cv.shape[1]
+        cc, cn = cv - centre, ((cv - centre) ** 2).sum(1)
+        right = np.vstack([-2 * cc.T, cn[None, :], np.ones((1, len(cv)))])
         tile = max(1, _TILE_CELLS // len(cv))
         for start in range(0, len(qid), tile):
             qs = slice(start, start + tile)
-            d2 = np.zeros((len(qid[qs]), len(cv)))
-            for j in range(cv.shape[1]):                 # plain sums of squares: exact zeros for copies
-                diff = qv[qs, j][:, None] - cv[:, j][None, :]
-                d2 += diff * diff
-            dist = np.where(ct[None, :] <= qt[qs][:, None], np.sqrt(d2), np.inf)
-            ids = qid[qs]
+            ids, qc = qid[qs], qv[qs] - centre
+            qn = (qc ** 2).sum(1)
+            d2 = np.hstack([qc, np.ones((len(qc), 1)), qn[:, None]]) @ right
+            room = 8 * (dim + 8) * np.finfo(float).eps * (np.sqrt(qn) + ball) ** 2       # more than d2 can be off
+
+            def exact(row: np.ndarray, col: np.ndarray, qs=slice(start, start + tile)) -> np.ndarray:
+                total = np.zeros(len(row))
+                for j in range(dim):                     # plain sums of squares: exact zeros for copies
+                    diff = qv[qs, j][row] - cv[col, j]
+                    total += diff * diff
+                return np.sqrt(total)
+            if ct.max() > qt[qs].min():
+                d2[ct[None, :] > qt[qs][:, None]] = np.inf
             if radius is not None:
-                within = ((dist <= radius) & np.isfinite(dist)).sum(1)
+                r2 = float(radius) ** 2 * np.sign(radius)
+                sure = d2 < (r2 * (1 - 1e-12) - room)[:, None]
+                row, col = np.nonzero((d2 <= (r2 * (1 + 1e-12) + room)[:, None]) & ~sure & (d2 < np.inf))
+                within = sure.sum(1) + np.bincount(row[exact(row, col) <= radius], minlength=len(ids))
                 parts.append(pd.DataFrame({"id": ids[within > 0], "n_within": within[within > 0]}))
-            near = np.isfinite(dist) & (dist <= bound[qs][:, None])
-            if len(cv) > k:                              # selection instead of a full sort; ties at the k-th distance stay in
-                near &= dist <= np.partition(dist, k - 1, axis=1)[:, k - 1][:, None]
-            row, col = np.nonzero(near)
-            value = dist[row, col]
+            limit = bound[qs] ** 2 * (1 + 1e-12) + room
+            if len(cv) > k:                              # the k-th distance is within ``room`` of the k-th screened one, and so is every nearer one
+                limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1] + 2 * room)
+            row, col = np.nonzero((d2 <= limit[:, None]) & (d2 < np.inf))
+            value = exact(row, col)
+            near = value <= bound[qs][row]
+            row, col, value = row[near], col[near], value[near]
             order = np.lexsort((col, value, row))        # candidates are sorted by id, so columns break ties
             row, col, value = row[order], col[order], value[order]
             first = np.searchsorted(row, np.arange(len(ids)))
             keep = np.arange(len(row)) - first[row] < k
             row, col, value = row[keep], col[keep], value[keep]
-            parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[col], "distance": value,
-                                       "bust": c["bust"].to_numpy()[col], "norm_error": c["norm_error"].to_numpy()[col]}))
+            parts.append(pd.DataFrame({"id": ids[row], "neighbour": cid[col], "distance": value, "bust": bust[col], "norm_error": error[col]}))
     out = (pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)).reindex(columns=names)
     return out.astype({"id": "int64", "neighbour": "Int64", "n_within": "Int64", "distance": float, "bust": float, "norm_error": float})
 
@@ -168,7 +187,12 @@ def neighbour_pass(queries: DataFrame, candidates: DataFrame, keys: Sequence[str
     def wave(chosen: DataFrame, rows: DataFrame) -> DataFrame:
         at = list(dict.fromkeys([*q_keys, *c_keys]))
         chosen = chosen.select(*at)
-        named = lambda df, side: df.withColumnsRenamed({x: f"{side}_{x}" for x in at}).groupBy(*[f"{side}_{x}" for x in at])      # noqa: E731
+        # the work of a pair does not show in its bytes: a fixed number of tasks keeps small pairs from being put together
+        tasks = min(max(2 * chosen.count(), 1), PAIR_TASKS)
+
+        def named(df: DataFrame, side: str):
+            place = [f"{side}_{x}" for x in at]
+            return df.withColumnsRenamed(dict(zip(at, place))).repartition(tasks, *place).groupBy(*place)
         left, right = named(rows.join(chosen, q_keys), "of_query"), named(c.join(chosen, c_keys), "of_cand")
 
         def run(q_block: pd.DataFrame, c_block: pd.DataFrame) -> pd.DataFrame:

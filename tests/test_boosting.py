@@ -180,3 +180,20 @@ def test_null_and_degenerate_inputs(spark, tmp_path):
     assert empty.rounds == 0 and empty.predict(df, "p").where("p <> 0").isEmpty()
     [part] = BO.fit(df.withColumn("bust", F.when(F.col("case_id") % 2 == 0, F.col("bust"))), [BO.Fit(("s",), "bust")], rounds=3, min_curvature=1.0, rate=0.5, **ALL)
     assert part.rounds == 0 or part.cover[0][1] == df.where("split = 'train' and case_id % 2 = 0").count()
+
+
+def test_the_driver_gets_no_residuals_of_quantile_trees(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 4, 6000), rng.normal(size=6000)
+    df = spark.createDataFrame([(i, float(a), float(b), "train" if i % 3 else "validation") for i, (a, b) in enumerate(zip(x, y))],
+                               "case_id long, x double, y double, split string").persist()
+    seen = []
+    for name in ("toPandas", "collect"):
+        def counted(self, _f=getattr(DataFrame, name)):
+            out = _f(self)
+            seen.append(len(out))
+            return out
+        monkeypatch.setattr(DataFrame, name, counted)
+    t = BO.fit(df, [BO.Fit(("x",), "y", level=0.5)], rounds=2, depth=2, min_cases=1, min_curvature=0.0, shrink=0.0, rate=1.0, subsample=1.0, columns=1.0)[0]
+    assert t.rounds == len(t.value) and seen and max(seen) < 100          # histograms of four bins and a row a leaf

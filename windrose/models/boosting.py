@@ -10,7 +10,7 @@ Fits in step share every job: the folds of a cross-fit, seeds, feature groups an
 
 * logistic: leaf values are Newton steps; a fit may start from a margin per case (``offset``) and adds log-odds to it.
 * quantile: trees follow the sign of the residual; a leaf's value is the exact quantile of its residuals (32-bit floats), found by two
-  counting passes over their leading and trailing 16 bits.
+  counting passes over their leading and trailing 16 bits.  The counts are ranked on Spark; the driver gets one row a leaf.
 * a missing input takes the side, chosen per split, that lowers the loss more.
 * a fit stops ``patience`` rounds after its best loss on the stopping rows and keeps the rounds up to the best one, possibly none.
 """
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
@@ -32,7 +33,7 @@ from windrose.session import scratch_path, ship_code
 
 FIXED = float(1 << 24)       # gradients and losses are summed as multiples of 1 / FIXED
 MISSING = 255                # bin of a missing input; the others are 0 .. bins - 1
-SNAPSHOT = 16                # rounds after which the blocks are written with their margins
+SNAPSHOT = 4                 # rounds after which the blocks are written with their margins: every level walks the trees since then
 TASK_CASES = 50_000          # cases of a task
 PARAMS = {"rounds": 2000, "rate": 0.03, "depth": 3, "min_curvature": 200.0, "min_cases": 1, "subsample": 0.8, "columns": 0.5, "shrink": 10.0,
           "patience": 100, "bins": 64, "seed": 20260928}
@@ -294,12 +295,12 @@ def _residual_counts(held, chosen):
                     hit = chosen[m][node] == u >> 16
                     cell = node[hit] << 16 | u[hit] & 0xFFFF
                 cell, n = np.unique(cell, return_counts=True)
-                for c, k in zip(cell.tolist(), n.tolist()):
-                    sums[m, c] = sums.get((m, c), 0) + k
-        for m in sorted({m for m, _ in sums}):
-            cell = np.array(sorted(c for k, c in sums if k == m))
+                held_cells, held_n = sums.get(m, (cell[:0], n[:0]))
+                both, at = np.unique(np.concatenate([held_cells, cell]), return_inverse=True)
+                sums[m] = both, np.bincount(at, np.concatenate([held_n, n]), len(both)).astype(np.int64)
+        for m, (cell, n) in sorted(sums.items()):
             zero = np.zeros(len(cell), np.int64)
-            yield _emit(m, cell, zero, zero, [sums[m, c] for c in cell.tolist()])
+            yield _emit(m, cell, zero, zero, n)
     return run
 
 
@@ -375,6 +376,17 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
         sums = blocks.mapInArrow(fn(*args), SUMS).groupBy("fit", "cell").agg(*(F.sum(c).alias(c) for c in "ghc")).toPandas()
         return {m: x.sort_values("cell").to_numpy() for m, x in sums.groupby("fit")}
 
+    def reached(held, chosen, wanted: Column) -> list:
+        """(fit, node, low, rest) per leaf: the 16 bits at which its running count reaches ``wanted`` of (fit, node, total), and how
+        many of the cases with these bits that takes."""
+        counts = blocks.mapInArrow(_residual_counts(held, chosen), SUMS).select(
+            "fit", F.shiftright("cell", 16).cast("int").alias("node"), F.col("cell").bitwiseAND(F.lit(0xFFFF)).alias("low"), "c")
+        leaf = W.partitionBy("fit", "node")
+        ranked = counts.repartition("fit", "node").groupBy("fit", "node", "low").agg(F.sum("c").alias("c")).select(
+            "*", F.sum("c").over(leaf).alias("total"), F.sum("c").over(leaf.orderBy("low").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+        rest = wanted - F.col("upto") + F.col("c")
+        return ranked.where((rest > 0) & (rest <= F.col("c"))).select("fit", "node", "low", rest.alias("rest")).collect()
+
     nodes = 2 << p["depth"]
     grown: list[list[tuple]] = [[] for _ in fits]
     losses: list[list[float]] = [[] for _ in fits]
@@ -442,22 +454,14 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
         quantile = {m: states[m] for m in live if states[m].level is not None}
         if quantile:
             held = SimpleNamespace(value=quantile)
-            first, lead, below = summed(_residual_counts, held, None), {}, {}
-            for m, s in quantile.items():
-                lead[m], below[m] = np.full(nodes, -1), np.zeros(nodes, np.int64)
-                x = first.get(m, np.zeros((0, 5), np.int64)).astype(np.int64)
-                for node in np.unique(x[:, 1] >> 16).tolist():
-                    y = x[x[:, 1] >> 16 == node]
-                    want = max(int(np.ceil(s.level * y[:, 4].sum())), 1)
-                    at = int(np.searchsorted(np.cumsum(y[:, 4]), want))
-                    lead[m][node], below[m][node] = y[at, 1] & 0xFFFF, want - y[:at, 4].sum()
-            second = summed(_residual_counts, held, lead)
-            for m in quantile:
-                x = second.get(m, np.zeros((0, 5), np.int64)).astype(np.int64)
-                for node in np.unique(x[:, 1] >> 16).tolist():
-                    y = x[x[:, 1] >> 16 == node]
-                    at = int(np.searchsorted(np.cumsum(y[:, 4]), below[m][node]))
-                    trees[m][3][node] = from_bits(int(lead[m][node]) << 16 | int(y[at, 1] & 0xFFFF))
+            level_of = F.create_map(*(F.lit(x) for m, q in quantile.items() for x in (m, float(q.level))))
+            lead, below = {m: np.full(nodes, -1) for m in quantile}, {}
+            for m, node, low, rest in reached(held, None, F.greatest(F.ceil(level_of[F.col("fit")] * F.col("total")), F.lit(1))):
+                lead[m][node], below[m * nodes + node] = low, rest
+            if below:
+                rest_of = F.create_map(*(F.lit(int(x)) for pair in below.items() for x in pair))
+                for m, node, low, _ in reached(held, lead, rest_of[F.col("fit") * nodes + F.col("node")]):
+                    trees[m][3][node] = from_bits(int(lead[m][node]) << 16 | int(low))
         for m in live:
             trees[m][3] *= p["rate"]
             trees[m][3][trees[m][0] >= 0] = 0.0

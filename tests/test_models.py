@@ -187,3 +187,11 @@ def test_mixture_model_round_trip(spark, tmp_path):
     assert a == b and again.settings == {"window_days": 60} and again.keys == ["g"]
     seen = sorted((r.bma_exceedance, r.bma_probability) for r in a[:4])
     assert all(x[1] <= y[1] for x, y in zip(seen, seen[1:])) and all(0 <= p <= 1 for _, p in seen) and all(r.bma_probability is None for r in a[4:])
+
+
+def test_pca_fit_tells_the_maps_it_was_fitted_on(spark, sf):
+    from windrose.plans import models as MO
+    got = MO.pca_fit(spark, sf).collect()
+    maps = MO.maps(spark, sf).where(MO.TRAIN_MAPS).count()
+    assert [r["component"] for r in got] == list(range(1, 9)) and {r["n_maps"] for r in got} == {maps}
+    assert all(r["explained"] > 0 and r["variance"] > 0 for r in got)

@@ -197,3 +197,27 @@ def test_the_driver_gets_no_residuals_of_quantile_trees(spark, monkeypatch):
         monkeypatch.setattr(DataFrame, name, counted)
     t = BO.fit(df, [BO.Fit(("x",), "y", level=0.5)], rounds=2, depth=2, min_cases=1, min_curvature=0.0, shrink=0.0, rate=1.0, subsample=1.0, columns=1.0)[0]
     assert t.rounds == len(t.value) and seen and max(seen) < 100          # histograms of four bins and a row a leaf
+
+
+def test_fits_share_labels_and_unused_rows_are_not_packed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(BO, "scratch_path", lambda spark, name: str(tmp_path / name))
+    df = cases(spark, 1200, 9)
+    BO.fit(df, [BO.Fit(("s", "x"), "amount", level=v) for v in (0.1, 0.5, 0.9)], rounds=1, min_curvature=0.0)
+    blocks = spark.read.schema(BO.BLOCK).parquet(str(tmp_path / "boosting" / "0")).selectExpr("n", "length(y) AS y", "length(use) AS use", "length(f) AS f").collect()
+    assert sum(b["n"] for b in blocks) == df.where("split <> 'test'").count()
+    assert all((b["y"], b["use"], b["f"]) == (8 * b["n"], b["n"], 24 * b["n"]) for b in blocks)
+
+
+def test_only_one_of_two_children_is_summed(spark):
+    rng = np.random.default_rng(1)
+    n, tree = 500, (np.array([-1, 0, -1, -1]), np.array([0, 9, 0, 0]), np.zeros(4, bool))
+    bins, key = rng.integers(0, 64, (2, n)).astype(np.uint8), rng.integers(0, 2**40, n)
+    block = [bins, key, (rng.random(n) < 0.3).astype(float), np.ones(n, np.uint8), np.zeros(n)]
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in block)], ["n", "bins", "key", "y", "use", "f"])
+    state = BO._State(None, np.arange(2), np.arange(2), 1, 0, 1.0, 0, 0, [], tree, np.array([False, False, True, False]))
+    [got] = BO._histograms(type("H", (), {"value": {0: state}}), 1)(iter([batch]))
+    cell, g, h, c = (np.array(got.column(x)) for x in ("cell", "g", "h", "c"))
+    left = bins[0] <= 9
+    assert cell.max() < 2 * 256 and c.sum() == 2 * left.sum()                  # node 3 would start at cell 512
+    assert h.sum() == 2 * left.sum() * BO.FIXED / 4 and g.sum() == 2 * ((0.5 - block[2][left]) * BO.FIXED).sum()

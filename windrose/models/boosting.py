@@ -4,7 +4,8 @@ Cases are packed once: inputs become bins between quantile cut points (missing h
 byte arrays, written to shared storage.  A level of all trees is one job: tasks route their blocks through the trees so far and emit
 sums of gradients, curvatures and cases per (fit, node, input, bin), which one map-side combined aggregation adds up.  Split points are
 chosen from these histograms; their size follows from parameters (fits, nodes, inputs, bins), never from the data.  Sums are
-integers, so order, retries and cluster size do not change a tree.
+integers, so order, retries and cluster size do not change a tree.  Of two children only the smaller is summed: the other is the rest of
+their parent.  Rows that no fit uses are not packed; labels and uses that fits share are packed once.
 
 Fits in step share every job: the folds of a cross-fit, seeds, feature groups and quantile levels cost no more jobs than one fit.
 
@@ -35,6 +36,7 @@ FIXED = float(1 << 24)       # gradients and losses are summed as multiples of 1
 MISSING = 255                # bin of a missing input; the others are 0 .. bins - 1
 SNAPSHOT = 4                 # rounds after which the blocks are written with their margins: every level walks the trees since then
 TASK_CASES = 50_000          # cases of a task
+BLOCK_CASES = 1 << 14        # at most, of a block: two sums of a block then fit the 53 bits of one double
 PARAMS = {"rounds": 2000, "rate": 0.03, "depth": 3, "min_curvature": 200.0, "min_cases": 1, "subsample": 0.8, "columns": 0.5, "shrink": 10.0,
           "patience": 100, "bins": 64, "seed": 20260928}
 
@@ -142,16 +144,20 @@ def binned(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return b
 
 
-def leaf_of(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, missing_left: np.ndarray) -> np.ndarray:
-    """The node in which every case ends."""
-    node, rows = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
-    for _ in range(len(feature).bit_length()):
-        f = feature[node]
-        if (f < 0).all():
-            break
-        b = bins[np.maximum(f, 0), rows]
-        right = np.where(b == MISSING, ~missing_left[node].astype(bool), b > cut[node])
-        node = np.where(f >= 0, 2 * node + right, node)
+def leaf_of(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, missing_left: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The node in which every case (those at ``at``) ends."""
+    n = bins.shape[1]
+    rows = np.arange(n) if at is None else at
+    inner = np.flatnonzero(feature >= 0)
+    if not len(inner):
+        return np.ones(len(rows), np.int64)
+    follow = np.repeat(np.arange(len(feature)), 256).reshape(-1, 256)        # the node after a node, by bin
+    code = np.arange(256)
+    follow[inner] = 2 * inner[:, None] + np.where(code == MISSING, ~missing_left[inner, None].astype(bool), code > cut[inner, None])
+    first, flat, follow = np.maximum(feature, 0) * n, bins.ravel(), follow.ravel()
+    node = follow[256:512].take(bins[feature[1]] if at is None else bins[feature[1]].take(at))
+    for _ in range(int(inner[-1]).bit_length() - 1):
+        node = follow.take((node << 8) + flat.take(first.take(node) + rows))
     return node
 
 
@@ -172,16 +178,15 @@ def uniform(key: np.ndarray, seed: int, turn: int) -> np.ndarray:
 BLOCK = "n int, bins binary, key binary, y binary, use binary, f binary"
 
 
-def _pack(n_features: int, cuts: list[np.ndarray], n_fits: int, starts: list[float]):
+def _pack(n_features: int, cuts: list[np.ndarray], n_labels: int, uses: list[tuple[int, int]], starts: list[float]):
+    """Blocks of cases; ``uses``: label and first fit of each distinct use."""
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(k, BLOCK_CASES) for whole in batches for k in range(0, whole.num_rows, BLOCK_CASES)):
             col = lambda name: np.asarray(b.column(name).cast(pa.float64()).fill_null(np.nan))      # noqa: E731
             bins = np.stack([binned(col(f"x{i}"), cuts[i]) for i in range(n_features)])
-            y, use = np.stack([col(f"y{i}") for i in range(n_fits)]), np.stack([np.asarray(b.column(f"u{i}")) for i in range(n_fits)])
+            y, use = np.stack([col(f"y{i}") for i in range(n_labels)]), np.stack([np.asarray(b.column(f"u{i}")) for i in range(len(uses))])
             f = np.stack([col(f"o{i}") if np.isnan(s) else np.full(b.num_rows, s) for i, s in enumerate(starts)])
-            use = np.where(np.isnan(y) | np.isnan(f), 0, use).astype(np.uint8)
+            use = np.stack([np.where(np.isnan(y[label]) | np.isnan(f[m]), 0, u) for (label, m), u in zip(uses, use)]).astype(np.uint8)
             data = [bins.tobytes(), np.asarray(b.column("key")).tobytes(), y.tobytes(), use.tobytes(), np.nan_to_num(f).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), *(pa.array([d], pa.binary()) for d in data)], ["n", "bins", "key", "y", "use", "f"])
     return run
@@ -197,8 +202,11 @@ class _State:
     seed: int
     turn: int
     subsample: float
+    y: int                       # rows of the block with its label and its use
+    use: int
     done: list                   # (feature, cut, missing_left, value) by tree
     tree: tuple | None = None    # (feature, cut, missing_left) as far as it is grown
+    counted: np.ndarray | None = None        # whether a node is summed: one of two children is the rest of their parent
 
 
 def _blocks(batches):
@@ -209,12 +217,26 @@ def _blocks(batches):
             yield raw("bins", np.uint8), raw("key", np.int64)[0], raw("y", float), raw("use", np.uint8), raw("f", float)
 
 
-def _margin(s: _State, bins: np.ndarray, f: np.ndarray) -> np.ndarray:
+def _leaves(s: _State, bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, at: np.ndarray | None) -> np.ndarray:
+    return leaf_of(bins, np.where(feature < 0, -1, s.inputs[feature]) if len(s.inputs) else feature, cut, left, at)
+
+
+def _margin(s: _State, bins: np.ndarray, f: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    f = f if at is None else f[at]
     for feature, cut, left, value in s.done:
-        f = f + value[leaf_of(bins, feature, cut, left)]
+        f = f + value.take(_leaves(s, bins, feature, cut, left, at))
     return f
 
 
+def _draw(drawn: dict, s: _State, key: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The fitting cases that the tree is grown on; fits with the same draw share it."""
+    pick = (s.use, s.seed, s.turn)
+    if pick not in drawn:
+        at = np.flatnonzero(use[s.use] == 1)
+        drawn[pick] = at[uniform(key[at], s.seed, s.turn) < s.subsample]
+    return drawn[pick]
+
+
 def _slopes(level: float | None, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if level is None:
         p = sigmoid(f)
@@ -241,29 +263,44 @@ def _histograms(held, level: int):
     def run(batches):
         states, sums, losses = held.value, {}, {}
         for bins, key, y, use, f0 in _blocks(batches):
+            drawn = {}
             for m, s in states.items():
-                f = _margin(s, bins[s.inputs], f0[m])
                 if not level:
-                    at = np.flatnonzero(use[m] == 2)
+                    at = np.flatnonzero(use[s.use] == 2)
                     got = losses.setdefault(m, [0, 0])
-                    got[0] += int(np.rint(_loss(s.level, y[m][at], f[at]) * FIXED).astype(np.int64).sum())
+                    got[0] += int(np.rint(_loss(s.level, y[s.y][at], _margin(s, bins, f0[m], at)) * FIXED).astype(np.int64).sum())
                     got[1] += len(at)
-                at = np.flatnonzero((use[m] == 1) & (uniform(key, s.seed, s.turn) < s.subsample))
-                own = bins[s.inputs][:, at]
-                node = leaf_of(own, *s.tree) if level else np.ones(len(at), np.int64)
-                live = node >= 1 << level
-                at, own, node = at[live], own[:, live], node[live] - (1 << level)
-                g, h = (np.rint(x * FIXED) for x in _slopes(s.level, y[m][at], f[at]))
-                size = len(s.inputs) * 256
-                out = sums.setdefault(m, np.zeros((3, (1 << level) * size), np.int64))
-                for i in s.used.tolist():
-                    cell = node * size + i * 256 + own[i]
-                    for k, w in enumerate((g, h, None)):
-                        out[k] += np.bincount(cell, w, out.shape[1]).astype(np.int64)
+                at = _draw(drawn, s, key, use)
+                node = _leaves(s, bins, *s.tree, at) if level else np.ones(len(at), np.int64)
+                if level:
+                    live = np.flatnonzero(s.counted.take(node))
+                    at, node = at.take(live), node.take(live)
+                f, y_at = _margin(s, bins, f0[m], at), y[s.y].take(at)
+                width = (1 << level) * 256
+                out = sums.setdefault(m, np.zeros((3, 1 << level, len(s.inputs), 256), np.int64))
+                first = (node - (1 << level)) << 8
+                if s.level is None:
+                    g, h = (np.rint(x * FIXED) for x in _slopes(None, y_at, f))
+                    h += 2.0**37                             # a case; the curvatures of a block stay below
+                    for i in s.used.tolist():
+                        cell = first + bins[s.inputs[i]].take(at)
+                        both = np.bincount(cell, h, width).astype(np.int64)
+                        for k, v in enumerate((np.bincount(cell, g, width).astype(np.int64), both & (1 << 37) - 1, both >> 37)):
+                            out[k, :, i] += v.reshape(-1, 256)
+                else:
+                    above, below = (int(np.rint(x * FIXED)) for x in (-s.level, 1 - s.level))
+                    w = np.where(y_at > f, 2.0**20 + 1, 1.0)             # a case, and above the margin or not
+                    for i in s.used.tolist():
+                        both = np.bincount(first + bins[s.inputs[i]].take(at), w, width).astype(np.int64).reshape(-1, 256)
+                        c, up = both & (1 << 20) - 1, both >> 20
+                        out[0, :, i] += up * above + (c - up) * below
+                        out[1, :, i] += c * int(FIXED)
+                        out[2, :, i] += c
         for m, (loss, n) in losses.items():
             if n:
                 yield _emit(m, np.array([-1]), [loss], [0], [n])
-        for m, (g, h, c) in sums.items():
+        for m, out in sums.items():
+            g, h, c = out.reshape(3, -1)
             cell = np.flatnonzero(c)
             yield _emit(m, cell, g[cell], h[cell], c[cell])
     return run
@@ -284,23 +321,22 @@ def _residual_counts(held, chosen):
     def run(batches):
         states, sums = held.value, {}
         for bins, key, y, use, f0 in _blocks(batches):
+            drawn = {}
             for m, s in states.items():
-                at = np.flatnonzero((use[m] == 1) & (uniform(key, s.seed, s.turn) < s.subsample))
-                own = bins[s.inputs]
-                u = ordered_bits(y[m][at] - _margin(s, own, f0[m])[at])
-                node = leaf_of(own[:, at], *s.tree)
+                at = _draw(drawn, s, key, use)
+                u = ordered_bits(y[s.y].take(at) - _margin(s, bins, f0[m], at))
+                node = _leaves(s, bins, *s.tree, at)
                 if chosen is None:
                     cell = node << 16 | u >> 16
                 else:
-                    hit = chosen[m][node] == u >> 16
-                    cell = node[hit] << 16 | u[hit] & 0xFFFF
-                cell, n = np.unique(cell, return_counts=True)
-                held_cells, held_n = sums.get(m, (cell[:0], n[:0]))
-                both, at = np.unique(np.concatenate([held_cells, cell]), return_inverse=True)
-                sums[m] = both, np.bincount(at, np.concatenate([held_n, n]), len(both)).astype(np.int64)
-        for m, (cell, n) in sorted(sums.items()):
+                    hit = np.flatnonzero(chosen[m].take(node) == u >> 16)
+                    cell = node.take(hit) << 16 | u.take(hit) & 0xFFFF
+                # a count for every cell: their number follows from the depth
+                np.add.at(sums.setdefault(m, np.zeros(len(s.tree[0]) << 16, np.int64)), cell, 1)
+        for m, n in sorted(sums.items()):
+            cell = np.flatnonzero(n)
             zero = np.zeros(len(cell), np.int64)
-            yield _emit(m, cell, zero, zero, n)
+            yield _emit(m, cell, zero, zero, n[cell])
     return run
 
 
@@ -312,7 +348,7 @@ def _advance(held):
                 bins, _, _, _, f = next(_blocks([b.slice(r, 1)]))
                 f = f.copy()
                 for m, s in states.items():
-                    f[m] = _margin(s, bins[s.inputs], f[m])
+                    f[m] = _margin(s, bins, f[m])
                 yield pa.RecordBatch.from_arrays([*(b.slice(r, 1).column(c) for c in ("n", "bins", "key", "y", "use")), pa.array([f.tobytes()], pa.binary())],
                                                  ["n", "bins", "key", "y", "use", "f"])
     return run
@@ -347,13 +383,17 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
     p = {**PARAMS, **params}
     names = list(dict.fromkeys(f for x in fits for f in x.features))
     row_of = {f: i for i, f in enumerate(names)}
-    use = [F.when(F.col(x.label).isNull(), 0).when(F.expr(x.fit_rows), 1).when(F.expr(x.stop_rows), 2).otherwise(0).cast("int") for x in fits]
+    labels = list(dict.fromkeys(x.label for x in fits))
+    kinds = list(dict.fromkeys((x.label, x.fit_rows, x.stop_rows, x.offset) for x in fits))
+    y_of, use_of = [labels.index(x.label) for x in fits], [kinds.index((x.label, x.fit_rows, x.stop_rows, x.offset)) for x in fits]
+    use = [F.when(F.col(label).isNull(), 0).when(F.expr(to_fit), 1).when(F.expr(to_stop), 2).otherwise(0).cast("int") for label, to_fit, to_stop, _ in kinds]
     rows = df.select(F.xxhash64(key).alias("key"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)),
-                     *(F.col(x.label).cast("double").alias(f"y{i}") for i, x in enumerate(fits)), *(u.alias(f"u{i}") for i, u in enumerate(use)),
+                     *(F.col(x).cast("double").alias(f"y{i}") for i, x in enumerate(labels)), *(u.alias(f"u{i}") for i, u in enumerate(use)),
                      *(F.col(x.offset).cast("double").alias(f"o{i}") for i, x in enumerate(fits) if x.offset))
-    fitted = F.greatest(*(F.col(f"u{i}") == 1 for i in range(len(fits)))) if len(fits) > 1 else F.col("u0") == 1
+    some = lambda test: F.greatest(*(test(F.col(f"u{i}")) for i in range(len(kinds)))) if len(kinds) > 1 else test(F.col("u0"))      # noqa: E731
+    rows, fitted = rows.where(some(lambda u: u > 0)), some(lambda u: u == 1)
     probs = [i / p["bins"] for i in range(1, p["bins"])]
-    own = [F.when(F.col(f"u{i}") == 1, F.col(f"y{i}")) for i in range(len(fits))]
+    own = [F.when(F.col(f"u{u}") == 1, F.col(f"y{y}")) for y, u in zip(y_of, use_of)]
     # cut points of each input and the start of each fit: (bins - 1) numbers an input
     shape = rows.agg(*(F.percentile_approx(F.when(fitted & ~F.isnan(f"x{i}"), F.col(f"x{i}")), probs, 10_000).alias(f"c{i}") for i in range(len(names))),
                      *((F.avg(o) if x.level is None else F.percentile_approx(o, x.level, 10_000)).alias(f"s{i}") for i, (o, x) in enumerate(zip(own, fits))), F.count(F.lit(1)).alias("n")).first()
@@ -364,10 +404,11 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
         if x.level is None and s is not None:
             s = float(np.log(max(s, 1e-6) / max(1 - s, 1e-6)))
         starts.append(float("nan") if x.offset else 0.0 if s is None else float(s))
+    uses = [(y_of[use_of.index(k)], use_of.index(k)) for k in range(len(kinds))]
     path = scratch_path(spark, "boosting")
     # a task a level for every TASK_CASES cases: fewer would leave most of a small job to the start of tasks
     tasks = -(-shape["n"] // TASK_CASES) or 1
-    rows.coalesce(tasks).mapInArrow(_pack(len(names), cuts, len(fits), starts), BLOCK).write.parquet(f"{path}/0")
+    rows.coalesce(tasks).mapInArrow(_pack(len(names), cuts, len(labels), uses, starts), BLOCK).write.parquet(f"{path}/0")
 
     def opened(i: int) -> DataFrame:
         return spark.read.schema(BLOCK).parquet(f"{path}/{i}").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
@@ -390,7 +431,8 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
     nodes = 2 << p["depth"]
     grown: list[list[tuple]] = [[] for _ in fits]
     losses: list[list[float]] = [[] for _ in fits]
-    states = {m: _State(x.level, np.array([row_of[f] for f in x.features], int), np.zeros(0, int), x.seed, 0, p["subsample"], []) for m, x in enumerate(fits)}
+    states = {m: _State(x.level, np.array([row_of[f] for f in x.features], int), np.zeros(0, int), x.seed, 0, p["subsample"], y_of[m], use_of[m], [])
+              for m, x in enumerate(fits)}
     live, saved, blocks = set(states), 0, opened(0)
     for turn in range(p["rounds"] + 1):
         for m in live:
@@ -399,6 +441,7 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
             s.used = np.sort(np.random.default_rng([s.seed, turn]).choice(n, max(1, int(np.ceil(p["columns"] * n))), replace=False)) if n else np.zeros(0, int)
             s.tree = (np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes, bool))
         trees = {m: [*states[m].tree, np.zeros(nodes), np.zeros(nodes), np.zeros(nodes)] for m in live}      # + value, cover, gain
+        above: dict[int, np.ndarray] = {}                # sums of the level above
         for level in range(p["depth"]):
             held = SimpleNamespace(value={m: states[m] for m in live})        # a few small arrays: they travel with the task
             got = summed(_histograms, held, level)
@@ -414,13 +457,23 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
                             continue
                     x = x[x[:, 1] >= 0]
                 size = len(s.inputs) * 256
-                hist = np.zeros((3, (1 << level) * size))
-                hist[:, x[:, 1].astype(int)] = x[:, 2:].T
+                whole = np.zeros((3, (1 << level) * size), np.int64)
+                whole[:, x[:, 1].astype(int)] = x[:, 2:].T
+                if level:
+                    kids, parents = whole.reshape(3, -1, 2, size), above[m].reshape(3, -1, size)
+                    for k in range(1 << level - 1):
+                        node = (1 << level) + 2 * k
+                        if s.counted[node] or s.counted[node + 1]:
+                            other = int(s.counted[node])
+                            kids[:, k, other] = parents[:, k] - kids[:, k, 1 - other]
+                above[m] = whole
+                hist = whole.astype(float)
                 hist[:2] /= FIXED
                 if not level and not hist[2].any():          # no fitting rows
                     live.discard(m)
                     continue
                 feature, cut, left, value, cover, gain = trees[m]
+                s.counted = np.zeros(nodes, bool)
                 for k in range(1 << level):
                     g, h, c = hist[:, k * size:(k + 1) * size].reshape(3, -1, 256)
                     node = (1 << level) + k
@@ -441,6 +494,7 @@ def fit(df: DataFrame, fits: Sequence[Fit], key: str = "case_id", **params) -> l
                     for kid, part in ((2 * node, inside), (2 * node + 1, ~inside)):
                         cover[kid] = c[i][part].sum()
                         value[kid] = -g[i][part].sum() / (h[i][part].sum() + p["shrink"])
+                    s.counted[2 * node + int(cover[2 * node + 1] < cover[2 * node])] = True
                 s.tree = (feature, cut, left)
             if not more:
                 break

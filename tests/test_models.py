@@ -195,3 +195,13 @@ def test_pca_fit_tells_the_maps_it_was_fitted_on(spark, sf):
     maps = MO.maps(spark, sf).where(MO.TRAIN_MAPS).count()
     assert [r["component"] for r in got] == list(range(1, 9)) and {r["n_maps"] for r in got} == {maps}
     assert all(r["explained"] > 0 and r["variance"] > 0 for r in got)
+
+
+def test_forest_looks_leaves_up_without_a_row_a_tree(spark):
+    df = toy(spark, 1500, 4)
+    f = X.fit_quantile_forest(df, ["x", "noise"], "norm_error", trees=4, depth=3)
+    rows = f._leaf_rows(df, "case_id").join(f.leaves, ["tree", "leaf"]).groupBy("case_id").agg(F.avg("q10").alias("a"), F.avg("q95").alias("b"), F.count("*").alias("n"))
+    q = f.quantiles(df)
+    assert "Generate" not in q._jdf.queryExecution().optimizedPlan().toString()
+    bad = rows.join(q, "case_id").where("abs(a - q[0]) > 1e-9 OR abs(b - q[5]) > 1e-9 OR n <> 4")
+    assert q.count() == 1500 and bad.count() == 0

@@ -8,12 +8,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from windrose import constants as C
 from windrose.models import boosting as BO
@@ -149,16 +152,36 @@ class QuantileForest:
     features: list[str]
     pipeline: PipelineModel
     leaves: DataFrame
+    _grid: np.ndarray | None = None
 
-    def _leaf_rows(self, df: DataFrame, key: str) -> DataFrame:
-        return (self.pipeline.transform(with_inputs(df, self.features))
-                .select(key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int")))
+    def _with_leaves(self, df: DataFrame) -> DataFrame:
+        return self.pipeline.transform(with_inputs(df, self.features)).withColumn("leaf", vector_to_array("leaf"))
+
+    def _leaf_rows(self, df: DataFrame, *keep: Column | str) -> DataFrame:
+        return self._with_leaves(df).select(*keep, F.posexplode("leaf").alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+
+    def grid(self) -> np.ndarray:
+        """(trees, leaves, levels): the leaf table, part of the model like its trees; NaN where a leaf has no TRAIN row."""
+        if self._grid is None:
+            rows = self.leaves.select("tree", "leaf", *C.QUANTILE_COLUMNS).toPandas()
+            self._grid = np.full((len(self.pipeline.stages[-1].trees), int(rows["leaf"].max()) + 1 if len(rows) else 1, len(C.QUANTILE_COLUMNS)), np.nan)
+            self._grid[rows["tree"], rows["leaf"]] = rows[list(C.QUANTILE_COLUMNS)]
+        return self._grid
 
     def quantiles(self, df: DataFrame, key: str = "case_id") -> DataFrame:
-        """key, q (ordered array over the quantile levels): one equi-join with the leaf table, one combined average."""
-        j = self._leaf_rows(df, key).join(self.leaves, ["tree", "leaf"])
-        q = j.groupBy(key).agg(*[F.avg(c).alias(c) for c in C.QUANTILE_COLUMNS])
-        return q.select(key, F.array_sort(F.array(*C.QUANTILE_COLUMNS)).alias("q"))
+        """key, q (ordered array over the quantile levels): a row's leaves are looked up in the broadcast leaf table, no row is exploded."""
+        held = df.sparkSession.sparkContext.broadcast(self.grid())
+
+        @pandas_udf("array<double>")
+        def averaged(leaf: pd.Series) -> pd.Series:
+            at = np.stack(leaf.to_numpy()).astype(int) if len(leaf) else np.zeros((0, len(held.value)), int)
+            inside = at < held.value.shape[1]
+            q = held.value[np.arange(at.shape[1]), np.where(inside, at, 0)]
+            known = inside & ~np.isnan(q[:, :, 0])
+            n = known.sum(axis=1)
+            mean = np.where(known[:, :, None], q, 0.0).sum(axis=1) / np.maximum(n, 1)[:, None]
+            return pd.Series([np.sort(x) if k else None for x, k in zip(mean, n)], dtype=object)
+        return self._with_leaves(df).select(key, averaged("leaf").alias("q")).where(F.col("q").isNotNull())
 
 
 def fit_quantile_forest(df: DataFrame, features: Sequence[str], target: str = "norm_error", trees: int = 20, depth: int = 6,
@@ -168,7 +191,7 @@ def fit_quantile_forest(df: DataFrame, features: Sequence[str], target: str = "n
     forest = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
                                    leafCol="leaf", seed=seed)
     m = QuantileForest(list(features), Pipeline(stages=[*preparation(features), forest]).fit(with_inputs(train, features)), leaves=train)
-    rows = m._leaf_rows(train, key).join(train.select(key, F.col(target).alias("_t")), key)
+    rows = m._leaf_rows(train, F.col(target).alias("_t"))
     m.leaves = grouped_quantiles(rows, ["tree", "leaf"], "_t", dict(zip(C.QUANTILE_COLUMNS, C.QUANTILE_LEVELS)))
     return m
 

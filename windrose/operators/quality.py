@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from windrose import constants as C
 from windrose.functions import scalar as S
+from windrose.operators.labels import TIE
 
 
 def causality(neighbours: DataFrame, cases: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def label_integrity(labels: DataFrame, thresholds: DataFrame, period_end: str) -
     t = thresholds.select(*C.GROUP, F.col("q_primary").alias("_q"))
     j = labels.join(t, list(C.GROUP), "left")
     n = lambda c: F.count(F.when(c, 1))                                   # noqa: E731
-    rule = (F.col("norm_error") > F.col("q_primary")).cast("int")
+    rule = (F.col("norm_error") > F.col("q_primary") + TIE).cast("int")
     return j.agg(
         F.count(F.lit(1)).alias("n_rows"), n(F.coalesce(rule, F.lit(0)) != F.col("bust")).alias("bad_bust"),
         F.coalesce(F.max(F.abs(F.col("q_primary") - F.col("_q"))), F.lit(0.0)).alias("max_threshold_diff"),

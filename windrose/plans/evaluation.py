@@ -37,9 +37,10 @@ def RAF(far: float) -> str:
     return f"coalesce(max(tp / p) FILTER (fp <= {far} * n), 0e0)"
 
 
-LONG = B.LABELLED + """,
+_BOTH = """,
 long AS (SELECT l.*, 'a' AS model, p_a AS p FROM labelled l UNION ALL SELECT l.*, 'b', p_b FROM labelled l),
 test AS (SELECT * FROM long WHERE split = 'test')"""
+LONG = B.LABELLED + _BOTH
 HIST = LONG + "," + cum("h", "test")
 
 
@@ -216,7 +217,7 @@ def bootstrap_diff(spark: SparkSession, sf: str) -> DataFrame:
     return BS.auprc_difference(test_rows(spark, sf), "bust", "p_a", "p_b", 300, seed=11)
 
 
-@query("bootstrap_metrics", ctes=LONG + "," + draws(300, 12) + """,
+@query("bootstrap_metrics", ctes=B.LABELLED_TIES + _BOTH + "," + draws(300, 12) + """,
   all_weights AS (SELECT * FROM weights UNION ALL SELECT -1, day, 1 FROM days),
   fan AS (SELECT t.*, w.rep, w.weight FROM test t JOIN all_weights w ON w.day = CAST(t.init_time AS DATE)), thr AS (""" + _threshold(_VAL) + """),
   """ + _REP, doubles="point ci_lo ci_hi diff diff_lo diff_hi p_le_0", sql=f"""

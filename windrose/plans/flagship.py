@@ -17,7 +17,7 @@ def split_summary(spark: SparkSession, sf: str) -> DataFrame:
     return L.split_summary(B.labelled_plan(spark, sf))
 
 
-@query("bust_labels", ctes=B.LABELLED, doubles="norm_error q_primary spread_low", sql="""
+@query("bust_labels", ctes=B.LABELLED_TIES, doubles="norm_error q_primary spread_low", sql="""
   SELECT case_id, split, norm_error, q_primary, spread_low, bust, bust_q95, low_spread, hidden_bust FROM labelled""")
 def bust_labels(spark: SparkSession, sf: str) -> DataFrame:
     return B.labelled_plan(spark, sf).select("case_id", "split", "norm_error", "q_primary", "spread_low", "bust", "bust_q95",

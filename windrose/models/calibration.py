@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from windrose.operators.ordered import slot_shapes, with_slots
+from windrose.session import stored_once
 
 KNOT_BITS = 24          # a calibrator of more knots than 2**24 would not fit a row
 
@@ -43,6 +46,20 @@ def calibrate(rows: DataFrame, calibrator: DataFrame, score: str, out: str) -> D
     return rows.withColumn("_k", knots).withColumn(out, interpolate(F.col(score), F.col("_k.xs"), F.col("_k.ys"))).drop("_k")
 
 
+def falls(rows: DataFrame, score: str, out: str, slot_rows: int | None = None, tolerance: float = 1e-12) -> DataFrame:
+    """(falls): number of distinct scores with a calibrated value below that of a smaller score, or with two of them.
+
+    Every score is held against all smaller ones: the largest value before it in its slot and in the slots below."""
+    steps = stored_once(rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.min(out).alias("lo"), F.max(out).alias("hi")), "steps")
+    cut = with_slots(steps, slot_shapes(steps, [], "s", slot_rows), [], "s")
+    before = W.partitionBy(F.lit(0)).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)      # a row a slot
+    tops = cut.groupBy("_slot").agg(F.max("hi").alias("_top")).select("_slot", F.max("_top").over(before).alias("_below"))
+    inside = W.partitionBy("_slot").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    seen = cut.join(tops, "_slot").withColumn("_seen", F.greatest(F.max("hi").over(inside), F.col("_below")))
+    fall = (F.col("lo") < F.col("_seen") - tolerance) | (F.col("hi") - F.col("lo") > tolerance)
+    return seen.agg(F.count(F.when(fall, 1)).alias("falls"))
+
+
 def cross_calibrate(rows: DataFrame, score: str, label: str, fold: Column, folds: Sequence[int] = (0, 1), out: str = "p_cal") -> DataFrame:
     """Each fold is calibrated by the fit on the other rows, so validation scores are never in-sample."""
     marked = rows.withColumn("_fold", fold)

@@ -182,14 +182,14 @@ def fit_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return L.fit_thresholds(B.labelled_plan(spark, sf))
 
 
-def pattern_sql(labelled: str, tie: str = "") -> str:
-    return labelled + f""",
+def pattern_sql(labelled: str) -> str:
+    return labelled + """,
 acc AS (SELECT *, CASE WHEN spread_m > 3 THEN 2 * p_b - 1 END AS local_acc FROM labelled),
 acc_thr AS (SELECT region_id, lead_day, season, quantile_cont(local_acc, 0.1) AS acc_q10 FROM acc WHERE split = 'train' AND local_acc IS NOT NULL GROUP BY ALL),
 pattern AS (
-  SELECT a.*, t.acc_q10, bust AS magnitude_failure, CAST(local_acc < acc_q10{tie} AS INTEGER) AS pattern_failure,
-         CASE WHEN local_acc < acc_q10{tie} IS NULL THEN NULL ELSE CAST(bust = 1 AND local_acc < acc_q10{tie} AS INTEGER) END AS pattern_bust,
-         CASE WHEN local_acc < acc_q10{tie} IS NULL THEN NULL ELSE CAST(bust = 1 AND low_spread = 1 AND local_acc < acc_q10{tie} AS INTEGER) END AS hidden_pattern_bust
+  SELECT a.*, t.acc_q10, bust AS magnitude_failure, CAST(local_acc < acc_q10 AS INTEGER) AS pattern_failure,
+         CASE WHEN local_acc < acc_q10 IS NULL THEN NULL ELSE CAST(bust = 1 AND local_acc < acc_q10 AS INTEGER) END AS pattern_bust,
+         CASE WHEN local_acc < acc_q10 IS NULL THEN NULL ELSE CAST(bust = 1 AND low_spread = 1 AND local_acc < acc_q10 AS INTEGER) END AS hidden_pattern_bust
   FROM acc a LEFT JOIN acc_thr t USING (region_id, lead_day, season))"""
 
 
@@ -202,7 +202,7 @@ def pattern(spark: SparkSession, sf: str) -> DataFrame:
     return L.pattern_labels(acc)
 
 
-@query("pattern_labels", ctes=pattern_sql(B.LABELLED_TIES, f" - {B.TIE}"), doubles="local_acc acc_q10", sql="""
+@query("pattern_labels", ctes=pattern_sql(B.LABELLED_TIES), doubles="local_acc acc_q10", sql="""
   SELECT case_id, local_acc, acc_q10, magnitude_failure, pattern_failure, pattern_bust, hidden_pattern_bust FROM pattern""")
 def pattern_labels(spark: SparkSession, sf: str) -> DataFrame:
     return pattern(spark, sf).select("case_id", "local_acc", "acc_q10", "magnitude_failure", "pattern_failure", "pattern_bust",
